@@ -4,7 +4,7 @@ import importlib
 
 from gaugeframe.plans.registry import ORACLES, QUERIES
 
-MODULES = ("measure",)
+MODULES = ("measure", "audit")
 for _name in MODULES:
     importlib.import_module(f"gaugeframe.plans.{_name}")
 
