@@ -184,10 +184,10 @@ VALUES_SQL = "values_ AS (SELECT vec_id, list_transform(embedding, lambda x: x::
   SELECT vec_id, round(factor, 8) AS factor, round(list_sum(list_transform(vals, lambda x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, x * factor)))), 8) AS total,
     round(list_max(list_transform(vals, lambda x: least(1.0::DOUBLE, x * 1.2::DOUBLE))), 8) AS brightest FROM f""")
 def brightness_variant(v: Views):
-    drawn = channel_values(v).withColumn("factor", arrays.drawn_factor(F.col("vec_id"), 7))
+    drawn = channel_values(v).withColumn("drawn", arrays.drawn_factor(F.col("vec_id"), 7))
     return drawn.select(
-        "vec_id", F.round("factor", 8).alias("factor"),
-        F.round(arrays.array_sum(arrays.scale_and_clip(F.col("values"), F.col("factor"))), 8).alias("total"),
+        "vec_id", F.round("drawn", 8).alias("factor"),
+        F.round(arrays.array_sum(arrays.scale_and_clip(F.col("values"), F.col("drawn"))), 8).alias("total"),
         F.round(F.array_max(arrays.scale_and_clip(F.col("values"), 1.2)), 8).alias("brightest"))
 
 
