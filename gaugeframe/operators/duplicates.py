@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.arrays import hamming, mean_abs_difference
+from gaugeframe.functions.arrays import mean_abs_difference
 from gaugeframe.runtime import cut
 
-HOT_BAND_ROWS = 2_000
+HOT_BAND_ROWS = 512
 
 
 def first_seen(records: DataFrame, content: str, path: str) -> DataFrame:
@@ -23,48 +26,66 @@ def exact_duplicates(records: DataFrame, content: str = "content_hash", path: st
             .filter(F.col("later_path") > F.col("first_path")).select("first_path", "later_path", content))
 
 
-def _bands(distance: int) -> list[tuple[int, int]]:
-    """(offset, width) of distance + 1 disjoint slices of 64 bits."""
-    n = distance + 1
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+SECTIONS = 8
+
+
+def band_masks(distance: int, bands: int) -> list[int]:
+    """Bit masks of which at least one agrees whenever two 64-bit words differ in ``distance`` bits.
+
+    ``distance`` flipped bits touch at most that many of the bands, so some choice of the
+    other ``bands - distance`` bands agrees completely.
+    """
+    edges = [round(64 * i / bands) for i in range(bands + 1)]
+    slices = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    masks = [sum(chosen) for chosen in combinations(slices, bands - distance)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def _slice(bits: Column, offset: int, width: int) -> Column:
-    return F.shiftrightunsigned(bits, offset).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+def bands_for(rows: int, distance: int) -> int:
+    """Enough agreeing bits per key to tell the rows apart, with as few keys as possible."""
+    bands = distance + 1
+    while bands < 2 * distance + 2 and 64 * (bands - distance) / bands < math.log2(max(2, rows)) + 12:
+        bands += 1
+    return bands
 
 
 def near_duplicates(items: DataFrame, distance: int = 2, tolerance: float = 0.004, path: str = "path",
                     content: str = "content_hash", fingerprint: str = "fp", thumb: str = "thumb",
-                    hot_rows: int = HOT_BAND_ROWS) -> DataFrame:
+                    hot_rows: int = HOT_BAND_ROWS, bands: int | None = None) -> DataFrame:
     """Pairs of different contents within the Hamming distance and the mean difference.
 
     Equal content is collapsed to its first path first, so copies cost nothing here; each pair
-    states how many copies stand behind both sides. Two fingerprints within distance d agree on
-    at least one of d + 1 bit bands, so an equi-join per band misses nothing. In a crowded band the
-    half-thumbnail sums, which differ by at most the total difference, become two more equality
-    keys, and what is still crowded is cut into parts that meet in separate tasks. A pair is
-    reported only by the first band on which it agrees, so nothing is emitted twice.
+    states how many copies stand behind both sides. Candidates come from equi-joins on bit masks
+    that miss nothing (``band_masks``), on narrow rows without the thumbnails. A crowded bucket is
+    told apart by the half-thumbnail sums, which differ by at most the total difference, and what
+    is still crowded is cut into parts that meet in separate tasks. A pair is reported only by the
+    first mask on which it agrees, so nothing is emitted twice; the section sums bound the
+    difference from below, and only pairs that pass this fetch their thumbnails.
     """
-    unique = items.groupBy(content).agg(
-        F.min_by(F.struct(path, fingerprint, thumb), path).alias("s"), F.count(F.lit(1)).alias("copies")
-    ).select(content, F.col(f"s.{path}").alias("path"), F.col(f"s.{fingerprint}").alias("fp"), F.col(f"s.{thumb}").alias("thumb"), "copies")
-    bands = _bands(distance)
-    size = F.size("thumb")
-    half = F.floor(size / 2).cast("int")
-    cell = tolerance * 1.0000001      # a hair wider, so rounding never parts two neighbours
-
-    def level(start: Column, length: Column) -> Column:
-        total = F.aggregate(F.slice("thumb", start, length), F.lit(0.0), lambda s, x: s + x)
-        return F.floor(total / (size * F.lit(cell))).cast("bigint")
-
-    keyed = unique.withColumns({"first_half": level(F.lit(1), half), "second_half": level(half + 1, size - half)})
-    banded = keyed.withColumn("band", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("no"), _slice(F.col("fp"), o, w).alias("bits")) for i, (o, w) in enumerate(bands)])))
-    rows = banded.select("path", "fp", "thumb", "copies", "first_half", "second_half",
-                         F.col("band.no").alias("no"), F.col("band.bits").alias("bits"))
-
-    # Crowded bands are told apart by their half-thumbnail levels, then cut into parts.
+    size = F.size(F.col(thumb))
+
+    def section(i: int) -> Column:
+        start, stop = F.floor(size * i / SECTIONS).cast("int"), F.floor(size * (i + 1) / SECTIONS).cast("int")
+        return F.aggregate(F.slice(F.col(thumb), start + 1, stop - start), F.lit(0.0), lambda s, x: s + x)
+
+    sums = [f"s{i}" for i in range(SECTIONS)]
+    narrow = items.select(content, F.col(path).alias("path"), F.col(fingerprint).alias("fp"), size.alias("size"),
+                          *[section(i).alias(n) for i, n in enumerate(sums)])
+    unique = cut(narrow.groupBy(content).agg(
+        F.min_by(F.struct("path", "fp", "size", *sums), "path").alias("s"), F.count(F.lit(1)).alias("copies")
+    ).select("s.*", "copies"))
+    masks = band_masks(distance, bands or bands_for(unique.count(), distance))
+
+    widest = F.col("size") * F.lit(tolerance * 1.000001)    # a hair wider, so rounding never parts two neighbours
+    half = SECTIONS // 2
+
+    def level(names: list[str]) -> Column:
+        return F.floor(sum((F.col(n) for n in names), F.lit(0.0)) / widest).cast("bigint")
+
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)]))
+    rows = unique.withColumns({"first_half": level(sums[:half]), "second_half": level(sums[half:])}).withColumn("key", keys).select(
+        "path", "fp", "copies", "size", *sums, "first_half", "second_half", "key.no", "key.bits")
+    # Crowded keys are told apart by their half-thumbnail levels, then cut into parts.
     crowds = rows.groupBy("no", "bits").agg(F.count(F.lit(1)).alias("crowd")).filter(F.col("crowd") > hot_rows)
     rows = rows.join(crowds, ["no", "bits"], "left").withColumn("crowded", F.col("crowd").isNotNull()).drop("crowd")
     rows = rows.withColumns({h: F.when(F.col("crowded"), F.col(h)).otherwise(F.lit(0)) for h in ("first_half", "second_half")})
@@ -72,26 +93,29 @@ def near_duplicates(items: DataFrame, distance: int = 2, tolerance: float = 0.00
     crowded = (rows.filter("crowded").groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / hot_rows).alias("parts"))
                .filter(F.col("parts") > 1))
     # The side that stays: split by row inside crowded buckets.
-    stay = rows.join(crowded, bucket, "left").withColumn(
-        "part", F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    # The side that travels: to the neighbouring levels of a crowded band, and to every part there.
+    stay = rows.join(crowded, bucket, "left").withColumn("part", F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1))))
+    # The side that travels: to the neighbouring levels of a crowded key, and to every part there.
     steps = F.when(F.col("crowded"), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     travel = (rows.withColumn("d1", F.explode(steps)).withColumn("d2", F.explode(steps))
               .withColumns({"first_half": F.col("first_half") + F.col("d1"), "second_half": F.col("second_half") + F.col("d2")})
               .join(crowded, bucket, "left")
               .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1))))
-    a = stay.select(*bucket, "part", F.col("path").alias("left_path"), F.col("fp").alias("left_fp"), F.col("thumb").alias("left_thumb"), F.col("copies").alias("left_copies"))
-    b = travel.select(*bucket, "part", F.col("path").alias("right_path"), F.col("fp").alias("right_fp"), F.col("thumb").alias("right_thumb"), F.col("copies").alias("right_copies"))
-    pairs = a.join(b, [*bucket, "part"]).filter(F.col("left_path") < F.col("right_path"))
-    bits = hamming(F.col("left_fp"), F.col("right_fp"))
-    first_agreement = F.lit(True)
-    for i, (o, w) in enumerate(bands[:-1]):
-        agrees = _slice(F.col("left_fp"), o, w) == _slice(F.col("right_fp"), o, w)
-        first_agreement = first_agreement & ((F.col("no") <= i) | ~agrees)
-    return (pairs.filter((bits <= distance) & first_agreement)
-            .withColumn("difference", mean_abs_difference(F.col("left_thumb"), F.col("right_thumb")))
+    fields = ["path", "fp", "copies", *sums]
+    a = stay.select(*bucket, "part", "size", *[F.col(f).alias(f"left_{f}") for f in fields])
+    b = travel.select(*bucket, "part", *[F.col(f).alias(f"right_{f}") for f in fields])
+    apart = F.col("left_fp").bitwiseXOR(F.col("right_fp"))
+    bound = sum((F.abs(F.col(f"left_{n}") - F.col(f"right_{n}")) for n in sums), F.lit(0.0))
+    keep = (F.col("left_path") < F.col("right_path")) & (F.bit_count(apart) <= distance) & (bound <= widest)
+    for i, m in enumerate(masks[:-1]):
+        keep = keep & ((F.col("no") <= i) | (apart.bitwiseAND(F.lit(m)) != 0))
+    pairs = a.join(b, [*bucket, "part"]).filter(keep).select(
+        "left_path", "right_path", F.bit_count(apart).cast("int").alias("hamming"), "left_copies", "right_copies")
+    pictures = items.select(F.col(path).alias("path"), F.col(thumb).alias("thumb"))
+    fetched = (pairs.join(pictures.toDF("left_path", "left_thumb"), "left_path")
+               .join(pictures.toDF("right_path", "right_thumb"), "right_path"))
+    return (fetched.withColumn("difference", mean_abs_difference(F.col("left_thumb"), F.col("right_thumb")))
             .filter(F.col("difference") <= tolerance)
-            .select("left_path", "right_path", bits.cast("int").alias("hamming"), "difference", "left_copies", "right_copies"))
+            .select("left_path", "right_path", "hamming", "difference", "left_copies", "right_copies"))
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:

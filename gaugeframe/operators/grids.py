@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeframe.operators.prefix import exact_quantiles
+from gaugeframe.runtime import rows_per_bucket
 
 
 def survives_nearest(position: Column, size: int, target: int) -> Column:
@@ -59,14 +60,16 @@ def foreground_thresholds(pixels: DataFrame, channels: Sequence[str], size: tupl
         F.when(F.col("x") < border, 1), F.when(F.col("x") >= width - border, 2),
         F.when(F.col("y") < border, 3), F.when(F.col("y") >= height - border, 4)))
     edge = pixels.select(image, *channels, F.explode(sides).alias("__side")).drop("__side")
+    small = 4 * border * max(height, width) <= rows_per_bucket(pixels.sparkSession)
+    known = {"bounds": []} if small else {}        # the border of one image bounds the group
     background = None
     for c in channels:
-        median = exact_quantiles(edge, [image], c, {f"{c}_background": 0.5}, lower=[f"{c}_background"]).drop("n")
+        median = exact_quantiles(edge, [image], c, {f"{c}_background": 0.5}, lower=[f"{c}_background"], **known).drop("n")
         background = median if background is None else background.join(median, image)
     distances = edge.join(background, image).select(image, background_distance(channels).alias("distance"))
-    middle = exact_quantiles(distances, [image], "distance", {"middle": 0.5, "high": quantile}, lower=["middle"]).drop("n")
+    middle = exact_quantiles(distances, [image], "distance", {"middle": 0.5, "high": quantile}, lower=["middle"], **known).drop("n")
     deviations = distances.join(middle, image).select(image, F.abs(F.col("distance") - F.col("middle")).alias("deviation"))
-    mad = exact_quantiles(deviations, [image], "deviation", {"mad": 0.5}, lower=["mad"]).drop("n")
+    mad = exact_quantiles(deviations, [image], "deviation", {"mad": 0.5}, lower=["mad"], **known).drop("n")
     return (background.join(middle, image).join(mad, image)
             .withColumn("threshold", F.greatest(F.lit(floor), F.col("middle") + spread * F.col("mad"), F.col("high")))
             .drop("middle", "high", "mad"))

@@ -93,9 +93,17 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
 
 def hash_index(df: DataFrame, keys: Sequence[str], digest: Column, tie: Sequence[str],
                name: str = "idx", total: str = "n") -> DataFrame:
-    """Number the rows of each group from 0 in the order of a digest, with the group size."""
+    """Number the rows of each group from 0 in the order of a digest, with the group size.
+
+    The digest words are uniform over 32 bits, so bucket boundaries need no look at the values.
+    """
     base = df.withColumn("__h", hex_word(digest).cast("double")).withColumn("__one", F.lit(1).cast("bigint"))
-    out = running_totals(base, keys, ["__h", *tie], ["__one"])
+    keyed = df.select(*keys)
+    limit = rows_per_bucket(df.sparkSession)
+    largest = group_sizes(keyed, keys).agg(F.max("__rows")).first()[0] or 0
+    buckets = min(MAX_BUCKETS, math.ceil(largest / limit))
+    bounds = [4294967296.0 * i / buckets for i in range(1, buckets)] if largest > limit else []
+    out = running_totals(base, keys, ["__h", *tie], ["__one"], bounds=bounds)
     return (out.withColumnRenamed("__one_before", name).withColumnRenamed("__one_total", total)
             .drop("__h", "__one"))
 
@@ -122,15 +130,19 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float],
-                    lower: Sequence[str] = ()) -> DataFrame:
+                    lower: Sequence[str] = (), source: DataFrame | None = None,
+                    bounds: list[float] | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group, from the two order statistics around each rank.
 
-    Columns named in ``lower`` take the lower order statistic instead of interpolating.
+    Columns named in ``lower`` take the lower order statistic instead of interpolating. A cheap
+    frame that contains these rows may be given as ``source`` for sizing the groups; the caller
+    passes ``bounds=[]`` when the group size is known to be small.
     """
     keys = list(keys)
     clean = df.select(*keys, F.col(value).cast("double").alias("__v"))
     hist = clean.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running_totals(hist, keys, ["__v"], ["__n"], source=clean)
+    sizing = clean if source is None else source.select(*keys, F.col(value).cast("double").alias("__v"))
+    ranked = running_totals(hist, keys, ["__v"], ["__n"], source=sizing, bounds=bounds)
     first, last = F.col("__n_before"), F.col("__n_before") + F.col("__n") - 1
 
     def at(rank: Column) -> Column:

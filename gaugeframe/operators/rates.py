@@ -43,11 +43,11 @@ def with_intervals(rates: DataFrame) -> DataFrame:
         "precision_interval": wilson(tp, tp + fp)})
 
 
-def normal_threshold(df: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
+def normal_threshold(df: DataFrame, q: float, keys: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
     """Linear quantile of the normal scores, how many reach it, and their population deviation."""
     keys = list(keys)
     normals = df.filter(F.col("label") == 0)
-    cut = exact_quantiles(normals, keys, "score", {"threshold": q}).withColumnRenamed("n", "normal_count")
+    cut = exact_quantiles(normals, keys, "score", {"threshold": q}, source=source).withColumnRenamed("n", "normal_count")
     joined = normals.join(cut, keys) if keys else normals.join(F.broadcast(cut))   # one row when there are no keys
     return joined.groupBy(*keys, "threshold", "normal_count").agg(
         F.count_if(F.col("score") >= F.col("threshold")).alias("exceedances"),

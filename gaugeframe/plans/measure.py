@@ -53,7 +53,7 @@ def held_out_rates(v: Views, keys=("category",), q: float = 0.9):
     numbered = hash_index(labelled.filter(F.col("label") == 0), ["category"],
                           F.sha2(F.concat_ws("|", F.lit("hold"), F.col("category"), F.col("image").cast("string")), 256), ["image"])
     held = numbered.filter(F.col("idx") < F.greatest(F.lit(1), F.bround(F.col("n") * 0.5)))
-    thresholds = rates.normal_threshold(held.select(*labelled.columns), q, ["category"]).select("category", "threshold")
+    thresholds = exact_quantiles(held, ["category"], "score", {"threshold": q}, source=labelled).select("category", "threshold")
     rest = labelled.join(held.select("image"), "image", "left_anti")
     measured = rest.join(thresholds, "category").groupBy("category", "threshold").agg(*rates.confusion_counts(F.col("threshold")))
     return interval_columns(rates.with_intervals(rates.with_rates(measured)), "recall", "false_alarm", "precision").withColumns(
