@@ -134,12 +134,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict
                     bounds: list[float] | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group, from the two order statistics around each rank.
 
-    Columns named in ``lower`` take the lower order statistic instead of interpolating. A cheap
+    NULLs are left out. Columns named in ``lower`` take the lower order statistic instead of interpolating. A cheap
     frame that contains these rows may be given as ``source`` for sizing the groups; the caller
     passes ``bounds=[]`` when the group size is known to be small.
     """
     keys = list(keys)
-    clean = df.select(*keys, F.col(value).cast("double").alias("__v"))
+    clean = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     hist = clean.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     sizing = clean if source is None else source.select(*keys, F.col(value).cast("double").alias("__v"))
     ranked = running_totals(hist, keys, ["__v"], ["__n"], source=sizing, bounds=bounds)

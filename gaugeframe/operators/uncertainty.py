@@ -66,11 +66,14 @@ def _resampled(rows: DataFrame, key: str, label: str, samples: int, seed: int, m
 
 
 def bootstrap_auroc(rows: DataFrame, samples: int = 1000, seed: int = 42, key: str = "image", method: str = "draws") -> DataFrame:
-    """Percentile interval of the ROC area under class-wise resampling."""
+    """Percentile interval of the ROC area under class-wise resampling.
+
+    A Poisson replicate that lost a whole class has no area and is not counted.
+    """
     weights = _resampled(rows, key, "label", samples, seed, method)
     weighted = rows.select(key, "label", "score").join(weights, key)
     areas = ranking_metrics(weighted, ["replicate"], weight=F.col("weight"), bounds=score_boundaries(rows))
-    out = exact_quantiles(areas.filter("auroc IS NOT NULL"), [], "auroc", {"lower": 0.025, "upper": 0.975})
+    out = exact_quantiles(areas, [], "auroc", {"lower": 0.025, "upper": 0.975})
     return out.select(F.col("n").alias("samples"), "lower", "upper")
 
 

@@ -60,7 +60,7 @@ METRIC_ROWS = """m AS (SELECT category, count(*) FILTER (score >= 4000 AND label
 
 
 @query(sql_more("predictions", METRIC_ROWS + """ SELECT category, metric, value::DOUBLE AS value FROM (SELECT category, tp::DOUBLE AS tp, fp::DOUBLE AS fp, tn::DOUBLE AS tn, fn::DOUBLE AS fn,
-   round(tp / (tp + fn), 8) AS recall, round(fp / (fp + tn), 8) AS false_alarm_rate,
+   round(tp / nullif(tp + fn, 0), 8) AS recall, round(fp / nullif(fp + tn, 0), 8) AS false_alarm_rate,
    CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 8) END AS precision FROM m)
   UNPIVOT INCLUDE NULLS (value FOR metric IN (tp, fp, tn, fn, recall, false_alarm_rate, precision))"""))
 def metrics_sink(v: Views):

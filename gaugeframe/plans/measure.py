@@ -318,7 +318,7 @@ def clean_controls(v: Views):
 
 
 @query(sql_more("predictions", f"""{FAMILY_SQL}, {curve_sql('members', 'family')},
-  m AS (SELECT family, sum(pos * (N - fp + neg / 2)) / (max(P) * max(N)) AS a, sum(pos * tp / (tp + fp)) / max(P) AS p FROM curve GROUP BY family),
+  m AS (SELECT family, sum(pos * (N - fp + neg / 2)) / nullif(max(P) * max(N), 0) AS a, sum(pos * tp / (tp + fp)) / nullif(max(P), 0) AS p FROM curve GROUP BY family),
   h AS (SELECT family, 2 * a * p / (a + p) AS h FROM m)
   SELECT round(avg(h), 8) AS macro_h, round(avg(h) FILTER (family < 'family3'), 8) AS old_macro_h, round(avg(h) FILTER (family >= 'family3'), 8) AS new_macro_h,
   count(*) AS families FROM h"""))

@@ -79,9 +79,9 @@ def compare(spark, con, folder, name, queries, oracles):
     return seconds, len(rows), True, note
 
 
-def session(cpus=8):
+def session(cpus=8, partitions=8):
     from pyspark.sql import SparkSession
-    spark = (SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", "8")
+    spark = (SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", str(partitions))
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -94,6 +94,8 @@ def main(argv):
     queries, oracles = entry.queries(), entry.oracle_sql()
     names = argv[1:] or list(queries)
     spark, con = session(), connect(folder)
+    if os.environ.get("ROWS_PER_BUCKET"):       # force the bucketed paths on small data
+        spark.conf.set("gaugeframe.rowsPerBucket", os.environ["ROWS_PER_BUCKET"])
     bad = 0
     for name in names:
         try:
