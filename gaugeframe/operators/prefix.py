@@ -31,30 +31,39 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def value_boundaries(source: DataFrame, keys: Sequence[str], order: str) -> list[float]:
-    """Inner bucket boundaries, empty when no group of the source is above the limit."""
+    """Inner bucket boundaries, empty when no group of the source is above the limit.
+
+    Boundaries are quantiles over all rows, so a bucket holds about total / buckets rows whatever
+    the groups look like, and no group can hold more than that in one bucket. They come from a
+    sample of bounded size; it only decides where to cut, never what is counted.
+    """
     limit = rows_per_bucket(source.sparkSession)
     top = group_sizes(source, keys).agg(F.max("__rows"), F.sum("__rows")).first()
     largest, total = top[0] or 0, top[1] or 0
     if largest <= limit:
         return []
-    buckets = min(MAX_BUCKETS, math.ceil(largest / limit))
-    fraction = min(1.0, SAMPLES_PER_BUCKET * buckets / total * max(1, total // largest))
+    buckets = bucket_count(total, limit)
+    fraction = min(1.0, SAMPLES_PER_BUCKET * buckets / total)
     values = source.select(F.col(order).cast("double").alias("v")).sample(fraction, seed=17)
     points = [i / buckets for i in range(1, buckets)]
     return sorted(set(values.approxQuantile("v", points, 1 / (8 * buckets))))
 
 
+def bucket_count(rows: int, limit: int) -> int:
+    return max(2, min(MAX_BUCKETS, math.ceil(rows / limit)))
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str],
                    source: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
     """Add ``<name>_before`` (total of the rows ordered before) and ``<name>_total`` per group.
 
     Rows must be unique in ``keys + order``. ``order[0]`` is numeric and carries the buckets;
     ``source`` is a cheaper frame with the same keys and order column for sizing the groups;
-    ``bounds`` given by the caller apply to every group. Keys must not be NULL.
+    ``bounds`` without a source apply to every group. Keys must not be NULL.
     """
     keys, order, sums = list(keys), list(order), list(sums)
+    every_group = bounds is not None and source is None
     source = df if source is None else source
-    every_group = bounds is not None
     if bounds is None:
         bounds = value_boundaries(source, keys, order[0])
     if not bounds:
@@ -100,10 +109,12 @@ def hash_index(df: DataFrame, keys: Sequence[str], digest: Column, tie: Sequence
     base = df.withColumn("__h", hex_word(digest).cast("double")).withColumn("__one", F.lit(1).cast("bigint"))
     keyed = df.select(*keys)
     limit = rows_per_bucket(df.sparkSession)
-    largest = group_sizes(keyed, keys).agg(F.max("__rows")).first()[0] or 0
-    buckets = min(MAX_BUCKETS, math.ceil(largest / limit))
-    bounds = [4294967296.0 * i / buckets for i in range(1, buckets)] if largest > limit else []
-    out = running_totals(base, keys, ["__h", *tie], ["__one"], bounds=bounds)
+    top = group_sizes(keyed, keys).agg(F.max("__rows"), F.sum("__rows")).first()
+    bounds = []
+    if (top[0] or 0) > limit:
+        buckets = bucket_count(top[1], limit)
+        bounds = [4294967296.0 * i / buckets for i in range(1, buckets)]
+    out = running_totals(base, keys, ["__h", *tie], ["__one"], source=keyed, bounds=bounds)
     return (out.withColumnRenamed("__one_before", name).withColumnRenamed("__one_total", total)
             .drop("__h", "__one"))
 

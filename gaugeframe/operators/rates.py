@@ -48,10 +48,11 @@ def normal_threshold(df: DataFrame, q: float, keys: Sequence[str] = (), source:
     keys = list(keys)
     normals = df.filter(F.col("label") == 0)
     cut = exact_quantiles(normals, keys, "score", {"threshold": q}, source=source).withColumnRenamed("n", "normal_count")
-    joined = normals.join(cut, keys) if keys else normals.join(F.broadcast(cut))   # one row when there are no keys
-    return joined.groupBy(*keys, "threshold", "normal_count").agg(
-        F.count_if(F.col("score") >= F.col("threshold")).alias("exceedances"),
-        F.stddev_pop("score").alias("score_std"))
+    spread = [F.count_if(F.col("score") >= F.col("threshold")).alias("exceedances"), F.stddev_pop("score").alias("score_std")]
+    if keys:
+        return normals.join(cut, keys).groupBy(*keys, "threshold", "normal_count").agg(*spread)
+    whole = normals.select("score", cut.select("threshold").scalar().alias("threshold"), cut.select("normal_count").scalar().alias("normal_count"))
+    return whole.groupBy("threshold", "normal_count").agg(*spread)
 
 
 def area_bin(fraction: Column) -> Column:

@@ -17,7 +17,10 @@ def select_best(candidates: DataFrame, keys: Sequence[str] = (), excluded: str =
     keys = list(keys)
     pool = candidates.filter(F.col("kind") != excluded)
     best = pool.groupBy(*keys).agg(F.max("validation_score").alias("__best"), F.count(F.lit(1)).alias("candidates"))
-    joined = pool.join(best, keys) if keys else pool.join(F.broadcast(best))   # one row when there are no keys
+    if keys:
+        joined = pool.join(best, keys)
+    else:
+        joined = pool.select("*", best.select("__best").scalar().alias("__best"), best.select("candidates").scalar().alias("candidates"))
     tied = joined.filter(F.abs(F.col("validation_score") - F.col("__best")) <= TIE_TOLERANCE)
     return tied.groupBy(*keys).agg(
         F.min_by("checkpoint_sha256", F.struct("latency", "checkpoint_sha256")).alias("checkpoint_sha256"),

@@ -99,4 +99,4 @@ def paired_bootstrap(control: DataFrame, candidate: DataFrame, samples: int = 10
     change = areas.groupBy("replicate").agg(F.sum(sign).alias("change"))
     interval = exact_quantiles(change, [], "change", {"lower": 0.025, "upper": 0.975})
     point = ranking_metrics(runs, ["run"], bounds=bounds).agg(F.sum(sign).alias("difference"))
-    return interval.join(F.broadcast(point)).select("difference", "lower", "upper", F.col("n").alias("samples"))   # one row each
+    return interval.select(point.scalar().alias("difference"), "lower", "upper", F.col("n").alias("samples"))

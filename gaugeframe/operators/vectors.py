@@ -52,21 +52,24 @@ def _nearest_in_block(k: int):
     return nearest
 
 
-def _parts(df: DataFrame, name: str, block: int) -> DataFrame:
-    return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+def _with_parts(queries: DataFrame, bank: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Add to both sides how many blocks the queries and the bank of their cell are cut into."""
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    grid = parts(queries, "query_parts").join(parts(bank, "bank_parts"), "cell")
+    return queries.join(grid, "cell"), bank.join(grid, "cell")
 
 
-def _blocked_neighbours(queries: DataFrame, bank: DataFrame, k: int, block: int) -> DataFrame:
+def _blocked_neighbours(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
     """Meet every query block with every bank block of its cell; keep k per block, then k per query.
 
     A cell of any size is cut by hash into blocks of bounded rows, so no task sees a whole cell
     and no pair of rows is ever emitted: a block pair returns at most k rows per query.
     """
-    grid = _parts(queries, "query_parts", block).join(_parts(bank, "bank_parts", block), "cell")
-    q = queries.join(grid, "cell").select(
+    q = queries.select(
         "cell", "query_id", "vector", F.pmod(F.xxhash64("query_id"), "query_parts").alias("query_part"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bank_parts") - 1)).alias("bank_part"))
-    b = bank.join(grid, "cell").select(
+    b = bank.select(
         "cell", "vec_id", "vector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("query_parts") - 1)).alias("query_part"),
         F.pmod(F.xxhash64("vec_id"), "bank_parts").alias("bank_part"))
     keys = ["cell", "query_part", "bank_part"]
@@ -86,9 +89,10 @@ def knn_exact(queries: DataFrame, bank: DataFrame, k: int, id_column: str = "vec
     size = bank.count()
     if k > size:
         raise ValueError(f"{k} neighbours asked of a bank of {size}")
-    zero = F.lit(0).alias("cell")
-    return _blocked_neighbours(_named(queries, id_column, vector, "query_id").select("*", zero),
-                               _named(bank, id_column, vector, "vec_id").select("*", zero), k, block)
+    whole = {"cell": F.lit(0), "query_parts": F.lit(math.ceil(queries.count() / block)).cast("long"),
+             "bank_parts": F.lit(math.ceil(size / block)).cast("long")}
+    return _blocked_neighbours(_named(queries, id_column, vector, "query_id").withColumns(whole),
+                               _named(bank, id_column, vector, "vec_id").withColumns(whole), k)
 
 
 def _nearest_cells(centres: np.ndarray, probes: int):
@@ -111,7 +115,7 @@ def knn_approx(queries: DataFrame, bank: DataFrame, k: int, probes: int = 4, cel
     probes = min(probes, len(centres))
     q = _named(queries, id_column, vector, "query_id").withColumn("cell", F.explode(_nearest_cells(centres, probes)("vector")))
     b = _named(bank, id_column, vector, "vec_id").withColumn("cell", _nearest_cells(centres, 1)("vector")[0])
-    return _blocked_neighbours(q, b, k, block)
+    return _blocked_neighbours(*_with_parts(q, b, block), k)
 
 
 def patch_max(neighbours: DataFrame, images: DataFrame, id_column: str = "vec_id") -> DataFrame:

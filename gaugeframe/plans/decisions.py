@@ -152,8 +152,8 @@ def weakest_and_best(v: Views):
     best = groups.groupBy("category").agg(F.max("recall").alias("r")).agg(
         F.min_by("category", F.struct((-F.col("r")).alias("b"), F.col("category"))).alias("best_category"))
     weakest = selection.weakest_group(groups, "category", "defect", "recall")
-    return weakest.join(F.broadcast(best)).select(     # best is one row
-        "category", "weakest", F.round("weakest_value", 8).alias("weakest_value"), (F.col("category") == F.col("best_category")).alias("holds_best"))
+    return weakest.select(
+        "category", "weakest", F.round("weakest_value", 8).alias("weakest_value"), (F.col("category") == best.scalar()).alias("holds_best"))
 
 
 @query(sql_more("predictions", f"""c AS (SELECT category, defect, {COUNTS_SQL.format(t=2000)} FROM predictions GROUP BY ALL)
