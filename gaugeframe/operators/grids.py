@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeframe.operators.prefix import exact_quantiles
+from gaugeframe.operators.prefix import exact_quantiles, running_totals
 from gaugeframe.runtime import rows_per_bucket
 
 
@@ -30,6 +30,13 @@ def vanishing_masks(pixels: DataFrame, keys: Sequence[str], size: tuple[int, int
         F.count_if(F.col("label") == 1).alias("defective"), F.count_if((F.col("label") == 1) & (F.col("resized") == 0)).alias("vanished"))
 
 
+def every_kth(pixels: DataFrame, k: int, width: int, image: str = "image") -> DataFrame:
+    """Every k-th of the given pixels of each image in row-major order, starting with the first."""
+    placed = pixels.withColumns({"__place": (F.col("y").cast("bigint") * width + F.col("x")), "__one": F.lit(1).cast("bigint")})
+    numbered = running_totals(placed, [image], ["__place"], ["__one"], source=placed.select(image, "__place"))
+    return numbered.filter(F.col("__one_before") % k == 0).select(*pixels.columns)
+
+
 def _line_extreme(fixed: str, along: str, radius: int, image: str):
     return Window.partitionBy(image, fixed).orderBy(along).rangeBetween(-radius, radius)
 

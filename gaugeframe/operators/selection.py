@@ -119,8 +119,9 @@ def weakest_group(groups: DataFrame, run: str, group: str, value: str) -> DataFr
 
 
 def best_per_metric(long: DataFrame, run: str) -> DataFrame:
+    """Rows (run, metric, value): the best run of each metric, the smaller name on equal values."""
     return long.filter("value IS NOT NULL").groupBy("metric").agg(
-        F.max_by(run, F.struct(F.col("value"), (-F.col(run)).alias("back"))).alias("best_run"), F.max("value").alias("best_value"))
+        F.min_by(run, F.struct((-F.col("value")).alias("back"), F.col(run))).alias("best_run"), F.max("value").alias("best_value"))
 
 
 # --- gates ----------------------------------------------------------------------------------

@@ -156,6 +156,19 @@ def weakest_and_best(v: Views):
         "category", "weakest", F.round("weakest_value", 8).alias("weakest_value"), (F.col("category") == best.scalar()).alias("holds_best"))
 
 
+@query(sql_more("predictions", f"""c AS (SELECT category, {COUNTS_SQL.format(t=4000)} FROM predictions GROUP BY category), {curve_sql('predictions', 'category')},
+  m AS (SELECT category, sum(pos * (N - fp + neg / 2)) / nullif(max(P) * max(N), 0) AS auroc, sum(pos * tp / (tp + fp)) / nullif(max(P), 0) AS ap FROM curve GROUP BY category),
+  l AS (SELECT category, unnest(['recall', 'auroc', 'ap']) AS metric, unnest([tp / nullif(tp + fn, 0), auroc, ap]) AS value FROM c JOIN m USING (category))
+  SELECT metric, first(category ORDER BY round(value, 10) DESC, category) AS best_run, round(max(value), 8) AS best_value FROM l WHERE value IS NOT NULL GROUP BY metric"""))
+def best_per_metric(v: Views):
+    from gaugeframe.sources.evidence_files import long_metrics
+    rows = v.predictions()
+    wide = rates.confusion(rows, F.lit(4000.0), ["category"]).select("category", "recall").join(
+        ranking.ranking_metrics(rows, ["category"]).select("category", "auroc", "ap"), "category")
+    long = long_metrics(wide, ["category"]).withColumn("value", F.round("value", 10))
+    return selection.best_per_metric(long, "category").withColumn("best_value", F.round("best_value", 8))
+
+
 @query(sql_more("predictions", f"""c AS (SELECT category, defect, {COUNTS_SQL.format(t=2000)} FROM predictions GROUP BY ALL)
   SELECT category, defect, coalesce(tp / nullif(tp + fn, 0) >= 0.90 AND fp / nullif(fp + tn, 0) <= 0.10, false) AS met FROM c"""))
 def quality_target(v: Views):

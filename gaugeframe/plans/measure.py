@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import scalar
-from gaugeframe.operators import ranking, rates, scoring
-from gaugeframe.operators.prefix import exact_quantiles, hash_index, ordered_index
+from gaugeframe.operators import grids, ranking, rates, scoring
+from gaugeframe.operators.prefix import exact_quantiles, hash_index
 from gaugeframe.plans.registry import query
 from gaugeframe.views import Views, sql, sql_draw, sql_more
 
@@ -239,14 +239,14 @@ def pooled_and_by_condition(v: Views):
 
 # --- quantiles ------------------------------------------------------------------------------
 
-@query(sql_more("pixels", """picked AS (SELECT score, image, row_number() OVER (PARTITION BY image ORDER BY score) - 1 AS idx FROM pixels)
-  SELECT image, count(*) AS samples, round(quantile_cont(score, 0.05), 8) AS q05, round(quantile_cont(score, 0.5), 8) AS q50,
-    round(quantile_cont(score, 0.95), 8) AS q95 FROM picked WHERE idx % 8 = 0 GROUP BY image"""))
+@query(sql_more("grid", """picked AS (SELECT kind, value, row_number() OVER (PARTITION BY image ORDER BY y, x) - 1 AS idx FROM grid WHERE value > -0.05)
+  SELECT kind, count(*) AS samples, round(quantile_cont(value, 0.05), 8) AS q05, round(quantile_cont(value, 0.5), 8) AS q50,
+    round(quantile_cont(value, 0.95), 8) AS q95 FROM picked WHERE idx % 8 = 0 GROUP BY kind"""))
 def descriptive_quantiles(v: Views):
-    indexed = ordered_index(v.pixels().select("image", "score"), ["image"], ["score"])
-    picked = indexed.filter(F.col("idx") % 8 == 0)
-    return exact_quantiles(picked, ["image"], "score", {"q05": 0.05, "q50": 0.5, "q95": 0.95}).select(
-        "image", F.col("n").alias("samples"), *[F.round(q, 8).alias(q) for q in ("q05", "q50", "q95")])
+    pixels = v.grid()
+    picked = grids.every_kth(pixels.filter(F.col("value") > -0.05), 8, 8)
+    return exact_quantiles(picked, ["kind"], "value", {"q05": 0.05, "q50": 0.5, "q95": 0.95}, source=pixels).select(
+        "kind", F.col("n").alias("samples"), *[F.round(q, 8).alias(q) for q in ("q05", "q50", "q95")])
 
 
 @query("""SELECT event_type AS device, count(*) AS measurements, round(quantile_cont(value, 0.5), 8) AS median_ms, round(quantile_cont(value, 0.95), 8) AS p95_ms,

@@ -121,6 +121,14 @@ def test_foreground_finds_a_square(spark, bucketing):
     assert out[0]["threshold"] == pytest.approx(want, abs=1e-12)
 
 
+def test_every_kth_follows_the_rows(spark, bucketing):
+    rng = np.random.default_rng(6)
+    images = [rng.random((7, 9)) for _ in range(2)]
+    kept = grids.every_kth(grid(spark, images, "v", "double").filter("v > 0.4"), 5, 9).collect()
+    for i, a in enumerate(images):
+        assert sorted(r["v"] for r in kept if r["image"] == i) == sorted(a[a > .4][::5])
+
+
 def test_blend_wraps_and_keeps_the_outside(spark):
     rng = np.random.default_rng(3)
     a, b = rng.random((6, 5)), rng.random((6, 5))
