@@ -30,27 +30,30 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
 
 
-def value_boundaries(source: DataFrame, keys: Sequence[str], order: str) -> list[float]:
+def value_boundaries(source: DataFrame, keys: Sequence[str], order: str, limit: int | None = None,
+                     most: int = MAX_BUCKETS, repeats: bool = False) -> list[float]:
     """Inner bucket boundaries, empty when no group of the source is above the limit.
 
     Boundaries are quantiles over all rows, so a bucket holds about total / buckets rows whatever
     the groups look like, and no group can hold more than that in one bucket. They come from a
-    sample of bounded size; it only decides where to cut, never what is counted.
+    sample of bounded size; it only decides where to cut, never what is counted. With ``repeats``
+    a value that fills several buckets is listed as often.
     """
-    limit = rows_per_bucket(source.sparkSession)
+    limit = limit or rows_per_bucket(source.sparkSession)
     top = group_sizes(source, keys).agg(F.max("__rows"), F.sum("__rows")).first()
     largest, total = top[0] or 0, top[1] or 0
     if largest <= limit:
         return []
-    buckets = bucket_count(total, limit)
+    buckets = bucket_count(total, limit, most)
     fraction = min(1.0, SAMPLES_PER_BUCKET * buckets / total)
     values = source.select(F.col(order).cast("double").alias("v")).sample(fraction, seed=17)
     points = [i / buckets for i in range(1, buckets)]
-    return sorted(set(values.approxQuantile("v", points, 1 / (8 * buckets))))
+    found = sorted(values.approxQuantile("v", points, 1 / (8 * buckets)))
+    return found if repeats else sorted(set(found))
 
 
-def bucket_count(rows: int, limit: int) -> int:
-    return max(2, min(MAX_BUCKETS, math.ceil(rows / limit)))
+def bucket_count(rows: int, limit: int, most: int = MAX_BUCKETS) -> int:
+    return max(2, min(most, math.ceil(rows / limit)))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str],

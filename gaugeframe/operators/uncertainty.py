@@ -2,67 +2,148 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gaugeframe.functions.scalar import hex_word, unit
-from gaugeframe.operators.prefix import exact_quantiles, hash_index
+from gaugeframe.operators.prefix import exact_quantiles, hash_index, value_boundaries
 from gaugeframe.operators.ranking import ranking_metrics, score_boundaries
 from gaugeframe.operators.splits import order_digest
+from gaugeframe.runtime import cut
 
 DRAWS_PER_HASH = 8
+CELLS_PER_BLOCK = 4_000_000
+MAX_BLOCKS = 65_536
 
 
-def _replicates(rows: DataFrame, samples: int) -> DataFrame:
-    """Each row once per replicate; the eight words of one digest serve eight replicates."""
-    blocks = (samples + DRAWS_PER_HASH - 1) // DRAWS_PER_HASH
-    return rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """Narrow rows over all tasks, before each becomes many."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *columns)
 
 
-def _words(digest: Column, samples: int) -> Column:
-    """Explodable (replicate, number) pairs of one digest."""
-    pairs = F.array(*[F.struct((F.col("__block") * DRAWS_PER_HASH + w).alias("replicate"), hex_word(digest, w).alias("number"))
-                      for w in range(DRAWS_PER_HASH)])
-    return F.explode(F.filter(pairs, lambda p: p["replicate"] < samples))
+def _blocks(samples: int) -> int:
+    return (samples + DRAWS_PER_HASH - 1) // DRAWS_PER_HASH
 
 
-def stratified_weights(rows: DataFrame, key: str, label: str, samples: int, seed: int) -> DataFrame:
-    """(replicate, key, weight): how often a row is drawn when each class is resampled to its own size."""
-    numbered = hash_index(rows.select(key, label), [label], order_digest(seed, F.col(key)), [key])
+def drawn_replicates(rows: DataFrame, key: str, label: str, samples: int, seed: int) -> DataFrame:
+    """(key, replicates): the replicates a row is drawn into, each class resampled to its own size.
+
+    A row drawn twice into a replicate lists it twice; the eight words of one digest serve eight
+    replicates. A row is drawn about once per replicate, so the lists stay near ``samples`` long.
+    """
+    numbered = cut(hash_index(rows.select(key, label), [label], order_digest(seed, F.col(key)), [key]))
     digest = F.sha2(F.concat_ws("|", F.lit(f"{seed}-draw"), F.col(label).cast("string"), F.col("idx").cast("string"),
                                 F.col("__block").cast("string")), 256)
-    drawn = (_replicates(numbered.select(label, "idx", "n"), samples)
-             .withColumn("__d", digest).select(label, "n", _words(F.col("__d"), samples).alias("w"))
+    words = F.explode(F.array(*[
+        F.struct((F.col("__block") * DRAWS_PER_HASH + w).alias("replicate"), hex_word(F.col("__d"), w).alias("number"))
+        for w in range(DRAWS_PER_HASH)]))
+    drawn = (spread(numbered.select(label, "idx", "n"), label, "idx").select(label, "idx", "n", F.explode(F.sequence(F.lit(0), F.lit(_blocks(samples) - 1))).alias("__block"))
+             .withColumn("__d", digest).select(label, "n", words.alias("w")).filter(F.col("w.replicate") < samples)
              .select("w.replicate", label, F.pmod(F.col("w.number"), F.col("n")).alias("idx"))
-             .groupBy("replicate", label, "idx").agg(F.count(F.lit(1)).alias("weight")))
-    return drawn.join(numbered.select(label, "idx", key), [label, "idx"]).select("replicate", key, "weight")
+             .groupBy(label, "idx").agg(F.collect_list("replicate").alias("replicates")))
+    return drawn.join(numbered.select(label, "idx", key), [label, "idx"]).select(key, "replicates")
 
 
-def poisson_weights(rows: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
-    """(replicate, key, weight) with Poisson(1) weights drawn per row, so no draw has to find its row.
+def poisson_replicates(rows: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
+    """(key, replicates) with Poisson(1) multiplicities drawn from the row's own digests, so no draw has to find its row.
 
     The probabilities are those of the Poisson law up to a tail below 1e-9.
     """
-    digest = F.sha2(F.concat_ws("|", F.lit(f"{seed}-poisson"), F.col(key).cast("string"), F.col("__block").cast("string")), 256)
-    u = unit(F.col("w.number"))
-    weight, mass, term = None, 0.0, 0.36787944117144233
-    for k in range(12):
-        mass += term
-        weight = F.when(u < mass, k) if weight is None else weight.when(u < mass, k)
-        term /= k + 1
-    return (_replicates(rows.select(key), samples).withColumn("__d", digest)
-            .select(key, _words(F.col("__d"), samples).alias("w"))
-            .select("w.replicate", key, weight.otherwise(12).cast("bigint").alias("weight")).filter("weight > 0"))
-
-
-def _resampled(rows: DataFrame, key: str, label: str, samples: int, seed: int, method: str) -> DataFrame:
+    def weight(u: Column) -> Column:
+        ladder, mass, term = None, 0.0, 0.36787944117144233
+        for k in range(12):
+            mass += term
+            ladder = F.when(u < mass, k) if ladder is None else ladder.when(u < mass, k)
+            term /= k + 1
+        return ladder.otherwise(12)
+
+    digests = F.transform(F.sequence(F.lit(0), F.lit(_blocks(samples) - 1)), lambda b: F.sha2(
+        F.concat_ws("|", F.lit(f"{seed}-poisson"), F.col(key).cast("string"), b.cast("string")), 256))
+    def repeated(digest: Column, block: Column) -> Column:
+        words = F.array(*[unit(hex_word(digest, w)) for w in range(DRAWS_PER_HASH)])
+        return F.flatten(F.transform(words, lambda u, w: F.array_repeat(block * DRAWS_PER_HASH + w, weight(u))))
+
+    lists = F.filter(F.flatten(F.transform(digests, repeated)), lambda r: r < samples).alias("replicates")
+    return spread(rows.select(key), key).select(key, lists).filter(F.size("replicates") > 0)
+
+
+def _replicates(rows: DataFrame, key: str, label: str, samples: int, seed: int, method: str) -> DataFrame:
     if samples < 1:
         raise ValueError("the bootstrap needs a positive number of samples")
     if method == "poisson":
-        return poisson_weights(rows, key, samples, seed)
-    return stratified_weights(rows, key, label, samples, seed)
+        return poisson_replicates(rows, key, samples, seed)
+    return drawn_replicates(rows, key, label, samples, seed)
+
+
+def _block_sums(keys: Sequence[str], samples: int, tied: set[int]):
+    """Per block and replicate: positives, negatives and the pairs the block's positives win inside it."""
+    def sums(part: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(block["score"].to_numpy(), kind="stable")
+        scores, labels = block["score"].to_numpy()[order], block["label"].to_numpy()[order] == 1
+        lists = block["replicates"].to_numpy()[order]
+        group = np.concatenate([[0], np.cumsum(scores[1:] != scores[:-1])])       # equal scores share a number
+        row = np.repeat(group, [len(x) for x in lists])
+        replicate = np.concatenate(lists).astype(np.int64)
+        positive = np.repeat(labels, [len(x) for x in lists])
+        levels = int(group[-1]) + 1
+        pos, neg, fav = (np.zeros(samples) for _ in range(3))
+        step = max(1, CELLS_PER_BLOCK // levels)
+        for start in range(0, samples, step):
+            width = min(step, samples - start)
+            inside = (replicate >= start) & (replicate < start + width)
+            cell = row[inside] * width + replicate[inside] - start
+            yes = positive[inside]
+            p, n = (np.bincount(cell[k], minlength=levels * width).reshape(levels, width) for k in (yes, ~yes))
+            below = np.cumsum(n, axis=0) - n
+            pos[start:start + width], neg[start:start + width] = p.sum(0), n.sum(0)
+            fav[start:start + width] = (p * (below + n / 2)).sum(0)
+        out = pd.DataFrame({"replicate": np.arange(samples), "pos": pos, "neg": neg, "won": fav})
+        for name, value in zip([*keys, "bucket"], part):
+            out[name] = value
+        return out[[*keys, "bucket", "replicate", "pos", "neg", "won"]]
+    return sums
+
+
+def resampled_areas(rows: DataFrame, keys: Sequence[str], samples: int, tie: str, source: DataFrame) -> DataFrame:
+    """ROC area per (keys, replicate) of rows (keys, label, score, replicates); ``source`` holds their scores.
+
+    Rows are cut into score blocks of bounded size; each block counts inside itself, and a window
+    over the blocks adds the negatives of the lower ones. A score that fills more than a block
+    gets a block of its own, which is cut by hash: inside one score only totals matter.
+    """
+    keys = list(keys)
+    limit = max(256, CELLS_PER_BLOCK // samples)
+    points = value_boundaries(source.select(*keys, "score"), keys, "score", limit, MAX_BLOCKS, repeats=True)
+    heavy = {v: n for v, n in Counter(points).items() if n > 1}
+    bounds = sorted({*points, *(float(np.nextafter(v, np.inf)) for v in heavy)})
+    tied = {bounds.index(v) + 1: n + 1 for v, n in heavy.items()}
+    splits = [-float("inf"), *(bounds or [0.0]), float("inf")]
+    blocks = Bucketizer(splits=splits, inputCol="score", outputCol="__slot").transform(
+        rows.select(*keys, F.col(tie).alias("__tie"), "label", F.col("score").cast("double").alias("score"), "replicates"))
+    blocks = blocks.withColumn("bucket", F.col("__slot").cast("int"))
+    parts = F.lit(1)
+    for slot, n in tied.items():
+        parts = F.when(F.col("bucket") == slot, n).otherwise(parts)
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("__tie"), parts))
+    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    schema = (fields + ", " if fields else "") + "bucket int, replicate int, pos double, neg double, won double"
+    work = _block_sums(keys, samples, set(tied))
+    counted = blocks.select(*keys, "bucket", "part", "label", "score", "replicates").groupBy(*keys, "bucket", "part").applyInPandas(
+        lambda part, block: work(part[:-1], block), schema)
+    whole = counted.groupBy(*keys, "bucket", "replicate").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
+    won = F.when(F.col("bucket").isin(*tied), F.col("pos") * F.col("neg") / 2).otherwise(F.col("won")) if tied else F.col("won")
+    lower = Window.partitionBy(*keys, "replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)   # at most MAX_BLOCKS rows
+    chained = whole.withColumn("won", won + F.col("pos") * F.coalesce(F.sum("neg").over(lower), F.lit(0.0)))
+    return chained.groupBy(*keys, "replicate").agg(
+        F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
 def bootstrap_auroc(rows: DataFrame, samples: int = 1000, seed: int = 42, key: str = "image", method: str = "draws") -> DataFrame:
@@ -70,18 +151,17 @@ def bootstrap_auroc(rows: DataFrame, samples: int = 1000, seed: int = 42, key: s
 
     A Poisson replicate that lost a whole class has no area and is not counted.
     """
-    weights = _resampled(rows, key, "label", samples, seed, method)
-    weighted = rows.select(key, "label", "score").join(weights, key)
-    areas = ranking_metrics(weighted, ["replicate"], weight=F.col("weight"), bounds=score_boundaries(rows))
-    out = exact_quantiles(areas, [], "auroc", {"lower": 0.025, "upper": 0.975})
+    lists = _replicates(rows, key, "label", samples, seed, method)
+    areas = resampled_areas(rows.select(key, "label", "score").join(lists, key), [], samples, key, rows)
+    out = exact_quantiles(areas, [], "auroc", {"lower": 0.025, "upper": 0.975}, bounds=[])
     return out.select(F.col("n").alias("samples"), "lower", "upper")
 
 
 def check_pairing(control: DataFrame, candidate: DataFrame, key: str, label: str, condition: str) -> None:
     """Both runs must hold the same groups, labels and variants."""
     names = [key, label, condition]
-    if not control.select(*names).exceptAll(candidate.select(*names)).isEmpty() or \
-            not candidate.select(*names).exceptAll(control.select(*names)).isEmpty():
+    both = control.select(*names, F.lit(1).alias("side")).unionByName(candidate.select(*names, F.lit(-1).alias("side")))
+    if not both.groupBy(*names).agg(F.sum("side").alias("balance")).filter("balance <> 0").isEmpty():
         raise ValueError("a paired bootstrap needs identical groups in both runs")
 
 
@@ -90,13 +170,18 @@ def paired_bootstrap(control: DataFrame, candidate: DataFrame, samples: int = 10
     """Interval of candidate minus control; groups are resampled and keep all their variants."""
     check_pairing(control, candidate, key, "label", "condition")
     groups = control.select(key, "label").distinct()
-    weights = _resampled(groups, key, "label", samples, seed, method)
+    lists = _replicates(groups, key, "label", samples, seed, method)
     runs = control.select(key, "label", "score", F.lit(0).alias("run")).unionByName(
         candidate.select(key, "label", "score", F.lit(1).alias("run")))
+    joined = runs.join(lists, key)
     bounds = score_boundaries(runs)
-    areas = ranking_metrics(runs.join(weights, key), ["replicate", "run"], weight=F.col("weight"), bounds=bounds)
+    if metric == "auroc":
+        areas = resampled_areas(joined, ["run"], samples, key, runs)
+    else:
+        exploded = joined.select("run", "label", "score", F.explode("replicates").alias("replicate"))
+        areas = ranking_metrics(exploded, ["replicate", "run"], bounds=bounds)
     sign = F.when(F.col("run") == 1, F.col(metric)).otherwise(-F.col(metric))
     change = areas.groupBy("replicate").agg(F.sum(sign).alias("change"))
-    interval = exact_quantiles(change, [], "change", {"lower": 0.025, "upper": 0.975})
+    interval = exact_quantiles(change, [], "change", {"lower": 0.025, "upper": 0.975}, bounds=[])
     point = ranking_metrics(runs, ["run"], bounds=bounds).agg(F.sum(sign).alias("difference"))
     return interval.select(point.scalar().alias("difference"), "lower", "upper", F.col("n").alias("samples"))

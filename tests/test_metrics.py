@@ -200,6 +200,35 @@ def test_poisson_and_draw_intervals_agree(spark):
     assert abs(a["lower"] - b["lower"]) < .02 and abs(a["upper"] - b["upper"]) < .02
 
 
+def test_score_blocks_equal_exploded_replicates(spark, monkeypatch):
+    """A third of the rows share one score, so that score is cut over several blocks."""
+    monkeypatch.setattr(uncertainty, "CELLS_PER_BLOCK", 1000)
+    rng = random.Random(3)
+    labels = [int(rng.random() < .3) for _ in range(3000)]
+    scores = [5.0 if rng.random() < .33 else round(rng.gauss(5 + a, 2), 2) for a in labels]
+    df = frame(spark, labels, scores).persist()
+    lists = df.join(uncertainty.poisson_replicates(df, "image", 10, 1), "image")
+    fast = {r["replicate"]: r["auroc"] for r in uncertainty.resampled_areas(lists, [], 10, "image", df).collect()}
+    exploded = lists.select("label", "score", F.explode("replicates").alias("replicate"))
+    slow = {r["replicate"]: r["auroc"] for r in ranking.ranking_metrics(exploded, ["replicate"]).collect()}
+    assert len(fast) == 10 and fast == pytest.approx(slow, abs=1e-12)
+
+
+def test_draws_keep_class_sizes(spark, bucketing):
+    df = frame(spark, [0] * 30 + [1] * 11, range(41))
+    lists = uncertainty.drawn_replicates(df, "image", "label", 13, 5).join(df, "image")
+    sizes = {(r["label"], r["c"]): r["count"] for r in lists.select("label", F.explode("replicates").alias("c")).groupBy("label", "c").count().collect()}
+    assert sizes == {(label, c): n for label, n in ((0, 30), (1, 11)) for c in range(13)}
+
+
+def test_paired_partial_area(spark):
+    rng = random.Random(1)
+    rows = [(g, c, int(g % 3 == 0), rng.random()) for g in range(60) for c in "xy"]
+    control = spark.createDataFrame(rows, "group_id int, condition string, label int, score double")
+    row = uncertainty.paired_bootstrap(control, control.withColumn("score", F.col("score") + F.col("label")), 30, metric="partial_auroc").first()
+    assert 0 < row["lower"] <= row["difference"] <= row["upper"] + .2
+
+
 def test_area_bins_keep_empty_rows(spark):
     df = frame(spark, [1, 1, 0], [.9, .1, .9])
     got = {r["area_bin"]: r for r in rates.area_groups(df, F.lit(.02), F.lit(.5)).collect()}
