@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from gaugeframe.functions.arrays import mean_abs_difference
 from gaugeframe.runtime import cut
 
-HOT_BAND_ROWS = 512
+CROWD_ROWS = 64       # a key with more rows is told apart by levels
+PART_ROWS = 256       # what is still larger is cut into parts
 
 
 def first_seen(records: DataFrame, content: str, path: str) -> DataFrame:
@@ -51,7 +52,7 @@ def bands_for(rows: int, distance: int) -> int:
 
 def near_duplicates(items: DataFrame, distance: int = 2, tolerance: float = 0.004, path: str = "path",
                     content: str = "content_hash", fingerprint: str = "fp", thumb: str = "thumb",
-                    hot_rows: int = HOT_BAND_ROWS, bands: int | None = None) -> DataFrame:
+                    crowd_rows: int = CROWD_ROWS, part_rows: int = PART_ROWS, bands: int | None = None) -> DataFrame:
     """Pairs of different contents within the Hamming distance and the mean difference.
 
     Equal content is collapsed to its first path first, so copies cost nothing here; each pair
@@ -86,11 +87,11 @@ def near_duplicates(items: DataFrame, distance: int = 2, tolerance: float = 0.00
     rows = unique.withColumns({"first_half": level(sums[:half]), "second_half": level(sums[half:])}).withColumn("key", keys).select(
         "path", "fp", "copies", "size", *sums, "first_half", "second_half", "key.no", "key.bits")
     # Crowded keys are told apart by their half-thumbnail levels, then cut into parts.
-    crowds = rows.groupBy("no", "bits").agg(F.count(F.lit(1)).alias("crowd")).filter(F.col("crowd") > hot_rows)
+    crowds = rows.groupBy("no", "bits").agg(F.count(F.lit(1)).alias("crowd")).filter(F.col("crowd") > crowd_rows)
     rows = rows.join(crowds, ["no", "bits"], "left").withColumn("crowded", F.col("crowd").isNotNull()).drop("crowd")
     rows = rows.withColumns({h: F.when(F.col("crowded"), F.col(h)).otherwise(F.lit(0)) for h in ("first_half", "second_half")})
     bucket = ["no", "bits", "first_half", "second_half"]
-    crowded = (rows.filter("crowded").groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / hot_rows).alias("parts"))
+    crowded = (rows.filter("crowded").groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
                .filter(F.col("parts") > 1))
     # The side that stays: split by row inside crowded buckets.
     stay = rows.join(crowded, bucket, "left").withColumn("part", F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1))))
@@ -105,9 +106,10 @@ def near_duplicates(items: DataFrame, distance: int = 2, tolerance: float = 0.00
     b = travel.select(*bucket, "part", *[F.col(f).alias(f"right_{f}") for f in fields])
     apart = F.col("left_fp").bitwiseXOR(F.col("right_fp"))
     bound = sum((F.abs(F.col(f"left_{n}") - F.col(f"right_{n}")) for n in sums), F.lit(0.0))
-    keep = (F.col("left_path") < F.col("right_path")) & (F.bit_count(apart) <= distance) & (bound <= widest)
+    keep = F.bit_count(apart) <= distance
     for i, m in enumerate(masks[:-1]):
         keep = keep & ((F.col("no") <= i) | (apart.bitwiseAND(F.lit(m)) != 0))
+    keep = keep & (bound <= widest) & (F.col("left_path") < F.col("right_path"))
     pairs = a.join(b, [*bucket, "part"]).filter(keep).select(
         "left_path", "right_path", F.bit_count(apart).cast("int").alias("hamming"), "left_copies", "right_copies")
     pictures = items.select(F.col(path).alias("path"), F.col(thumb).alias("thumb"))

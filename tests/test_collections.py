@@ -59,7 +59,7 @@ def test_near_duplicates_against_all_pairs(spark, hot_rows, bands):
             fp, thumb, content = 12345 ^ int(sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 4), replace=False))), centre + rng.normal(0, .006, 64), f"c{i}"
         rows.append((f"p{i:02d}", content, int(fp), [float(x) for x in thumb]))
     df = spark.createDataFrame(rows, "path string, content_hash string, fp long, thumb array<double>").repartition(4)
-    got = {(r["left_path"], r["right_path"]): r for r in duplicates.near_duplicates(df, 2, .004, hot_rows=hot_rows, bands=bands).collect()}
+    got = {(r["left_path"], r["right_path"]): r for r in duplicates.near_duplicates(df, 2, .004, crowd_rows=hot_rows, part_rows=hot_rows + 1, bands=bands).collect()}
     first = {}
     for p, c, f, t in rows:
         first.setdefault(c, (p, f, t))
@@ -70,7 +70,7 @@ def test_near_duplicates_against_all_pairs(spark, hot_rows, bands):
             if bin(f ^ g).count("1") <= 2 and np.abs(np.array(t) - u).mean() <= .004:
                 want[(p, q)] = bin(f ^ g).count("1")
     assert want and {k: r["hamming"] for k, r in got.items()} == want
-    assert duplicates.near_duplicates(df, 2, .004, hot_rows=hot_rows, bands=bands).count() == len(want)
+    assert duplicates.near_duplicates(df, 2, .004, crowd_rows=hot_rows, part_rows=hot_rows + 1, bands=bands).count() == len(want)
 
 
 def test_groups_and_quarantine(spark):
