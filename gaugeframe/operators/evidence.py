@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.scalar import row_digest
-
 
 def close(a: Column, b: Column, relative: float = 1e-12, absolute: float = 1e-15) -> Column:
     near = F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
@@ -59,7 +57,7 @@ def started_too_early(evaluations: DataFrame, freezes: DataFrame, keys: Sequence
         F.col("frozen_at").isNull() | F.col("started_at").isNull() | (F.col("started_at") < F.col("frozen_at")))
 
 
-def config_disagreements(runs: DataFrame, keys: Sequence[str], config: str, free: Sequence[str], digest_only: bool = False) -> DataFrame:
+def config_disagreements(runs: DataFrame, keys: Sequence[str], config: str, free: Sequence[str]) -> DataFrame:
     """Groups whose run configurations differ outside the named free fields."""
     fixed = F.map_filter(config, lambda k, _: ~k.isin(*free))
     text = F.array_join(F.array_sort(F.transform(F.map_entries(fixed), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n")
@@ -88,6 +86,3 @@ def gallery_violations(stored: DataFrame, predictions: DataFrame, decisions: Dat
         "decision", F.lit(None).cast("string").alias("subject"), F.lit("group size").alias("reason"))
     return odd.unionByName(sizes)
 
-
-def digest_of(names: Sequence[str]) -> Column:
-    return row_digest(names)

@@ -23,14 +23,9 @@ def score_histogram(df: DataFrame, keys: Sequence[str], score: str = "score", la
         F.sum(w * F.col(label)).alias("pos"), F.sum(w * (1 - F.col(label))).alias("neg"))
 
 
-def roc_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
-               weight: Column | None = None, bounds: list[float] | None = None,
-               source: DataFrame | None = None) -> DataFrame:
-    """One row per threshold with tp, fp (score >= threshold), fpr and tpr."""
-    keys = list(keys)
-    hist = score_histogram(df, keys, score, label, weight)
-    if source is None and bounds is None:
-        source = df.select(*keys, F.col(score).alias("score"))
+def curve_points(hist: DataFrame, keys: Sequence[str], source: DataFrame | None = None,
+                 bounds: list[float] | None = None) -> DataFrame:
+    """Histogram rows (keys, score, pos, neg) with tp, fp (score >= threshold), tpr and fpr."""
     curve = running_totals(hist, keys, ["score"], ["pos", "neg"], source=source, bounds=bounds)
     return curve.select(
         *keys, "score", "pos", "neg", F.col("neg_before").alias("negatives_below"),
@@ -39,6 +34,15 @@ def roc_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", la
     ).withColumns({"tpr": F.try_divide("tp", "positives"), "fpr": F.try_divide("fp", "negatives")})
 
 
+def roc_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
+               weight: Column | None = None, bounds: list[float] | None = None,
+               source: DataFrame | None = None) -> DataFrame:
+    """One row per threshold of labelled scores."""
+    if source is None and bounds is None:
+        source = df.select(*keys, F.col(score).alias("score"))
+    return curve_points(score_histogram(df, keys, score, label, weight), list(keys), source, bounds)
+
+
 def _partial_slice(limit: float) -> Column:
     """Area below one ROC segment, cut at the false-positive limit."""
     x1, y1 = F.col("fpr"), F.col("tpr")
@@ -77,14 +81,7 @@ def with_pooled(df: DataFrame, key: str, pooled: str = "pooled") -> DataFrame:
 def metrics_from_histogram(hist: DataFrame, keys: Sequence[str], source: DataFrame | None = None,
                            max_fpr: float = 0.1) -> DataFrame:
     """The same metrics when the caller already holds (keys, score, pos, neg)."""
-    keys = list(keys)
-    curve = running_totals(hist, keys, ["score"], ["pos", "neg"], source=source)
-    points = curve.select(
-        *keys, "score", "pos", "neg", F.col("neg_before").alias("negatives_below"),
-        (F.col("pos_total") - F.col("pos_before")).alias("tp"), (F.col("neg_total") - F.col("neg_before")).alias("fp"),
-        F.col("pos_total").alias("positives"), F.col("neg_total").alias("negatives")
-    ).withColumns({"tpr": F.try_divide("tp", "positives"), "fpr": F.try_divide("fp", "negatives")})
-    return summarise(points, keys, max_fpr)
+    return summarise(curve_points(hist, list(keys), source), keys, max_fpr)
 
 
 def pixel_average_precision(pixels: DataFrame, keys: Sequence[str] = (), no_positive: str = "null") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.operators.prefix import ordered_index, running_totals
+from gaugeframe.operators.prefix import ordered_index
 
 TIE_TOLERANCE = 1e-12
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd

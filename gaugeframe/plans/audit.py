@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import arrays, scalar
-from gaugeframe.operators import integrity, ranking, rates
+from gaugeframe.operators import integrity, rates
 from gaugeframe.plans.registry import query
 from gaugeframe.runtime import scratch
 from gaugeframe.sources import assets, evidence_files

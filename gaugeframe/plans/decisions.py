@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gaugeframe.operators import evidence, ranking, rates, selection, uncertainty
-from gaugeframe.plans.measure import COUNTS_SQL, PARTIAL_SQL, RATES_SQL, curve_sql
+from gaugeframe.plans.measure import COUNTS_SQL, curve_sql
 from gaugeframe.plans.registry import query
 from gaugeframe.views import Views, sql, sql_draw, sql_more
 

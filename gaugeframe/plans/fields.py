@@ -2,7 +2,6 @@
 
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaugeframe.functions.scalar import draw
 from gaugeframe.operators import grids, rates, vectors
@@ -11,7 +10,7 @@ from gaugeframe.plans.registry import query
 from gaugeframe.runtime import scratch
 from gaugeframe.schemas import DOCUMENT
 from gaugeframe.streaming import decisions
-from gaugeframe.views import Views, sql, sql_draw, sql_more
+from gaugeframe.views import Views, sql_draw, sql_more
 
 NEIGHBOURS = """pairs AS (SELECT q.vec_id AS query_id, q.image, b.vec_id AS neighbour_id, list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - b.embedding[i]) ** 2)) AS distance
     FROM vectors q JOIN vectors b ON NOT q.is_bank AND b.is_bank),
