@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +30,17 @@ def rows_per_bucket(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only when the session names none."""
+    """The cluster's shared folder; where the session names none, one inside the warehouse.
+
+    A warehouse on a local disk is only accepted when the executors share it, which is a local master.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="gaugeframe-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")) and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{warehouse.rstrip('/')}/gaugeframe-scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
