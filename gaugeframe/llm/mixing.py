@@ -15,8 +15,8 @@ from gaugeframe.runtime import cut, tune
 
 MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
-CYCLES = 12
-TOLERANCE = 1e-6
+CYCLES = 20
+TOLERANCE = 1e-4
 
 
 def token_count(text: str = "text") -> Column:

@@ -110,7 +110,8 @@ def findings(documents: DataFrame, ledger: DataFrame, doc_id: str = "doc_id", te
     at = documents.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("blob"))
     spans = F.coalesce("found", F.array().cast(SPAN))
     joined = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter(spans, lambda s, k=r.kind: s["kind"] == k)).cast("bigint").alias(f"n_{r.kind}") for r in rules]
+    number = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+    counts = [number(r.kind).alias(f"n_{r.kind}") for r in rules]
     return at.join(hits, "blob", "left").select("doc_id", *counts, F.sha2(joined.cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))
 
 
