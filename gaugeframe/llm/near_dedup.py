@@ -6,7 +6,7 @@ coordinates of one shingle are a slice of a table and a signature is the minimum
 
 Texts with equal sets collapse to one node before anything is compared. In a bucket every node is
 compared with the bucket's most central node only; nodes that this leaves in another component
-are then compared with those others that the pivot's counts do not rule out. Groups of copies thus
+are then compared with those others that counts per hash segment around the pivot do not rule out. Groups of copies thus
 cost a comparison per member, and no link that banding proposes is lost.
 """
 
@@ -28,7 +28,8 @@ UNIVERSE = 1 << 22
 COORDINATES = 128
 BANDS = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BIN = 0.2
+SEGMENTS = 64
+BLOCK_ROWS = 512
 
 
 class _WordIds(dict):
@@ -133,28 +134,41 @@ def _sets(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, words: int
     return cut(per_batch(wanted, make, f"node {kind}, shingles binary").dropDuplicates(["node", "shingles"]))
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, shared, size_a, size_b for every pair, counted on full sets."""
+def _segments(shingles: np.ndarray) -> np.ndarray:
+    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=SEGMENTS)
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, profiles: bool = False) -> DataFrame:
+    """a, b, shared, size_a, size_b for every pair, counted on full sets.
+
+    With ``profiles`` also the counts of a's shingles inside and outside b per hash segment, as packed numbers.
+    """
     kind = dict(pairs.dtypes)["a"]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            shared, size_a, size_b = [], [], []
+            shared, size_a, size_b, inside, outside = [], [], [], [], []
             for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                shared.append(int((large[at] == small).sum()))
+                both = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                shared.append(int(both.sum()))
                 size_a.append(len(x))
                 size_b.append(len(y))
-            numbers = [pa.array(v, pa.int64()) for v in (shared, size_a, size_b)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers],
-                                              names=["a", "b", "shared", "size_a", "size_b"])
+                if profiles:
+                    inside.append(_segments(x[both]).astype("<u4").tobytes())
+                    outside.append(_segments(x[~both]).astype("<u4").tobytes())
+            columns = [batch.column(0), batch.column(1), *[pa.array(v, pa.int64()) for v in (shared, size_a, size_b)]]
+            names = ["a", "b", "shared", "size_a", "size_b"]
+            if profiles:
+                columns += [pa.array(inside, pa.binary()), pa.array(outside, pa.binary())]
+                names += ["inside", "outside"]
+            return pa.RecordBatch.from_arrays(columns, names=names)
         return work
 
     joined = (pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
               .select("a", "b", "set_a", "set_b"))
-    return cut(per_batch(joined, make, f"a {kind}, b {kind}, shared bigint, size_a bigint, size_b bigint"))
+    more = ", inside binary, outside binary" if profiles else ""
+    return cut(per_batch(joined, make, f"a {kind}, b {kind}, shared bigint, size_a bigint, size_b bigint{more}"))
 
 
 def _linked(percent: int):
@@ -185,7 +199,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     pairs = near.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), doc_id, text, words)
-    stars = _compare(pairs, sets)
+    stars = _compare(pairs, sets, profiles=True)
     links = stars.filter(_linked(percent)).select("a", "b")
     components = cut(connected_components(links, "a", "b"))
     more = _remaining(near, stars, components, percent)
@@ -203,30 +217,44 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _remaining(near: DataFrame, stars: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     """Pairs around one pivot that are in different components and that the pivot's counts do not rule out.
 
-    With s and t shared with the pivot, two sets share at most min(s, t) inside it and the smaller
-    rest outside. The distance to the pivot also obeys the triangle inequality, which the bins use.
+    Per hash segment two sets share at most the smaller of their counts inside the pivot, and the smaller of those
+    outside. Blocks of nodes meet blocks of nodes outside the pivot's component; only pairs that pass come out.
     """
     label = lambda name: components.select(F.col("node").alias(name), F.col("component").alias(f"{name}_label"))
-    rows = (near.join(stars.toDF("node", "pivot", "shared", "size", "pivot_size"), ["node", "pivot"])
+    rows = (near.join(stars.toDF("node", "pivot", "shared", "size", "pivot_size", "inside", "outside"), ["node", "pivot"])
             .join(label("node"), "node", "left").join(label("pivot"), "pivot", "left")
             .withColumn("label", F.coalesce("node_label", "node"))
-            .withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
-            .withColumn("away", 1 - F.col("shared") / (F.col("size") + F.col("pivot_size") - F.col("shared")))
-            .withColumn("bin", F.floor(F.col("away") / BIN).cast("int")))
-    rows = cut(rows.select("pivot", "node", "label", "shared", "size", "away", "bin", (F.col("label") != F.col("pivot_label")).alias("apart")))
-    reach = (1 - percent / 100) + 1e-9
-    steps = int(reach // BIN) + 1
-    left = rows.filter("apart").withColumn("bin", F.explode(F.sequence(F.col("bin") - steps, F.col("bin") + steps)))
-    a = left.select("pivot", "bin", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "shared", "size", "away", "apart")])
-    b = rows.select("pivot", "bin", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "shared", "size", "away", "apart")])
-    most = (F.least("a_shared", "b_shared")
-            + F.least(F.col("a_size") - F.col("a_shared"), F.col("b_size") - F.col("b_shared")))
-    keep = ((F.col("a_label") != F.col("b_label"))
-            & (~F.col("b_apart") | (F.col("a_node") < F.col("b_node")))
-            & (F.abs(F.col("a_away") - F.col("b_away")) <= reach)
-            & (100 * most >= percent * (F.col("a_size") + F.col("b_size") - most)))
-    return (a.join(b, (a["pivot"] == b["pivot"]) & (a["bin"] == b["bin"]) & keep)
-            .select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
+            .withColumn("apart", F.col("label") != F.coalesce("pivot_label", "pivot")))
+    rows = cut(rows.select("pivot", "node", "label", "inside", "outside", "apart"))
+    count = lambda what, name: F.ceil(what / BLOCK_ROWS).cast("int").alias(name)
+    blocks = rows.groupBy("pivot").agg(count(F.count(F.lit(1)), "blocks"), count(F.count_if("apart"), "apart_blocks")).filter("apart_blocks > 0")
+    sized = rows.join(blocks, "pivot")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    fields = ["pivot", "node", "label", "inside", "outside", "apart"]
+    a = sized.filter("apart").select(*fields, place("apart_blocks").alias("i"), every("blocks").alias("j"))
+    b = sized.select(*fields, place("blocks").alias("jj"), every("apart_blocks").alias("ii")).toDF(*[f"right_{f}" for f in (*fields, "j", "i")])
+    kind = dict(near.dtypes)["node"]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        unpack = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), dtype="<u4").reshape(-1, SEGMENTS).astype(np.int64)
+        plain = lambda t, c: np.array(t.column(c).to_pylist())
+        found_a, found_b = [], []
+        if left.num_rows and right.num_rows:
+            in_b, out_b, nodes_b, labels_b, apart_b = (unpack(right, "right_inside"), unpack(right, "right_outside"), plain(right, "right_node"),
+                                                       plain(right, "right_label"), plain(right, "right_apart"))
+            sizes_b = in_b.sum(axis=1) + out_b.sum(axis=1)
+            for in_a, out_a, node, own in zip(unpack(left, "inside"), unpack(left, "outside"), plain(left, "node"), plain(left, "label")):
+                most = np.minimum(in_b, in_a).sum(axis=1) + np.minimum(out_b, out_a).sum(axis=1)
+                union = in_a.sum() + out_a.sum() + sizes_b - most
+                keep = (labels_b != own) & (~apart_b | (node < nodes_b)) & (100 * most >= percent * union)
+                found_b += nodes_b[keep].tolist()
+                found_a += [node.item()] * int(keep.sum())
+        kinds = left.schema.field("node").type
+        return pa.table({"a": pa.array(found_a, kinds), "b": pa.array(found_b, kinds)})
+
+    pairs = a.groupBy("pivot", "i", "j").cogroup(b.groupBy("right_pivot", "right_i", "right_j")).applyInArrow(meet, f"a {kind}, b {kind}")
+    return cut(pairs.distinct())
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
