@@ -16,7 +16,7 @@ from gaugeframe.runtime import cut, tune
 MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
 CYCLES = 20
-TOLERANCE = 1e-4
+TOLERANCE = 1e-3
 
 
 def token_count(text: str = "text") -> Column:
@@ -48,24 +48,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES,
     cycle differs from 1 by more than ``tolerance`` or after ``cycles``.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    current = cut(cells.withColumn("factor", F.lit(1.0)))
+    current = cells.withColumn("factor", F.lit(1.0))
+    for margin, target in targets.items():
+        goal = target.select(F.col(margin).alias("__goal"), (F.col("target") * F.lit(total)).alias(f"__{margin}"))
+        current = current.join(goal, F.col(margin).eqNullSafe(F.col("__goal")), "left").drop("__goal")
+    current = cut(current)
     for _ in range(cycles):
-        worst = F.lit(0.0)
-        for margin, target in targets.items():
-            sums = current.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("factor")).alias("mass"))
-            goal = target.select(F.col(margin).alias("__goal"), "target")
-            step = (sums.join(goal, F.col(margin).eqNullSafe(F.col("__goal"))).filter("mass > 0")
-                    .select(F.col(margin).alias("__key"), (F.col("target") * F.lit(total) / F.col("mass")).alias("__step")))
-            current = (current.join(step, F.col(margin).eqNullSafe(F.col("__key")), "left")
-                       .withColumn("factor", F.col("factor") * F.coalesce("__step", F.lit(1.0)))
-                       .withColumn(f"__off_{margin}", F.abs(F.coalesce("__step", F.lit(1.0)) - 1)).drop("__key", "__step"))
-            worst = F.greatest(worst, F.col(f"__off_{margin}"))
-        current = cut(current.withColumn("__off", worst).drop(*[f"__off_{m}" for m in targets]))
-        off = current.agg(F.max("__off")).first()[0] or 0.0
+        off = F.lit(0.0)
+        for margin in targets:
+            step = (current.groupBy(margin).agg((F.try_divide(F.first(f"__{margin}"), F.sum(F.col("tokens") * F.col("factor")))).alias("__step"))
+                    .filter("__step IS NOT NULL").select(F.col(margin).alias("__key"), "__step"))
+            current = current.join(step, F.col(margin).eqNullSafe(F.col("__key")), "left").drop("__key")
+            change = F.coalesce("__step", F.lit(1.0))
+            current = current.withColumn("factor", F.col("factor") * change).withColumn(f"__off_{margin}", F.abs(change - 1)).drop("__step")
+            off = F.greatest(off, F.col(f"__off_{margin}"))
+        current = cut(current.withColumn("__off", off).drop(*[f"__off_{m}" for m in targets]))
+        worst = current.agg(F.max("__off")).first()[0] or 0.0
         current = current.drop("__off")
-        if off <= tolerance:
+        if worst <= tolerance:
             break
-    return current
+    return current.drop(*[f"__{m}" for m in targets])
 
 
 def calibrated(docs: DataFrame, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source",
