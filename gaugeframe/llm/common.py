@@ -47,3 +47,11 @@ def words_of(raw: bytes) -> list[bytes]:
 def drop_rows(frame: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not listed; columns and their order stay."""
     return frame.join(dropped.select(F.col(key)), key, "left_anti").select(*[F.col(f"`{c}`") for c in frame.columns])
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name

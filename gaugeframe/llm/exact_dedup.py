@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeframe.llm.common import fresh
 from gaugeframe.runtime import cut, tune
 
 HEAD = 16
@@ -73,14 +74,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Rows are told apart by id and text, so an id that occurs with two texts loses only the repeated one.
     """
     result = exact_duplicates(docs, doc_id, text)
+    own, sha = fresh(docs, "__id"), fresh(docs, "__sha")
     lost = result.filter(~F.col("kept")).select(
-        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"),
+        F.col("doc_id").alias(own), F.unhex("text_sha256").alias(sha),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__same"))
     digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (digest == F.col("__sha"))
-    copies = lost.filter(~F.col("__same")).select("__id", "__sha").distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(own)) & (digest == F.col(sha))
+    copies = lost.filter(~F.col("__same")).select(own, sha).distinct()
     left = docs.join(copies.hint("shuffle_hash"), same, "left_anti")
-    repeats = lost.filter("__same").select("__id", "__sha").distinct()
+    repeats = lost.filter("__same").select(own, sha).distinct()
     if repeats.isEmpty():
         return left
     once = docs.join(repeats, same, "left_semi").dropDuplicates([doc_id, text])

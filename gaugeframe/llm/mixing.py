@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.scalar import draw, unit
+from gaugeframe.llm.common import fresh
 from gaugeframe.runtime import cut, tune
 
 MARGINS = ("source", "lang", "topic")
@@ -99,5 +100,6 @@ def calibrated(docs: DataFrame, seed: int = 11, doc_id: str = "doc_id", text: st
 
 def sample(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The drawn documents; columns stay as they are."""
-    decided = calibrated(docs, doc_id=doc_id, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(decided.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    own = fresh(docs, "__id")
+    decided = calibrated(docs, doc_id=doc_id, **options).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(decided.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col(own)), "left_semi")
