@@ -9,8 +9,8 @@ total length and decodes the chunks.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +23,7 @@ from gaugeframe.runtime import scratch, tune
 
 SEGMENT_BYTES = 64 * 1024
 CHUNK_BYTES = 4096
-ARCHIVE_BYTES = 8 * 1024 * 1024
+ARCHIVE_RECORDS = 2000
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
 BETWEEN = b"\r\n\r\n"
@@ -99,7 +99,7 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
-                   segment: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+                   segment: int = SEGMENT_BYTES, records_per_archive: int = ARCHIVE_RECORDS) -> None:
     """Write a record per row into archives under ``folder``.
 
     Of equal payloads the row with the largest id is the response, others revisit it; rows tied at that id are all
@@ -113,12 +113,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     best = narrow.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     revisits = (narrow.join(best, "sha").filter("NOT (page_id <=> refers_to)")
                 .select(F.col("page_id").alias("__page"), F.col("sha").alias("__sha"), "refers_to").distinct())
-    total = rows.agg(F.sum(F.length("payload"))).first()[0] or 0
-    parts = max(1, math.ceil(total / archive_bytes))
     same = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("sha") == F.col("__sha"))
-    marked = (keyed.join(revisits, same, "left")
-              .select("page_id", "url", "payload", F.col("__sha").isNotNull().alias("revisit"), "refers_to")
-              .repartition(parts, F.xxhash64("page_id", "payload")))
+    marked = (keyed.join(revisits.hint("shuffle_hash"), same, "left")
+              .select("page_id", "url", "payload", F.col("__sha").isNotNull().alias("revisit"), "refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +123,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = marked.mapInArrow(write, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", BETWEEN.decode()).text(folder)
+    records.select(F.col("record").cast("string").alias("value")).write.options(
+        lineSep=BETWEEN.decode(), compression="gzip", maxRecordsPerFile=records_per_archive).text(folder)
 
 
 _FIELDS = ("page_id bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, "
@@ -157,7 +155,7 @@ def read_archives(spark, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for h, block in parse(content.as_py()):
+                for h, block in parse(gzip.decompress(content.as_py())):
                     kind, digest = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha1:")
                     number, length, stored = _number(h.get("warc-segment-number")), None, None
                     if kind == "revisit":

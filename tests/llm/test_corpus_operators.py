@@ -206,7 +206,7 @@ def test_warc(spark):
     real = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/pages.parquet").select("page_id", "url", "html").collect()]
     for rows in (hard, real):
         table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit(1)).withColumn("payload", F.lit(2))
-        got = warc.archive_round_trip(table, segment=30000, archive_bytes=200000).collect()
+        got = warc.archive_round_trip(table, segment=30000, records_per_archive=7).collect()
         assert all(r.intact for r in got)
         assert sorted((tuple(r)[:5] for r in got), key=str) == pages_by_force(rows)
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
