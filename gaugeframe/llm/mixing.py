@@ -16,8 +16,10 @@ from gaugeframe.runtime import cut, tune
 
 MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
-CYCLES = 20
+CYCLES = 100
 TOLERANCE = 1e-3
+# Up to this many cells are raked in one task and broadcast to the documents; more are shuffled.
+CELLS_PER_TASK = 50_000
 
 
 def token_count(text: str = "text") -> Column:
@@ -37,29 +39,35 @@ def topic_of(text: str = "text") -> Column:
 def tempered_targets(cells: DataFrame, margin: str, temperature: float = TEMPERATURE) -> DataFrame:
     """margin, target: shares of tokens raised to the temperature and scaled to one."""
     sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("tokens")).filter("tokens > 0")
-    raised = cut(sums.select(margin, F.pow("tokens", F.lit(temperature)).alias("raised")))
+    raised = sums.select(margin, F.pow("tokens", F.lit(temperature)).alias("raised"))
     total = raised.agg(F.sum("raised")).first()[0] or 1.0
     return raised.select(margin, (F.col("raised") / F.lit(total)).alias("target"))
 
 
+def _tasks(cells: DataFrame) -> int:
+    return 1 + cells.count() // CELLS_PER_TASK
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with ``factor``: the multiplier of a cell's tokens under which every marginal has its target share.
 
     A category without a target keeps its weight; a target without tokens is left out. Stops when no factor of a
-    cycle differs from 1 by more than ``tolerance`` or after ``cycles``.
+    cycle differs from 1 by more than ``tolerance`` or after ``cycles``. Cells that fit one task are raked in one, without a shuffle.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    current = cells.withColumn("factor", F.lit(1.0))
+    tasks = _tasks(cells)
+    beside = (lambda frame: frame.hint("shuffle_hash")) if tasks == 1 else (lambda frame: frame)
+    current = cells.coalesce(tasks).withColumn("factor", F.lit(1.0))
     for margin, target in targets.items():
         goal = target.select(F.col(margin).alias("__goal"), (F.col("target") * F.lit(total)).alias(f"__{margin}"))
-        current = current.join(goal, F.col(margin).eqNullSafe(F.col("__goal")), "left").drop("__goal")
+        current = current.join(beside(goal), F.col(margin).eqNullSafe(F.col("__goal")), "left").drop("__goal")
     current = cut(current)
     for _ in range(cycles):
-        off = F.lit(0.0)
+        current, off = current.coalesce(tasks), F.lit(0.0)
         for margin in targets:
             step = (current.groupBy(margin).agg((F.try_divide(F.first(f"__{margin}"), F.sum(F.col("tokens") * F.col("factor")))).alias("__step"))
                     .filter("__step IS NOT NULL").select(F.col(margin).alias("__key"), "__step"))
-            current = current.join(step, F.col(margin).eqNullSafe(F.col("__key")), "left").drop("__key")
+            current = current.join(beside(step), F.col(margin).eqNullSafe(F.col("__key")), "left").drop("__key")
             change = F.coalesce("__step", F.lit(1.0))
             current = current.withColumn("factor", F.col("factor") * change).withColumn(f"__off_{margin}", F.abs(change - 1)).drop("__step")
             off = F.greatest(off, F.col(f"__off_{margin}"))
@@ -71,35 +79,57 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES,
     return current.drop(*[f"__{m}" for m in targets])
 
 
+def _fitted(cells: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """source, lang, topic, weight, probability of every cell."""
+    cells = cells.coalesce(_tasks(cells))
+    fitted = rake(cells, targets or {m: tempered_targets(cells, m) for m in MARGINS})
+    largest = fitted.filter("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
+    return fitted.select(*MARGINS, F.when(F.col("tokens") > 0, F.col("factor")).otherwise(F.lit(1.0)).alias("weight"),
+                         F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") / F.lit(largest)))
+                         .otherwise(F.lit(1.0)).alias("probability"))
+
+
+def _beside_cells(rows: DataFrame, cells: DataFrame, own: dict[str, str]) -> DataFrame:
+    """rows with the columns of their cell; ``own`` names the column of the rows for each margin."""
+    same = F.lit(True)
+    for m in MARGINS:
+        same = same & F.col(own[m]).eqNullSafe(F.col(f"__cell_{m}"))
+    renamed = cells.withColumnsRenamed({m: f"__cell_{m}" for m in MARGINS})
+    return rows.join(F.broadcast(renamed) if _tasks(cells) == 1 else renamed, same).drop(*[f"__cell_{m}" for m in MARGINS])
+
+
+def _drawn(doc_id: Column, probability: Column, seed: int) -> Column:
+    return unit(draw(seed, F.coalesce(doc_id.cast("string"), F.lit("")))) < probability
+
+
 def calibrated(docs: DataFrame, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source",
                lang: str = "lang", topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, kept, one row per input row.
 
     ``weight`` is the raked multiplier, ``probability`` that weight over the largest of all cells with tokens, so expected
-    tokens have the target marginals exactly. Null source or language is a category of its own. Cells
+    tokens have the target marginals up to the tolerance of the raking. Null source or language is a category of its own. Cells
     without tokens have weight 1 and are kept, since they change no share. Rows with one id share one draw. Without
     targets the shares of tokens raised to TEMPERATURE are the targets. Empty input gives no rows.
     """
     tune(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(lang).alias("lang"),
-                       (topic if topic is not None else topic_of(text)).alias("topic"), token_count(text).alias("tokens"))
-    rows = cut(rows)
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(lang).alias("lang"),
+                           (topic if topic is not None else topic_of(text)).alias("topic"), token_count(text).alias("tokens")))
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
-    fitted = rake(cells, targets or {m: tempered_targets(cells, m) for m in MARGINS})
-    largest = fitted.filter("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
-    weights = fitted.select(*[F.col(m).alias(f"__{m}") for m in MARGINS],
-                            F.when(F.col("tokens") > 0, F.col("factor")).otherwise(F.lit(1.0)).alias("weight"),
-                            F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") / F.lit(largest)))
-                            .otherwise(F.lit(1.0)).alias("probability"))
-    same = F.lit(True)
-    for m in MARGINS:
-        same = same & F.col(m).eqNullSafe(F.col(f"__{m}"))
-    kept = (unit(draw(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) < F.col("probability")).alias("kept")
-    return rows.join(weights, same).select("doc_id", *MARGINS, "tokens", "weight", "probability", kept)
+    weights = _fitted(cells, targets)
+    out = _beside_cells(rows, weights, {m: m for m in MARGINS})
+    return out.select("doc_id", *MARGINS, "tokens", "weight", "probability", _drawn(F.col("doc_id"), F.col("probability"), seed).alias("kept"))
 
 
-def sample(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The drawn documents; columns stay as they are."""
-    own = fresh(docs, "__id")
-    decided = calibrated(docs, doc_id=doc_id, **options).filter("kept").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(decided.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col(own)), "left_semi")
+def sample(docs: DataFrame, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+           lang: str = "lang", topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows that ``calibrated`` keeps; columns stay as they are and texts are not shuffled."""
+    tune(docs.sparkSession)
+    form = topic if topic is not None else topic_of(text)
+    cells = docs.select(F.col(source).alias("source"), F.col(lang).alias("lang"), form.alias("topic"), token_count(text).alias("tokens"))
+    cells = cut(cells.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
+    weights = _fitted(cells, targets)
+    own, chance = fresh(docs, "__topic"), fresh(docs, "__probability")
+    rows = docs.withColumn(own, form)
+    weights = weights.select(*MARGINS, F.col("probability").alias(chance))
+    out = _beside_cells(rows, weights, {"source": source, "lang": lang, "topic": own})
+    return out.filter(_drawn(F.col(doc_id), F.col(chance), seed)).drop(own, chance)
