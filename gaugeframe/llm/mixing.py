@@ -7,7 +7,7 @@ draw is a hash of seed and id. Only Spark functions run; cells never meet on the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.scalar import draw, unit
@@ -20,6 +20,7 @@ CYCLES = 100
 TOLERANCE = 1e-3
 # Up to this many cells are raked in one task and broadcast to the documents; more are shuffled.
 CELLS_PER_TASK = 50_000
+CYCLES_TOGETHER = 5
 
 
 def token_count(text: str = "text") -> Column:
@@ -62,15 +63,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES,
         goal = target.select(F.col(margin).alias("__goal"), (F.col("target") * F.lit(total)).alias(f"__{margin}"))
         current = current.join(beside(goal), F.col(margin).eqNullSafe(F.col("__goal")), "left").drop("__goal")
     current = cut(current)
-    for _ in range(cycles):
-        current, off = current.coalesce(tasks), F.lit(0.0)
-        for margin in targets:
-            step = (current.groupBy(margin).agg((F.try_divide(F.first(f"__{margin}"), F.sum(F.col("tokens") * F.col("factor")))).alias("__step"))
-                    .filter("__step IS NOT NULL").select(F.col(margin).alias("__key"), "__step"))
-            current = current.join(beside(step), F.col(margin).eqNullSafe(F.col("__key")), "left").drop("__key")
-            change = F.coalesce("__step", F.lit(1.0))
-            current = current.withColumn("factor", F.col("factor") * change).withColumn(f"__off_{margin}", F.abs(change - 1)).drop("__step")
-            off = F.greatest(off, F.col(f"__off_{margin}"))
+    together = CYCLES_TOGETHER if tasks == 1 else 1
+    for _ in range(0, cycles, together):
+        current = current.coalesce(tasks)
+        for _ in range(together):
+            off = F.lit(0.0)
+            for margin in targets:
+                current = _stepped(current, margin, tasks).withColumn(f"__off_{margin}", F.abs(F.col("__step") - 1))
+                current = current.withColumn("factor", F.col("factor") * F.col("__step")).drop("__step")
+                off = F.greatest(off, F.col(f"__off_{margin}"))
         current = cut(current.withColumn("__off", off).drop(*[f"__off_{m}" for m in targets]))
         worst = current.agg(F.max("__off")).first()[0] or 0.0
         current = current.drop("__off")
@@ -79,6 +80,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES,
     return current.drop(*[f"__{m}" for m in targets])
 
 
+def _stepped(cells: DataFrame, margin: str, tasks: int) -> DataFrame:
+    """cells with ``__step``: target over current tokens of the cell's category, 1 where it has no target or no tokens.
+
+    Cells of one task are summed in a window; more are summed per category first, so that a large category is no single group.
+    """
+    weighed = F.sum(F.col("tokens") * F.col("factor"))
+    if tasks == 1:
+        step = F.try_divide(F.col(f"__{margin}"), weighed.over(Window.partitionBy(margin)))
+        return cells.withColumn("__step", F.coalesce(step, F.lit(1.0)))
+    sums = cells.groupBy(margin).agg(F.try_divide(F.first(f"__{margin}"), weighed).alias("__by"))
+    sums = sums.filter("__by IS NOT NULL").select(F.col(margin).alias("__key"), "__by")
+    joined = cells.join(sums, F.col(margin).eqNullSafe(F.col("__key")), "left")
+    return joined.withColumn("__step", F.coalesce("__by", F.lit(1.0))).drop("__key", "__by")
+
+
 def _fitted(cells: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
     """source, lang, topic, weight, probability of every cell."""
     cells = cells.coalesce(_tasks(cells))
