@@ -18,9 +18,8 @@ MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
 CYCLES = 100
 TOLERANCE = 1e-3
-# Up to this many cells are raked in one task and broadcast to the documents; more are shuffled.
+# Up to this many cells are raked in one row and broadcast to the documents; more are shuffled.
 CELLS_PER_TASK = 50_000
-CYCLES_TOGETHER = 5
 
 
 def token_count(text: str = "text") -> Column:
@@ -53,46 +52,82 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], cycles: int = CYCLES,
     """cells with ``factor``: the multiplier of a cell's tokens under which every marginal has its target share.
 
     A category without a target keeps its weight; a target without tokens is left out. Stops when no factor of a
-    cycle differs from 1 by more than ``tolerance`` or after ``cycles``. Cells that fit one task are raked in one, without a shuffle.
+    cycle differs from 1 by more than ``tolerance`` or after ``cycles``. Up to CELLS_PER_TASK cells are raked as arrays
+    of one row in a single job; more by one join per margin and a checkpoint per cycle.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     tasks = _tasks(cells)
-    beside = (lambda frame: frame.hint("shuffle_hash")) if tasks == 1 else (lambda frame: frame)
     current = cells.coalesce(tasks).withColumn("factor", F.lit(1.0))
     for margin, target in targets.items():
         goal = target.select(F.col(margin).alias("__goal"), (F.col("target") * F.lit(total)).alias(f"__{margin}"))
-        current = current.join(beside(goal), F.col(margin).eqNullSafe(F.col("__goal")), "left").drop("__goal")
+        current = current.join(goal, F.col(margin).eqNullSafe(F.col("__goal")), "left").drop("__goal")
     current = cut(current)
-    together = CYCLES_TOGETHER if tasks == 1 else 1
-    for _ in range(0, cycles, together):
-        current = current.coalesce(tasks)
-        for _ in range(together):
-            off = F.lit(0.0)
-            for margin in targets:
-                current = _stepped(current, margin, tasks).withColumn(f"__off_{margin}", F.abs(F.col("__step") - 1))
-                current = current.withColumn("factor", F.col("factor") * F.col("__step")).drop("__step")
-                off = F.greatest(off, F.col(f"__off_{margin}"))
-        current = cut(current.withColumn("__off", off).drop(*[f"__off_{m}" for m in targets]))
+    rounds = _raked_arrays if tasks == 1 else _raked_joins
+    return rounds(current, list(targets), cycles, tolerance).select(*cells.columns, "factor")
+
+
+def _raked_arrays(cells: DataFrame, margins: list[str], cycles: int, tolerance: float) -> DataFrame:
+    """All cycles as one expression on one row: the cells as an array, and for every margin the positions of each category."""
+    one = cells.coalesce(1)
+    order = Window.orderBy(*[F.col(c).asc_nulls_first() for c in cells.columns])
+    placed = one.withColumn("__at", F.row_number().over(order) - 1)
+    for m in margins:
+        placed = placed.withColumn(f"__n_{m}", F.dense_rank().over(Window.orderBy(F.col(m).asc_nulls_first())) - 1)
+    placed = cut(placed)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("margin"), F.col(f"__n_{m}").alias("category"), F.col(f"__{m}").alias("goal"))
+                               for i, m in enumerate(margins)])).alias("of")
+    members = (placed.select("__at", each).groupBy("of.margin", "of.category")
+               .agg(F.collect_list("__at").alias("members"), F.first("of.goal").alias("goal")))
+    categories = (members.groupBy("margin").agg(F.array_sort(F.collect_list(F.struct("category", "members", "goal"))).alias("categories"))
+                  .agg(F.array_sort(F.collect_list(F.struct("margin", "categories"))).alias("margins")))
+    row = placed.agg(F.array_sort(F.collect_list(F.struct("__at", *cells.columns, *[f"__n_{m}" for m in margins]))).alias("cells"))
+    numbers = F.array(*[F.col(f"cells.__n_{m}") for m in margins])
+    row = row.select("cells", numbers.alias("numbers"), F.col("cells.tokens").cast("array<double>").alias("tokens"),
+                     categories.scalar().alias("margins"))
+    row = cut(row)      # the lambdas below read these arrays as columns, not as expressions evaluated for every cell
+
+    def fit(state: Column, margin: Column) -> Column:
+        """The state after one margin: every category's cells multiplied by its target over its current tokens."""
+        def step(category):
+            now = F.aggregate(category["members"], F.lit(0.0), lambda s, at: s + F.get("tokens", at) * F.get(state["factors"], at))
+            return F.coalesce(F.try_divide(category["goal"], now), F.lit(1.0))
+
+        def apply(steps):
+            own = F.get("numbers", margin["margin"])
+            factors = F.transform(state["factors"], lambda f, at: f * F.get(steps, F.get(own, at)))
+            off = F.greatest(state["off"], F.array_max(F.transform(steps, lambda s: F.abs(s - 1))))
+            return F.struct(factors.alias("factors"), off.alias("off"))
+        # A lambda over a list of one evaluates the steps once instead of once per cell.
+        return F.get(F.transform(F.array(F.transform(margin["categories"], step)), apply), F.lit(0))
+
+    def cycle(state: Column, _: Column) -> Column:
+        fresh_state = F.struct(state["factors"].alias("factors"), F.lit(0.0).alias("off"))
+        return F.when(state["off"] <= tolerance, state).otherwise(F.aggregate("margins", fresh_state, fit))
+
+    start = F.struct(F.col("cells.factor").alias("factors"), F.lit(float("inf")).alias("off"))
+    fitted = row.select("cells", F.aggregate(F.sequence(F.lit(1), F.lit(cycles)), start, cycle)["factors"].alias("factors"))
+    out = fitted.select(F.explode(F.arrays_zip("cells", "factors")).alias("of"))
+    return cut(out.select(*[F.col(f"of.cells.{c}").alias(c) for c in cells.columns if c != "factor"], F.col("of.factors").alias("factor")))
+
+
+def _raked_joins(cells: DataFrame, margins: list[str], cycles: int, tolerance: float) -> DataFrame:
+    """Cells summed per category first, so that a large category is no single group; every cycle ends in a checkpoint."""
+    current = cells
+    for _ in range(cycles):
+        off = F.lit(0.0)
+        for margin in margins:
+            by = F.try_divide(F.first(f"__{margin}"), F.sum(F.col("tokens") * F.col("factor")))
+            steps = current.groupBy(margin).agg(by.alias("__by")).filter("__by IS NOT NULL").select(F.col(margin).alias("__key"), "__by")
+            current = current.join(steps, F.col(margin).eqNullSafe(F.col("__key")), "left")
+            step = F.coalesce("__by", F.lit(1.0))
+            current = current.withColumn("factor", F.col("factor") * step).withColumn(f"__off_{margin}", F.abs(step - 1)).drop("__key", "__by")
+            off = F.greatest(off, F.col(f"__off_{margin}"))
+        current = cut(current.withColumn("__off", off).drop(*[f"__off_{m}" for m in margins]))
         worst = current.agg(F.max("__off")).first()[0] or 0.0
         current = current.drop("__off")
         if worst <= tolerance:
             break
-    return current.drop(*[f"__{m}" for m in targets])
-
-
-def _stepped(cells: DataFrame, margin: str, tasks: int) -> DataFrame:
-    """cells with ``__step``: target over current tokens of the cell's category, 1 where it has no target or no tokens.
-
-    Cells of one task are summed in a window; more are summed per category first, so that a large category is no single group.
-    """
-    weighed = F.sum(F.col("tokens") * F.col("factor"))
-    if tasks == 1:
-        step = F.try_divide(F.col(f"__{margin}"), weighed.over(Window.partitionBy(margin)))
-        return cells.withColumn("__step", F.coalesce(step, F.lit(1.0)))
-    sums = cells.groupBy(margin).agg(F.try_divide(F.first(f"__{margin}"), weighed).alias("__by"))
-    sums = sums.filter("__by IS NOT NULL").select(F.col(margin).alias("__key"), "__by")
-    joined = cells.join(sums, F.col(margin).eqNullSafe(F.col("__key")), "left")
-    return joined.withColumn("__step", F.coalesce("__by", F.lit(1.0))).drop("__key", "__by")
+    return current
 
 
 def _fitted(cells: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:

@@ -272,6 +272,25 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.sample(odd).columns == odd.columns
 
 
+def test_raking_by_arrays_and_by_joins(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "x", 5), ("a", None, 7), ("b", "x", 1), (None, "x", 0), (None, "y", 3)], "source string, lang string, tokens long")
+    targets = {"source": spark.createDataFrame([("a", .3), ("b", .3), (None, .4)], "source string, target double"),
+               "lang": spark.createDataFrame([("x", .5), (None, .2), ("z", .3)], "lang string, target double")}
+    weight, goals = {tuple(r)[:2]: 1.0 for r in cells.collect()}, ({"a": .3, "b": .3, None: .4}, {"x": .5, None: .2})
+    for _ in range(3):
+        for axis, goal in enumerate(goals):
+            sums = Counter()
+            for r in cells.collect():
+                sums[r[axis]] += r.tokens * weight[r[0], r[1]]
+            weight = {c: w * (goal[c[axis]] * 16 / sums[c[axis]] if c[axis] in goal and sums[c[axis]] else 1) for c, w in weight.items()}
+    for limit in (50_000, 2):
+        monkeypatch.setattr(mixing, "CELLS_PER_TASK", limit)
+        got = mixing.rake(cells, targets, cycles=3, tolerance=0.0)
+        assert got.columns == ["source", "lang", "tokens", "factor"]
+        assert {(r.source, r.lang): r.factor for r in got.collect()} == pytest.approx(weight)
+    assert mixing.rake(cells.filter("false"), targets).count() == 0
+
+
 def docs_text(docs, memo={}):
     if not memo:
         memo.update({r.doc_id: r.text for r in docs.collect()})
