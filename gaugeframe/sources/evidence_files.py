@@ -48,10 +48,10 @@ def write_manifest(records: DataFrame, path: str) -> DataFrame:
     return existing
 
 
-def read_manifest(spark: SparkSession, path: str, like: DataFrame, splits: Sequence[str] = ()) -> DataFrame:
-    """The named splits only; the folders of the others are pruned and never opened."""
+def read_manifest(spark: SparkSession, path: str, like: DataFrame, splits: Sequence[str] | None = None) -> DataFrame:
+    """The named splits only, none for an empty list, all for None; the folders of the others are pruned and never opened."""
     manifest = spark.read.schema(like.schema).parquet(path)
-    return manifest.filter(F.col("split").isin(*splits)) if splits else manifest
+    return manifest.filter(F.col("split").isin(*splits)) if splits is not None else manifest
 
 
 def spool_scores(pixels: DataFrame, path: str) -> None:

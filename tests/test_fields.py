@@ -151,6 +151,7 @@ def test_scorer_contract(spark):
         return lambda batch: batch["v"].to_numpy() / 10
     got = score_batch(df, build, .5, ["a"], payload=("v",)).collect()
     assert len(got) == 10 and "v" not in got[0].asDict() and all(r["predicted_defective"] == (r["score"] >= .5) for r in got)
+    assert score_batch(df, build, .5, [], payload=("v",)).count() == 0 and score_batch(df, build, .5, payload=("v",)).count() == 20
     for bad in (lambda: (lambda b: b["v"].to_numpy() * float("nan")), lambda: (lambda b: np.zeros(1 + len(b)))):
         with pytest.raises(Exception, match="one finite score"):
             score_batch(df, bad, .5).collect()
