@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.scalar import row_digest
+from gaugeframe.functions.scalar import row_digest, unsafe_path
 
 
 def changed_content(stored: DataFrame, actual: DataFrame, key: str, stored_hash: str, actual_hash: str) -> DataFrame:
@@ -158,10 +158,10 @@ def frame_digest(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ())
 def portable(df: DataFrame, dictionary: DataFrame, column: str, root: str) -> DataFrame:
     """Local paths replaced by manifest-relative ones; what stays absolute is marked."""
     joined = df.join(dictionary.select(F.col("local_path").alias(column), "relative_path"), column, "left")
-    stripped = F.regexp_replace(F.col(column), "^" + root, "")
+    stripped = F.when(F.startswith(F.col(column), F.lit(root)), F.substr(F.col(column), F.lit(len(root) + 1))).otherwise(F.col(column))
     path = F.coalesce("relative_path", stripped)
     return joined.withColumn("portable_path", path).withColumn(
-        "leftover", path.startswith("/") | path.contains("..")).drop("relative_path")
+        "leftover", unsafe_path(path)).drop("relative_path")
 
 
 def unify(frames: dict[str, DataFrame], known: Sequence[str]) -> DataFrame:

@@ -177,3 +177,10 @@ def test_fingerprint_bits(spark):
     bits = "".join("1" if grid[r * 9 + c + 1] > grid[r * 9 + c] else "0" for r in range(8) for c in range(8))
     want = int(bits, 2) - (1 << 64 if bits[0] == "1" else 0)
     assert spark.createDataFrame([(grid,)], "g array<double>").select(arrays.row_gradient_bits(F.col("g"))).first()[0] == want
+
+
+def test_portable_takes_the_root_literally(spark):
+    paths = spark.createDataFrame([("/r.n/a..b",), ("/rxn/a",), ("/r.n/../a",), ("/r.n/known",)], "stored string")
+    known = spark.createDataFrame([("/r.n/known", "k/1")], "local_path string, relative_path string")
+    got = {r.stored: (r.portable_path, r.leftover) for r in integrity.portable(paths, known, "stored", "/r.n/").collect()}
+    assert got == {"/r.n/a..b": ("a..b", False), "/rxn/a": ("/rxn/a", True), "/r.n/../a": ("../a", True), "/r.n/known": ("k/1", False)}
