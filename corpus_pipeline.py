@@ -29,7 +29,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with probabilities raked to tempered shares of source, language and topic."""
+    """Documents drawn, rare ones repeated, to tempered shares of source, language and topic at the tokens that came in."""
     return mixing.sample(docs)
 
 

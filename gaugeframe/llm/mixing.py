@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed per cell of source, language and topic; the cells are raked to the marginal targets in
-turn until every marginal fits, and documents are drawn with the calibrated probability of their cell. The
-draw is a hash of seed and id. Only Spark functions run; cells never meet on the driver.
+turn until every marginal fits. A cell's factor, scaled to a token budget, is the expected number of copies of its
+documents: the whole part is sure, the remainder is a hash draw of seed and id. Only Spark functions run; cells never
+meet on the driver.
 """
 
 from __future__ import annotations
@@ -130,14 +131,15 @@ def _raked_joins(cells: DataFrame, margins: list[str], cycles: int, tolerance: f
     return current
 
 
-def _fitted(cells: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
-    """source, lang, topic, weight, probability of every cell."""
+def _fitted(cells: DataFrame, targets: dict[str, DataFrame] | None, budget: int | None) -> DataFrame:
+    """source, lang, topic, weight, expected of every cell; expected copies times tokens add up to the budget."""
     cells = cells.coalesce(_tasks(cells))
     fitted = rake(cells, targets or {m: tempered_targets(cells, m) for m in MARGINS})
-    largest = fitted.filter("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
-    return fitted.select(*MARGINS, F.when(F.col("tokens") > 0, F.col("factor")).otherwise(F.lit(1.0)).alias("weight"),
-                         F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") / F.lit(largest)))
-                         .otherwise(F.lit(1.0)).alias("probability"))
+    sums = fitted.agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("factor")).alias("raked")).first()
+    scale = (sums["tokens"] if budget is None else budget) / sums["raked"] if sums["raked"] else 1.0
+    filled = F.col("tokens") > 0
+    return fitted.select(*MARGINS, F.when(filled, F.col("factor")).otherwise(F.lit(1.0)).alias("weight"),
+                         F.when(filled, F.col("factor") * F.lit(scale)).otherwise(F.lit(1.0)).alias("expected"))
 
 
 def _beside_cells(rows: DataFrame, cells: DataFrame, own: dict[str, str]) -> DataFrame:
@@ -149,38 +151,46 @@ def _beside_cells(rows: DataFrame, cells: DataFrame, own: dict[str, str]) -> Dat
     return rows.join(F.broadcast(renamed) if _tasks(cells) == 1 else renamed, same).drop(*[f"__cell_{m}" for m in MARGINS])
 
 
-def _drawn(doc_id: Column, probability: Column, seed: int) -> Column:
-    return unit(draw(seed, F.coalesce(doc_id.cast("string"), F.lit("")))) < probability
+def _copies(doc_id: Column, expected: Column, seed: int) -> Column:
+    whole = F.floor(expected)
+    more = unit(draw(seed, F.coalesce(doc_id.cast("string"), F.lit("")))) < expected - whole
+    return whole + more.cast("bigint")
 
 
 def calibrated(docs: DataFrame, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-               lang: str = "lang", topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight, probability, kept, one row per input row.
-
-    ``weight`` is the raked multiplier, ``probability`` that weight over the largest of all cells with tokens, so expected
-    tokens have the target marginals up to the tolerance of the raking. Null source or language is a category of its own. Cells
-    without tokens have weight 1 and are kept, since they change no share. Rows with one id share one draw. Without
+               lang: str = "lang", topic: Column | None = None, targets: dict[str, DataFrame] | None = None,
+               budget: int | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, weight, probability, kept, expected, copies, one row per input row.
+
+    ``weight`` is the raked multiplier and ``expected`` that weight scaled so that expected tokens add up to ``budget``, by
+    default the tokens of the input; they have the target marginals up to the tolerance of the raking. A rare cell above 1
+    is repeated and does not lower the others. ``copies`` is the whole part of ``expected`` plus a hash draw of the remainder,
+    ``kept`` says that there is a copy, ``probability`` how likely that is. Null source or language is a category of its own. Cells
+    without tokens have weight 1 and are kept once, since they change no share. Rows with one id share one draw. Without
     targets the shares of tokens raised to TEMPERATURE are the targets. Empty input gives no rows.
     """
     tune(docs.sparkSession)
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(lang).alias("lang"),
                            (topic if topic is not None else topic_of(text)).alias("topic"), token_count(text).alias("tokens")))
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
-    weights = _fitted(cells, targets)
-    out = _beside_cells(rows, weights, {m: m for m in MARGINS})
-    return out.select("doc_id", *MARGINS, "tokens", "weight", "probability", _drawn(F.col("doc_id"), F.col("probability"), seed).alias("kept"))
+    weights = _fitted(cells, targets, budget)
+    out = _beside_cells(rows, weights, {m: m for m in MARGINS}).withColumn("copies", _copies(F.col("doc_id"), F.col("expected"), seed))
+    return out.select("doc_id", *MARGINS, "tokens", "weight", F.least(F.lit(1.0), "expected").alias("probability"),
+                      (F.col("copies") > 0).alias("kept"), "expected", "copies")
 
 
 def sample(docs: DataFrame, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-           lang: str = "lang", topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The rows that ``calibrated`` keeps; columns stay as they are and texts are not shuffled."""
+           lang: str = "lang", topic: Column | None = None, targets: dict[str, DataFrame] | None = None,
+           budget: int | None = None) -> DataFrame:
+    """Every row as often as ``calibrated`` has copies of it; columns stay as they are and texts are not shuffled."""
     tune(docs.sparkSession)
     form = topic if topic is not None else topic_of(text)
     cells = docs.select(F.col(source).alias("source"), F.col(lang).alias("lang"), form.alias("topic"), token_count(text).alias("tokens"))
     cells = cut(cells.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
-    weights = _fitted(cells, targets)
-    own, chance = fresh(docs, "__topic"), fresh(docs, "__probability")
+    weights = _fitted(cells, targets, budget)
+    own, expected, copy = fresh(docs, "__topic"), fresh(docs, "__expected"), fresh(docs, "__copy")
     rows = docs.withColumn(own, form)
-    weights = weights.select(*MARGINS, F.col("probability").alias(chance))
+    weights = weights.select(*MARGINS, F.col("expected").alias(expected))
     out = _beside_cells(rows, weights, {"source": source, "lang": lang, "topic": own})
-    return out.filter(_drawn(F.col(doc_id), F.col(chance), seed)).drop(own, chance)
+    copies = _copies(F.col(doc_id), F.col(expected), seed).cast("int")
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).drop(own, expected, copy)

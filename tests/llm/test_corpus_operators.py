@@ -272,6 +272,29 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.sample(odd).columns == odd.columns
 
 
+def test_a_tiny_source_hardly_changes_the_mix(spark, docs):
+    tiny = docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("bigint"), "text": F.lit("word"), "source": F.lit(None).cast("string")})
+    more = docs.unionByName(tiny)
+    before, after = (mixing.calibrated(d).collect() for d in (docs, more))
+    chance = {r.doc_id: r.probability for r in before}
+    assert sum(chance.values()) > 0.7 * len(before)
+    for r in after:
+        assert r.doc_id == -1 or r.probability == pytest.approx(chance[r.doc_id], rel=0.02)
+        assert r.copies == int(r.expected) + (int(hashlib.sha256(f"11|{r.doc_id}".encode()).hexdigest()[:8], 16) / 2 ** 32 < r.expected % 1)
+    assert sum(r.expected * r.tokens for r in after) == pytest.approx(sum(r.tokens for r in after))
+    for margin in mixing.MARGINS:
+        tokens, expected = Counter(), Counter()
+        for r in after:
+            tokens[r[margin]] += r.tokens
+            expected[r[margin]] += r.expected * r.tokens
+        raised = {k: n ** mixing.TEMPERATURE for k, n in tokens.items() if n}
+        shares = {k: n / sum(raised.values()) for k, n in raised.items()}
+        assert {k: expected[k] / sum(expected.values()) for k in raised} == pytest.approx(shares, rel=5e-3)
+    assert Counter(r.doc_id for r in mixing.sample(more).collect()) == Counter({r.doc_id: r.copies for r in after if r.copies})
+    half = mixing.calibrated(docs, budget=1000).collect()
+    assert sum(r.expected * r.tokens for r in half) == pytest.approx(1000)
+
+
 def test_raking_by_arrays_and_by_joins(spark, monkeypatch):
     cells = spark.createDataFrame([("a", "x", 5), ("a", None, 7), ("b", "x", 1), (None, "x", 0), (None, "y", 3)], "source string, lang string, tokens long")
     targets = {"source": spark.createDataFrame([("a", .3), ("b", .3), (None, .4)], "source string, target double"),
