@@ -18,7 +18,7 @@ from gaugeframe.runtime import cut, tune
 MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
 CYCLES = 100
-TOLERANCE = 1e-3
+TOLERANCE = 1e-6
 # Up to this many cells are raked in one row and broadcast to the documents; more are shuffled.
 CELLS_PER_TASK = 50_000
 

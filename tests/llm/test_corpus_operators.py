@@ -295,6 +295,19 @@ def test_a_tiny_source_hardly_changes_the_mix(spark, docs):
     assert sum(r.expected * r.tokens for r in half) == pytest.approx(1000)
 
 
+def test_raking_reaches_the_margins(spark):
+    cells = spark.createDataFrame([("a", "x", 50), ("a", "y", 7), ("b", "x", 1), ("b", "y", 30), ("c", "x", 20), ("c", "y", 3)],
+                                  "source string, lang string, tokens long")
+    goals = {"source": {"a": .3, "b": .3, "c": .4}, "lang": {"x": .6, "y": .4}}
+    targets = {m: spark.createDataFrame(list(g.items()), f"{m} string, target double") for m, g in goals.items()}
+    rows = mixing.rake(cells, targets).collect()
+    for margin, goal in goals.items():
+        sums = Counter()
+        for r in rows:
+            sums[r[margin]] += r.tokens * r.factor / 111
+        assert sums == pytest.approx(goal, rel=2e-6)
+
+
 def test_raking_by_arrays_and_by_joins(spark, monkeypatch):
     cells = spark.createDataFrame([("a", "x", 5), ("a", None, 7), ("b", "x", 1), (None, "x", 0), (None, "y", 3)], "source string, lang string, tokens long")
     targets = {"source": spark.createDataFrame([("a", .3), ("b", .3), (None, .4)], "source string, target double"),
