@@ -424,3 +424,58 @@ def test_pipeline_stages(spark):
     for r in out:
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == reference.encode(rows[r.doc_id], add_special_tokens=False).ids
     assert 0 < len(out) < len(rows)
+
+
+def copies_by_force(rows):
+    """Copies of every document by raking and hash draws in plain Python; rows of doc_id, text, source, lang."""
+    def topic(text):
+        lower = text.lower()
+        return ("table" if " | " in text else "symbols" if "%%%" in text or "***" in text
+                else "notice" if "license" in lower or "copyright" in lower else "contact" if "@" in text else "prose")
+    cell = {r.doc_id: (r.source, r.lang, topic(r.text or "")) for r in rows}
+    cells = Counter()
+    for r in rows:
+        cells[cell[r.doc_id]] += len((r.text or "").encode().split())
+    total, weight, targets = sum(cells.values()), {c: 1.0 for c in cells}, []
+
+    def sums(axis, of):
+        out = Counter()
+        for c, n in cells.items():
+            out[c[axis]] += n * of[c]
+        return out
+    for axis in range(3):
+        raised = {k: n ** mixing.TEMPERATURE for k, n in sums(axis, weight).items() if n}
+        targets.append({k: n / sum(raised.values()) for k, n in raised.items()})
+    for _ in range(200):
+        for axis, target in enumerate(targets):
+            now = sums(axis, weight)
+            weight = {c: w * (target[c[axis]] * total / now[c[axis]] if now[c[axis]] else 1) for c, w in weight.items()}
+    out = Counter()
+    for i, c in cell.items():
+        expected = weight[c] if cells[c] else 1.0
+        out[i] = int(expected) + (int(hashlib.sha256(f"11|{i}".encode()).hexdigest()[:8], 16) / 2 ** 32 < expected % 1)
+    return +out
+
+
+def test_pipeline_rows_stage_by_stage(spark, docs):
+    import corpus_pipeline
+    rows = docs.collect()
+    model = toxicity.train(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+
+    def first_of_text(rows):
+        best = {}
+        for r in rows:
+            best[r.text] = min(r.doc_id, best.get(r.text, r.doc_id))
+        return Counter(best.values())
+    want = {
+        "toxicity": lambda rows: Counter(r.doc_id for r in rows if model.at_least(model.margins([toxicity.features(r.text or "")]))[0, 0] < 0.5),
+        "exact_dedup": first_of_text,
+        "near_dedup": lambda rows: Counter({c for _, c in groups_by_force([(r.doc_id, r.text) for r in rows], 5).values()}),
+        "mixing": copies_by_force,
+        "bpe": lambda rows: Counter(r.doc_id for r in rows)}
+    for name, stage in corpus_pipeline.STAGES:
+        expected = want[name](rows)
+        out = stage(spark, spark.createDataFrame(rows, docs.schema), FOLDER).collect()
+        assert Counter(r.doc_id for r in out) == expected, name
+        rows = out
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()) == expected
