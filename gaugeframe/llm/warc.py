@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gaugeframe.llm.common import bounded_batches, raw_text
 from gaugeframe.runtime import scratch, tune
 
-SEGMENT_BYTES = 64 * 1024
+SEGMENT_BYTES = 8 * 1024
 CHUNK_BYTES = 4096
 ARCHIVE_RECORDS = 2000
 # Fixed values of the format.

@@ -212,6 +212,14 @@ def test_warc(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_query_reads_continuations(spark, monkeypatch):
+    folders, write = [], warc.write_archives
+    monkeypatch.setattr(warc, "write_archives", lambda pages, folder, *a, **b: (folders.append(folder), write(pages, folder, *a, **b)))
+    rows = queries.op5_warc(spark, FOLDER).collect()
+    assert rows and all(r.intact for r in rows)
+    assert spark.read.text(folders[0]).filter("value LIKE 'WARC-Type: continuation%'").count() > 0
+
+
 def test_warc_reports_a_missing_segment(spark):
     pieces = warc._records(1, "u", b"x" * 500, False, None, 200)
     rows = [(h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), b, 1, "d",
