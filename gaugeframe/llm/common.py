@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.functions.scalar import draw, unit
+
 # One Arrow batch holds whole texts, so its size is bounded by bytes where Spark can, and by rows.
 BATCH_ROWS = "2000"
 BATCH_BYTES = str(16 * 1024 * 1024)
@@ -39,6 +41,19 @@ def per_batch(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa
     return frame.mapInArrow(run, schema)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int, seed: str) -> DataFrame:
+    """place (a second hash of the id, in [0, 1)), label, raw: the texts of at most ``rows`` labelled ids, chosen by a hash of the id.
+
+    Null ids and labels are left out. An id counts once, with its largest label and its smallest text, so the
+    bound holds for rows too, however often an id occurs.
+    """
+    known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).alias("label"))
+    chosen = (known.groupBy("__id").agg(F.max("label").alias("label")).orderBy(draw(seed, F.col("__id")), "__id").limit(rows)
+              .withColumn("place", unit(draw(f"{seed} place", F.col("__id")))))
+    texts = docs.select(F.col(doc_id).alias("__id"), raw_text(text).alias("raw")).join(F.broadcast(chosen), "__id")
+    return texts.groupBy("__id", "label", "place").agg(F.min("raw").alias("raw")).select("place", "label", "raw")
+
+
 def words_of(raw: bytes) -> list[bytes]:
     """Words between the bytes 20 and 09-0D, with A-Z lowered; bytes.split and bytes.lower know ASCII only."""
     return raw.lower().split()
