@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import sys
 import unicodedata
 from functools import lru_cache
@@ -26,7 +27,8 @@ from gaugeframe.runtime import tune
 # The white space of the splitting pattern, and the contractions it keeps.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000         # with keys of up to MEMO_LENGTH characters, some 40 MB a worker
+PAIR_ENTRIES = 200_000         # some 20 MB a worker
 MEMO_LENGTH = 64
 
 
@@ -82,18 +84,22 @@ class Codec:
             self.parts.setdefault(vocabulary[left + right], (a, b, rank))
         self.id_of = {surface[i]: i for i in vocabulary.values()}
         specials = set(self.special.values())
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.reachable = self._reachable(surface, specials)
         self.id_of = {s: i for s, i in self.id_of.items() if i in self.reachable}
         matcher = ahocorasick.Automaton()
         for i, s in enumerate(self.tokens):
             if s and i in self.reachable:
-                matcher.add_word(s.decode("latin-1"), (len(s), i))
+                matcher.add_word(s.decode("latin-1"), i)
         matcher.make_automaton()
         self.matcher = matcher
-        self.shorter = {i: self._prefix(s) for s, i in self.id_of.items()}
+        self.lengths = [len(t) for t in self.tokens]
+        self.shorter = [-1] * self.size
+        for s, i in self.id_of.items():
+            self.shorter[i] = self._prefix(s)
+        self.fine = splitters()[1].findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        lengths = np.array(self.lengths, dtype=np.int64)
         self.blob = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
 
@@ -105,20 +111,18 @@ class Codec:
                 good.add(token)
         return good
 
-    def _prefix(self, surface: bytes) -> int | None:
-        """The longest token that is a proper prefix."""
+    def _prefix(self, surface: bytes) -> int:
+        """The longest token that is a proper prefix; -1 for none."""
         for n in range(len(surface) - 1, 0, -1):
             if (i := self.id_of.get(surface[:n])) is not None:
                 return i
-        return None
+        return -1
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens from scratch gives just these two; kept in the pair table."""
-        known = self.compatible.get((left, right))
-        if known is None:
-            if len(self.compatible) > 1_000_000:
-                self.compatible.clear()
-            known = self.compatible[left, right] = self._fits(left, right)
+        if len(self.compatible) >= PAIR_ENTRIES:
+            self.compatible.clear()
+        known = self.compatible[left * self.size + right] = self._fits(left, right)
         return known
 
     def _fits(self, left: int, right: int, limit: int = sys.maxsize) -> bool:
@@ -137,48 +141,42 @@ class Codec:
             else:
                 limit, right = b[2] + 1, b[0]
 
-    def _longest(self, text: str) -> list[int]:
-        """The longest token that starts at every position."""
-        best = [-1] * len(text)
-        size = [0] * len(text)
-        for end, (n, i) in self.matcher.iter(text):
-            start = end - n + 1
-            if n > size[start]:
-                size[start], best[start] = n, i
-        return best
-
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one stretch of the splitting pattern."""
-        whole = self.id_of.get(piece)
-        if whole is not None and len(piece) == 1:
+        """Ids of one stretch of the splitting pattern; the automaton is asked for the longest token where one must start."""
+        if (whole := self.id_of.get(piece)) is not None:
             return [whole]
-        longest = self._longest(piece.decode("latin-1"))
-        tokens, shorter, fits = self.tokens, self.shorter, self.fits
-        open_at = bytearray(b"\x01") * (len(piece) + 1)
+        text, stop, size = piece.decode("latin-1"), len(piece), self.size
+        lengths, shorter, known, search = self.lengths, self.shorter, self.compatible, self.matcher.iter_long
+        open_at = bytearray(b"\x01") * (stop + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(piece):
-            if token is None:
+        at, last, token = 0, -1, next(search(text))[1]
+        while True:
+            end = at + lengths[token]
+            if open_at[end]:
+                fits = last < 0 or known.get(last * size + token)
+                if fits is None:
+                    fits = self.fits(last, token)
+                if fits:
+                    out.append(token)
+                    if end == stop:
+                        return out
+                    at, last = end, token
+                    token = next(search(text, at))[1]
+                    continue
+            token = shorter[token]
+            while token < 0:
                 open_at[at] = 0
-                last = out.pop()
-                at -= len(tokens[last])
-                token = shorter[last]
-                continue
-            end = at + len(tokens[token])
-            if open_at[end] and (not out or fits(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < len(piece) else None
-            else:
+                token = out.pop()
+                at -= lengths[token]
                 token = shorter[token]
-        return out
+                last = out[-1] if out else -1
 
     def encode_stretch(self, stretch: str) -> bytes:
         """Ids, packed as little-endian 32-bit numbers, of one stretch of the coarse split."""
         ids: list[int] = []
-        for piece in splitters()[1].findall(stretch):
-            ids.extend(self.merge(piece.encode()))
-        return np.array(ids, dtype="<u4").tobytes()
+        for piece in self.fine(stretch):
+            ids += self.merge(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str, memo: dict[str, bytes]) -> bytes:
         """Packed ids of a whole text; strings of special tokens become their ids."""
