@@ -4,7 +4,8 @@ A document's set is its distinct word shingles. Two permutations of a fixed univ
 signature: the first scatters the shingles, the second is read at every circular shift, so the
 coordinates of one shingle are a slice of a table and a signature is the minimum over slices.
 
-Texts with equal sets collapse to one node before anything is compared. In a bucket every node is
+Texts with equal sets collapse to one node, named by a 128-bit digest of the set, before anything is compared; sets too small to
+be linked with a different one go no further. In a bucket every node is
 compared with the bucket's most central node only; nodes that this leaves in another component
 are then compared with those others that counts per hash segment around the pivot do not rule out. Groups of copies thus
 cost a comparison per member, and no link that banding proposes is lost.
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import drop_rows, per_batch, raw_text, words_of
+from gaugeframe.llm.common import fresh, per_batch, raw_text, words_of
 from gaugeframe.operators.duplicates import connected_components
 from gaugeframe.runtime import cut, tune
 
@@ -93,7 +94,7 @@ def _hasher(seed: int) -> CirculantMinHash:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, words: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), bands."""
+    """doc_id, digest (of the text, to tell rows of one id apart), n_shingles, set_key (null for an empty set), bands."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def make():
@@ -101,37 +102,37 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int, seed: int) -
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, keys, bands = [], [], []
-            for raw in batch.column(1).to_pylist():
-                shingles = shingle_set(raw, words, ids)
+            for raw in batch.column(2):
+                shingles = shingle_set(raw.as_py(), words, ids)
                 sizes.append(len(shingles))
                 keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                 bands.append(hasher.band_keys(shingles) if len(shingles) else np.empty(0, dtype=np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists],
-                names=["doc_id", "n_shingles", "set_key", "bands"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists],
+                names=["doc_id", "digest", "n_shingles", "set_key", "bands"])
         return work
 
-    return per_batch(docs.select(F.col(doc_id).alias("doc_id"), raw_text(text).alias("raw")), make,
-                     f"doc_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>")
+    return per_batch(_rows(docs, doc_id, text), make, f"doc_id {kind}, digest bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes as bytes) for the needed documents."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(raw_text(text)).alias("digest"), raw_text(text).alias("raw"))
+
 
+def _sets(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """node, shingles (sorted 64-bit hashes as bytes) of the needed nodes; ``needed`` names a row (doc_id, digest) of each."""
     def make():
         ids = _WordIds()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(raw, words, ids).tobytes() for raw in batch.column(1).to_pylist()]
+            sets = [shingle_set(raw.as_py(), words, ids).tobytes() for raw in batch.column(1)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
         return work
 
-    texts = docs.select(F.col(doc_id).alias("node"), raw_text(text).alias("raw"))
-    wanted = texts.join(needed.hint("shuffle_hash"), "node", "left_semi")
-    return cut(per_batch(wanted, make, f"node {kind}, shingles binary").dropDuplicates(["node", "shingles"]))
+    wanted = _rows(docs, doc_id, text).join(needed.hint("shuffle_hash"), ["doc_id", "digest"])
+    return cut(per_batch(wanted.select("node", "raw"), make, "node binary, shingles binary").dropDuplicates(["node"]))
 
 
 def _segments(shingles: np.ndarray) -> np.ndarray:
@@ -143,8 +144,6 @@ def _compare(pairs: DataFrame, sets: DataFrame, profiles: bool = False) -> DataF
 
     With ``profiles`` also the counts of a's shingles inside and outside b per hash segment, as packed numbers.
     """
-    kind = dict(pairs.dtypes)["a"]
-
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             shared, size_a, size_b, inside, outside = [], [], [], [], []
@@ -168,7 +167,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, profiles: bool = False) -> DataF
     joined = (pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
               .select("a", "b", "set_a", "set_b"))
     more = ", inside binary, outside binary" if profiles else ""
-    return cut(per_batch(joined, make, f"a {kind}, b {kind}, shared bigint, size_a bigint, size_b bigint{more}"))
+    return cut(per_batch(joined, make, f"a binary, b binary, shared bigint, size_a bigint, size_b bigint{more}"))
 
 
 def _linked(percent: int):
@@ -177,19 +176,20 @@ def _linked(percent: int):
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
                     seed: int = 7) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest reachable id), kept, one row per input row.
+    """doc_id, n_shingles, component_id (smallest reachable id), kept, digest (64 bits of the text), one row per input row.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets. A null or
-    wordless text has an empty set and is linked with nothing. Rows that share an id count as one
-    document. A null id takes no part: its component is null and the row is kept. Other columns are ignored.
+    wordless text has an empty set and is linked with nothing. Rows that share an id are told apart by their
+    texts. A null id takes no part: its component is null and the row is kept. Other columns are ignored.
     """
     tune(docs.sparkSession)
     signed = cut(signatures(docs, doc_id, text, words, seed))
     usable = signed.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    copies = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    nodes = usable.join(copies.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
+    # A set can be linked with another one only if it could with itself and one shingle more.
+    large = usable.filter(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1))
+    nodes = large.groupBy(F.col("set_key").alias("node")).agg(F.min(F.struct("doc_id", "digest")).alias("row"), F.first("bands").alias("bands"))
 
-    buckets = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
+    buckets = nodes.select(F.explode("bands").alias("key"), "node")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = cut(buckets.join(shared, "key"))
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
@@ -198,20 +198,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = cut(members.join(pivots, "key").select("node", "pivot").distinct())
 
     pairs = near.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), doc_id, text, words)
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(docs, nodes.join(asked, "node").select("node", "row.doc_id", "row.digest"), doc_id, text, words)
     stars = _compare(pairs, sets, profiles=True)
     links = stars.filter(_linked(percent)).select("a", "b")
     components = cut(connected_components(links, "a", "b"))
     more = _remaining(near, stars, components, percent)
     further = _compare(more, sets).filter(_linked(percent)).select("a", "b")
     if not further.isEmpty():
-        components = connected_components(links.unionByName(further), "a", "b")
-
-    labels = copies.join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        components = cut(connected_components(links.unionByName(further), "a", "b"))
+
+    copies = usable.groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("smallest"))
+    grouped = copies.join(components, "node", "left")
+    first = grouped.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("smallest").alias("first"))
+    labels = grouped.join(first, "component", "left").select(F.col("node").alias("set_key"), F.coalesce("first", "smallest").alias("label"))
+    out = signed.select("doc_id", "digest", "n_shingles", "set_key").join(labels, "set_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "digest")
 
 
 def _remaining(near: DataFrame, stars: DataFrame, components: DataFrame, percent: int) -> DataFrame:
@@ -234,31 +238,33 @@ def _remaining(near: DataFrame, stars: DataFrame, components: DataFrame, percent
     fields = ["pivot", "node", "label", "inside", "outside", "apart"]
     a = sized.filter("apart").select(*fields, place("apart_blocks").alias("i"), every("blocks").alias("j"))
     b = sized.select(*fields, place("blocks").alias("jj"), every("apart_blocks").alias("ii")).toDF(*[f"right_{f}" for f in (*fields, "j", "i")])
-    kind = dict(near.dtypes)["node"]
-
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         unpack = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), dtype="<u4").reshape(-1, SEGMENTS).astype(np.int64)
-        plain = lambda t, c: np.array(t.column(c).to_pylist())
+        plain = lambda t, c: np.array([*t.column(c).to_pylist(), None], dtype=object)[:-1]
         found_a, found_b = [], []
         if left.num_rows and right.num_rows:
             in_b, out_b, nodes_b, labels_b, apart_b = (unpack(right, "right_inside"), unpack(right, "right_outside"), plain(right, "right_node"),
-                                                       plain(right, "right_label"), plain(right, "right_apart"))
+                                                       plain(right, "right_label"), plain(right, "right_apart").astype(bool))
             sizes_b = in_b.sum(axis=1) + out_b.sum(axis=1)
             for in_a, out_a, node, own in zip(unpack(left, "inside"), unpack(left, "outside"), plain(left, "node"), plain(left, "label")):
                 most = np.minimum(in_b, in_a).sum(axis=1) + np.minimum(out_b, out_a).sum(axis=1)
                 union = in_a.sum() + out_a.sum() + sizes_b - most
-                keep = (labels_b != own) & (~apart_b | (node < nodes_b)) & (100 * most >= percent * union)
+                keep = (labels_b != own) & (~apart_b | (nodes_b > node)) & (100 * most >= percent * union)
                 found_b += nodes_b[keep].tolist()
-                found_a += [node.item()] * int(keep.sum())
-        kinds = left.schema.field("node").type
-        return pa.table({"a": pa.array(found_a, kinds), "b": pa.array(found_b, kinds)})
+                found_a += [node] * int(keep.sum())
+        return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
 
-    pairs = a.groupBy("pivot", "i", "j").cogroup(b.groupBy("right_pivot", "right_i", "right_j")).applyInArrow(meet, f"a {kind}, b {kind}")
+    pairs = a.groupBy("pivot", "i", "j").cogroup(b.groupBy("right_pivot", "right_i", "right_j")).applyInArrow(meet, "a binary, b binary")
     return cut(pairs.distinct())
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that are not the smallest of their group; columns stay as they are."""
+    """The documents without those that are not the smallest of their group; columns stay as they are.
+
+    Of rows that share an id only those whose text has a smaller copy go. Rows with null ids and whole repeated rows stay.
+    """
     groups = near_duplicates(docs, doc_id, text, words, percent)
-    dropped = groups.filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return drop_rows(docs, dropped, doc_id)
+    own = fresh(docs, "digest")
+    dropped = groups.filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id), F.col("digest").alias(own)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(raw_text(text))).join(dropped, [doc_id, own], "left_anti")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
