@@ -10,6 +10,7 @@ weights and Spark averages what they reach. Every document is scored on its whol
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from gaugeframe.llm.common import bounded_batches, labelled_sample, per_batch, raw_text
 from gaugeframe.runtime import cut, tune
 
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 6_000
 SHARD_ROWS = 2_000
-BUCKETS = 1 << 16          # a power of two
+BUCKETS = 1 << 16          # a power of two; feature numbers are stored in two bytes
 WIDTH = 8
 SIZES = (3, 4, 5)
 ROUNDS = 5
@@ -103,13 +104,13 @@ class Hasher:
             at = to
         yield self.end
 
-    def shares(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct feature numbers of a text and their shares of all its features."""
+    def counts(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct feature numbers of a text, rising, and how often it has them."""
         total = np.zeros(self.buckets, dtype=np.int64)
         for part in self.features(raw):
             total += np.bincount(part, minlength=self.buckets)
         there = np.flatnonzero(total)
-        return there.astype(np.int32), (total[there] / total.sum()).astype(np.float32)
+        return there, total[there]
 
     def mean(self, raw: bytes, values: np.ndarray) -> float:
         """The mean over all features of a text of one value per feature."""
@@ -159,21 +160,35 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """One numpy array per list; ids and shares of a shard are held as they are stored."""
-    return [part.values.to_numpy() for part in column]
+def packed(numbers: np.ndarray, counts: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(numbers, prepend=0).astype("<u2").tobytes() + counts.astype("<u8").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and their shares of all features."""
+    raw = zlib.decompress(data)
+    n = len(raw) // 10
+    counts = np.frombuffer(raw, dtype="<u8", offset=2 * n)
+    return np.frombuffer(raw, dtype="<u2", count=n).astype(np.int64).cumsum(), counts / counts.sum()
 
 
 def _shard_moves(shared, epochs: int, rates: tuple[float, float], turn: int, axes: list[str]):
-    """What one shard adds to the shared weights, as rows of moved vectors; the output layer counts as two more vectors."""
-    def run(table):
-        table = table.sort_by([("place", "ascending")])
-        rows = list(zip(_arrays(table["ids"]), _arrays(table["shares"])))
-        start = QualityModel(*shared.value)
-        end = descend(start, rows, table["label"].to_numpy(), epochs, rates, 1000 * turn + table["shard"][0].as_py())
-        moves = np.concatenate([end.vectors - start.vectors, (end.output - start.output).T])
-        moved = np.flatnonzero(moves.any(axis=1))
-        return pa.table([pa.array(moved.astype(np.int32)), *[pa.array(moves[moved, a]) for a in range(WIDTH)]], names=["bucket", *axes])
+    """What each shard of a partition adds to the shared weights, as rows of moved vectors.
+
+    The output layer counts as two more vectors; a last one counts the shards.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[int, list] = {}
+        for batch in batches:
+            for shard, place, label, features in zip(*[c.to_pylist() for c in batch.columns]):
+                shards.setdefault(shard, []).append((place, label, features))
+        for shard, found in sorted(shards.items()):
+            found.sort()
+            start = QualityModel(*shared.value)
+            end = descend(start, [unpacked(f) for _, _, f in found], np.array([label for _, label, _ in found]), epochs, rates, 1000 * turn + shard)
+            moves = np.concatenate([end.vectors - start.vectors, (end.output - start.output).T, np.ones((1, WIDTH))])
+            moved = np.flatnonzero(moves.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(moved.astype(np.int32)), *[pa.array(moves[moved, a]) for a in range(WIDTH)]], names=["bucket", *axes])
 
     return run
 
@@ -187,33 +202,32 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """
     spark = tune(docs.sparkSession)
     bounded_batches(spark)
-    texts = labelled_sample(docs, labels, doc_id, text, label, sample_rows, "quality")
+    shards = max(1, -(-min(sample_rows, labels.count()) // SHARD_ROWS))
+    texts = (labelled_sample(docs, labels, doc_id, text, label, sample_rows, "quality")
+             .withColumn("shard", F.least(F.floor(F.col("place") * shards), F.lit(shards - 1)).cast("int")).repartition(shards, "shard"))
 
     def make_rows():
         hasher = Hasher()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [hasher.shares(raw) for raw in batch.column("raw").to_pylist()]
             return pa.RecordBatch.from_arrays(
-                [batch.column("place"), pa.array([int(v > 0) for v in batch.column("label").to_pylist()], pa.int32()),
-                 pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float32()))],
-                names=["place", "label", "ids", "shares"])
+                [batch.column("shard"), batch.column("place"), pa.array([int(v > 0) for v in batch.column("label").to_pylist()], pa.int32()),
+                 pa.array([packed(*hasher.counts(raw.as_py())) for raw in batch.column("raw")], pa.binary())],
+                names=["shard", "place", "label", "features"])
         return work
 
-    sampled = cut(per_batch(texts.select("place", "label", "raw"), make_rows, "place double, label int, ids array<int>, shares array<float>"))
-    shards = max(1, -(-sampled.count() // SHARD_ROWS))
-    sampled = sampled.withColumn("shard", F.least(F.floor(F.col("place") * shards), F.lit(shards - 1)).cast("int"))
+    sampled = cut(per_batch(texts.select("shard", "place", "label", "raw"), make_rows, "shard int, place double, label int, features binary"))
     model = first_model()
     axes = [f"d{i}" for i in range(WIDTH)]
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((model.vectors, model.output))
         rates = (rate * (1 - turn / rounds), rate * (1 - (turn + 1) / rounds))
         schema = "bucket int, " + ", ".join(f"{a} double" for a in axes)
-        total = sampled.groupBy("shard").applyInArrow(_shard_moves(shared, epochs, rates, turn, axes), schema).groupBy("bucket").agg(*[F.sum(a).alias(a) for a in axes]).toArrow()
-        moves = np.zeros((BUCKETS + 2, WIDTH))
-        if total.num_rows:
-            moves[total["bucket"].to_numpy()] = np.column_stack([total[a].to_numpy() for a in axes]) / shards
-        model = QualityModel(model.vectors + moves[:BUCKETS], model.output + moves[BUCKETS:].T)
+        total = sampled.mapInArrow(_shard_moves(shared, epochs, rates, turn, axes), schema).groupBy("bucket").agg(*[F.sum(a).alias(a) for a in axes]).toArrow()
+        moves = np.zeros((BUCKETS + 3, WIDTH))
+        moves[total["bucket"].to_numpy()] = np.column_stack([total[a].to_numpy() for a in axes])
+        moves /= max(1.0, moves[-1, 0])
+        model = QualityModel(model.vectors + moves[:BUCKETS], model.output + moves[BUCKETS:-1].T)
         shared.unpersist()
     return model
 
