@@ -64,12 +64,16 @@ def area_bin(fraction: Column) -> Column:
 
 
 def area_groups(df: DataFrame, fraction: Column, threshold: Column) -> DataFrame:
-    """Detection by defect area; declared bins without rows stay with NULL recall."""
+    """Detection by defect area; declared bins without rows stay with NULL recall.
+
+    A defect without a fraction, or with one outside [0, 1], is in no bin: such rows come last as 'invalid_fraction', where there are any.
+    """
     spark = df.sparkSession
     bins = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(AREA_BINS)], "bin_order int, area_bin string")
-    found = df.filter(F.col("label") == 1).groupBy(area_bin(fraction).alias("area_bin")).agg(
+    valid = F.coalesce(fraction.isNotNull() & ~F.isnan(fraction) & fraction.between(0, 1), F.lit(False))
+    found = df.filter(F.col("label") == 1).groupBy(F.when(valid, area_bin(fraction)).otherwise("invalid_fraction").alias("area_bin")).agg(
         F.count(F.lit(1)).alias("images"), F.count_if(F.col("score") >= threshold).alias("detected"))
-    filled = bins.join(found, "area_bin", "left").fillna(0, ["images", "detected"])
+    filled = bins.join(found, "area_bin", "full").fillna(0, ["images", "detected"]).fillna(len(AREA_BINS), ["bin_order"])
     return filled.select(
         "bin_order", "area_bin", "images", "detected", (F.col("images") - F.col("detected")).alias("missed"),
         F.try_divide("detected", "images").alias("recall"), wilson(F.col("detected"), F.col("images")).alias("interval"))
@@ -82,11 +86,11 @@ def recall_by_group(df: DataFrame, threshold: Column, keys: Sequence[str]) -> Da
 
 
 def stress_summary(conditions: DataFrame, threshold: Column, base: str = "original") -> DataFrame:
-    """Each condition against the base condition of the same group."""
+    """Each condition against the base condition of the same group; rows whose group lacks it are counted in ``without_base``."""
     clean = conditions.filter(F.col("condition") == base).select("group_id", F.col("score").alias("base_score"))
-    paired = conditions.join(clean, "group_id")
+    paired = conditions.join(clean, "group_id", "left")
     now, was = F.col("score") >= threshold, F.col("base_score") >= threshold
     return with_rates(paired.groupBy("condition").agg(
-        F.count(F.lit(1)).alias("images"), F.count_if(now != was).alias("flips"),
+        F.count(F.lit(1)).alias("images"), F.count_if(F.col("base_score").isNull()).alias("without_base"), F.count_if(now != was).alias("flips"),
         F.count_if(now & ~was).alias("accepted_to_flagged"), F.count_if(~now & was).alias("flagged_to_accepted"),
         F.avg(F.abs(F.col("score") - F.col("base_score"))).alias("mean_abs_change"), *confusion_counts(threshold)))

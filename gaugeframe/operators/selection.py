@@ -9,23 +9,45 @@ from pyspark.sql import functions as F
 
 from gaugeframe.operators.prefix import ordered_index
 
+# The tolerance of equal scores, and the state texts of the family gate.
 TIE_TOLERANCE = 1e-12
 
 
+def usable(value: Column) -> Column:
+    """True for a finite number."""
+    return F.coalesce(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+
+def _foreign(df: DataFrame) -> Column:
+    """True for a group whose rows do not share one bank and one split, where the columns are there."""
+    mixed = F.lit(False)
+    for name in ("bank_digest", "split_digest"):
+        if name in df.columns:
+            mixed = mixed | (F.count_distinct(name) != 1) | (F.count_if(F.col(name).isNull()) > 0)
+    return mixed
+
+
 def select_best(candidates: DataFrame, keys: Sequence[str] = (), excluded: str = "baseline") -> DataFrame:
-    """The highest validation score; ties go to the lower latency, then to the smaller hash."""
+    """The highest validation score; ties go to the lower latency, then to the smaller hash.
+
+    A group with a score that is no number in [0, 1], or with several banks or splits, selects nothing and says why in ``reason``.
+    """
     keys = list(keys)
     pool = candidates.filter(F.col("kind") != excluded)
-    best = pool.groupBy(*keys).agg(F.max("validation_score").alias("__best"), F.count(F.lit(1)).alias("candidates"))
-    if keys:
-        joined = pool.join(best, keys)
-    else:
-        joined = pool.select("*", best.select("__best").scalar().alias("__best"), best.select("candidates").scalar().alias("candidates"))
-    tied = joined.filter(F.abs(F.col("validation_score") - F.col("__best")) <= TIE_TOLERANCE)
-    return tied.groupBy(*keys).agg(
-        F.min_by("checkpoint_sha256", F.struct("latency", "checkpoint_sha256")).alias("checkpoint_sha256"),
-        F.max("validation_score").alias("validation_score"), F.count(F.lit(1)).alias("tied"),
-        F.max("candidates").alias("candidates"))
+    score = F.col("validation_score")
+    odd = ~(usable(score) & F.coalesce(score.between(0, 1), F.lit(False)))
+    best = pool.groupBy(*keys).agg(F.max(F.when(~odd, score)).alias("__best"), F.count(F.lit(1)).alias("candidates"),
+                                   F.count_if(odd).alias("__odd"), _foreign(pool).alias("__mixed"))
+    names = ["__best", "candidates", "__odd", "__mixed"]
+    joined = pool.join(best, keys) if keys else pool.select("*", *[best.select(n).scalar().alias(n) for n in names])
+    tied = F.coalesce(F.abs(score - F.col("__best")) <= TIE_TOLERANCE, F.lit(False))
+    reason = F.when(F.max("__odd") > 0, "score outside [0, 1]").when(F.max("__mixed"), "several banks or splits")
+    chosen = joined.groupBy(*keys).agg(
+        F.min(F.when(tied, F.struct("latency", "checkpoint_sha256"))).alias("w"), F.max(F.when(tied, score)).alias("validation_score"),
+        F.count_if(tied).alias("tied"), F.max("candidates").alias("candidates"), reason.alias("reason"))
+    good = F.col("reason").isNull()
+    return chosen.select(*keys, F.when(good, F.col("w.checkpoint_sha256")).alias("checkpoint_sha256"),
+                         F.when(good, F.col("validation_score")).alias("validation_score"), F.when(good, F.col("tied")).alias("tied"), "candidates", "reason")
 
 
 def mixed_evidence(candidates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -132,34 +154,78 @@ def quality_target(recall: Column, false_alarm: Column) -> Column:
 
 def gate_family(candidates: DataFrame, control: DataFrame, keys: Sequence[str],
                 gain: float = 0.01, old_loss: float = 0.02) -> DataFrame:
-    """The best candidate that gains enough overall and loses little on the old families; NULL when none does."""
-    c = control.select(*keys, F.col("macro_h").alias("c_macro"), F.col("old_macro_h").alias("c_old"))
-    joined = candidates.join(c, list(keys))
-    eligible = (F.col("macro_h") >= F.col("c_macro") + gain) & (F.col("old_macro_h") >= F.col("c_old") - old_loss)
+    """The best candidate that gains enough overall and loses little on the old families; NULL when none does.
+
+    A group stops with another state where a value is no number in [0, 1], where it has not exactly one control, or where
+    candidates and control do not share one bank and one split.
+    """
+    values = ["macro_h", "old_macro_h"]
+    extra = [n for n in ("bank_digest", "split_digest") if n in candidates.columns and n in control.columns]
+    both = (candidates.select(*keys, "candidate", *values, *extra, F.lit(False).alias("__control"))
+            .unionByName(control.select(*keys, F.lit(None).cast(candidates.schema["candidate"].dataType).alias("candidate"), *values, *extra, F.lit(True).alias("__control"))))
+    odd = F.lit(False)
+    for name in values:
+        odd = odd | ~(usable(F.col(name)) & F.coalesce(F.col(name).between(0, 1), F.lit(False)))
+    own = F.col("__control")
+    base = both.groupBy(*keys).agg(*[F.max(F.when(own, F.col(n))).alias(f"c_{n}") for n in values], F.count_if(odd).alias("__odd"),
+                                   F.count_if(own).alias("__controls"), _foreign(both).alias("__mixed"))
+    joined = candidates.join(base, list(keys), "right")
+    eligible = ((F.col("__odd") == 0) & ~F.col("__mixed") & (F.col("__controls") == 1)
+                & (F.col("macro_h") >= F.col("c_macro_h") + gain) & (F.col("old_macro_h") >= F.col("c_old_macro_h") - old_loss))
     order = F.struct((-F.col("macro_h")).alias("s"), F.col("candidate"))
+    state = (F.when(F.max("__odd") > 0, "stopped_invalid_value").when(F.max("__mixed"), "stopped_mixed_evidence")
+             .when(F.max("__controls") != 1, "stopped_no_single_control")
+             .when(F.count_if(eligible) > 0, "passed").otherwise("stopped_no_validation_gain"))
     return joined.groupBy(*keys).agg(
-        F.min(F.when(eligible, order)).alias("w"), F.count_if(eligible).alias("eligible")
-    ).select(*keys, F.col("w.candidate").alias("selected"), "eligible",
-             F.when(F.col("w").isNotNull(), "passed").otherwise("stopped_no_validation_gain").alias("state"))
+        F.min(F.when(eligible, order)).alias("w"), F.count_if(eligible).alias("eligible"), state.alias("state")
+    ).select(*keys, F.col("w.candidate").alias("selected"), "eligible", "state")
 
 
-def gate_pooled(pairs: DataFrame, keys: Sequence[str], gain: float = 0.01, loss: float = 0.01) -> DataFrame:
-    """Rows (condition, control, candidate): the pooled value must gain, no condition may lose much."""
+def _gate(passed: Column, wanted: Sequence[tuple[Column, str]], missing: Column) -> dict[str, Column]:
+    """``passed`` and the first reason against it; a value that is missing or no number comes before all others."""
+    reason = F.when(missing, "missing value")
+    for good, name in wanted:
+        reason = reason.when(~F.coalesce(good, F.lit(False)), name)
+    return {"reason": reason, "passed": F.coalesce(passed, F.lit(False)) & ~missing}
+
+
+def _absent(cell: Column, expected: Sequence[str] | None) -> Column:
+    """True for a group without rows of an expected cell, or with several of one."""
+    if expected is None:
+        return F.count(cell) != F.count_distinct(cell)
+    return (F.count_distinct(F.when(cell.isin(*expected), cell)) != len(expected)) | (F.count(cell) != F.count_distinct(cell))
+
+
+def gate_pooled(pairs: DataFrame, keys: Sequence[str], gain: float = 0.01, loss: float = 0.01, conditions: Sequence[str] | None = None) -> DataFrame:
+    """Rows (condition, control, candidate): the pooled value must gain, no condition may lose much.
+
+    A value that is null or no finite number, a repeated condition, an absent one of ``conditions``, or none beside the pooled one fails the gate.
+    """
     change = F.col("candidate") - F.col("control")
     pooled = F.col("condition") == "pooled"
-    return pairs.groupBy(*keys).agg(
-        F.max(F.when(pooled, change)).alias("pooled_gain"), F.min(F.when(~pooled, change)).alias("worst_change")
-    ).withColumn("passed", F.coalesce((F.col("pooled_gain") >= gain) & (F.col("worst_change") >= -loss), F.lit(False)))
+    expected = None if conditions is None else ["pooled", *conditions]
+    out = pairs.groupBy(*keys).agg(
+        F.max(F.when(pooled, change)).alias("pooled_gain"), F.min(F.when(~pooled, change)).alias("worst_change"),
+        ((F.count_if(~usable(change)) > 0) | (F.count_if(F.col("condition").isNull()) > 0) | (F.count_if(pooled) != 1)
+         | (F.count_if(~pooled) == 0) | _absent(F.col("condition"), expected)).alias("__missing"))
+    gained, kept = F.col("pooled_gain") >= gain, F.col("worst_change") >= -loss
+    return out.withColumns(_gate(gained & kept, [(gained, "pooled gain too small"), (kept, "a condition loses")], F.col("__missing"))).drop("__missing")
 
 
-def gate_shortfall(pairs: DataFrame, keys: Sequence[str], share: float = 0.1, loss: float = 0.01) -> DataFrame:
-    """Rows (metric, condition, control, candidate): close part of the distance to 1, lose nothing elsewhere."""
+def gate_shortfall(pairs: DataFrame, keys: Sequence[str], share: float = 0.1, loss: float = 0.01, cells: Sequence[str] | None = None) -> DataFrame:
+    """Rows (metric, condition, control, candidate): close part of the distance to 1, lose nothing elsewhere.
+
+    Fails closed as ``gate_pooled``; ``cells`` lists the expected 'metric/condition'.
+    """
     change = F.col("candidate") - F.col("control")
     target = (F.col("condition") == "pooled") & (F.col("metric") == "image_pauc")
+    cell = F.concat_ws("/", "metric", "condition")
     out = pairs.groupBy(*keys).agg(
         F.max(F.when(target, change)).alias("gain"), F.max(F.when(target, 1 - F.col("control"))).alias("shortfall"),
-        F.min(F.when(~target, change)).alias("worst_change"))
-    passed = (F.col("gain") > 0) & (F.col("gain") >= share * F.col("shortfall")) & (F.col("worst_change") >= -loss)
-    return out.withColumns({
-        "reduction": F.when(F.col("shortfall") > 0, F.col("gain") / F.col("shortfall")),
-        "passed": F.coalesce(passed, F.lit(False))})
+        F.min(F.when(~target, change)).alias("worst_change"),
+        ((F.count_if(~usable(change)) > 0) | (F.count_if(F.col("metric").isNull() | F.col("condition").isNull()) > 0) | (F.count_if(target) != 1)
+         | (F.count_if(~target) == 0) | _absent(cell, cells)).alias("__missing"))
+    gained = (F.col("gain") > 0) & (F.col("gain") >= share * F.col("shortfall"))
+    kept = F.col("worst_change") >= -loss
+    reduction = F.when(F.col("shortfall") > 0, F.col("gain") / F.col("shortfall"))
+    return out.withColumns({"reduction": reduction, **_gate(gained & kept, [(gained, "shortfall not closed"), (kept, "another value loses")], F.col("__missing"))}).drop("__missing")

@@ -86,22 +86,22 @@ def first_nonempty(cases: DataFrame, positive: Column, keys: Sequence[str], limi
 
 
 def next_donor(records: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
-    """Each record takes the next one of its category as donor; the last takes the first."""
+    """Each record takes the next one of its category as donor; the last takes the first, a single one none (NULL)."""
     keys = list(keys)
     numbered = ordered_index(records.select(*keys, path), keys, [path])
-    wanted = numbered.withColumn("__want", (F.col("idx") + 1) % F.col("n"))
+    wanted = numbered.withColumn("__want", F.when(F.col("n") > 1, (F.col("idx") + 1) % F.col("n")))
     donors = numbered.select(*keys, F.col("idx").alias("__want"), F.col(path).alias("donor"))
-    return wanted.join(donors, [*keys, "__want"]).select(*keys, F.col(path), "donor")
+    return wanted.join(donors, [*keys, "__want"], "left").select(*keys, F.col(path), "donor")
 
 
 def random_donor(records: DataFrame, keys: Sequence[str], path: str, seed: int) -> DataFrame:
-    """A drawn donor of the same category that is never the recipient itself."""
+    """A drawn donor of the same category that is never the recipient itself; NULL for the only record of a category."""
     keys = list(keys)
     numbered = hash_index(records.select(*keys, path), keys, order_digest(seed, F.col(path)), [path])
     pick = F.pmod(draw(f"{seed}-donor", F.col(path)), F.greatest(F.col("n") - 1, F.lit(1)))
-    wanted = numbered.filter(F.col("n") > 1).withColumn("__want", pick + F.when(pick >= F.col("idx"), 1).otherwise(0))
+    wanted = numbered.withColumn("__want", F.when(F.col("n") > 1, pick + F.when(pick >= F.col("idx"), 1).otherwise(0)))
     donors = numbered.select(*keys, F.col("idx").alias("__want"), F.col(path).alias("donor"))
-    return wanted.join(donors, [*keys, "__want"]).select(*keys, F.col(path), "donor")
+    return wanted.join(donors, [*keys, "__want"], "left").select(*keys, F.col(path), "donor")
 
 
 def random_subset(records: DataFrame, fraction: float, seed: int, key: str) -> DataFrame:

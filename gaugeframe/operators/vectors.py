@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gaugeframe.functions.scalar import draw, unit
 from gaugeframe.operators.splits import order_digest, random_subset
-from gaugeframe.runtime import cut
+from gaugeframe.runtime import cut, scratch
 
 BLOCK_ROWS = 8192
-MAX_CELLS = 512
+TRAIN_ROWS = 256          # vectors a coarse centre is fitted on
+WORD_ROWS = 65_536        # vectors the codewords are fitted on
+PROBE_QUERIES = 200       # queries the number of probes is measured on
 STARTING_POINTS = 10
 
 
@@ -35,12 +41,18 @@ def _nearest_in_block(k: int):
         if queries.empty or bank.empty:
             return pd.DataFrame(columns=names).astype({"query_id": "int64", "neighbour_id": "int64", "distance": "float64"})
         b, ids, query_ids = matrix(bank["vector"]), bank["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        keep, parts = min(k, len(b)), []
+        keep, parts, middle = min(k, len(b)), [], b.mean(0)
+        near = b - middle                                         # around the block's mean, so that little cancels
+        eps, far = np.finfo(np.float64).eps * (b.shape[1] + 4), (near * near).sum(1).max()
         for start in range(0, len(queries), 512):
             q = matrix(queries["vector"].iloc[start:start + 512])
-            d = squared_distances(q, b)
+            own = q - middle
+            d = squared_distances(own, near)
             edge = np.partition(d, keep - 1, axis=1)[:, keep - 1:keep]
-            rows, columns = np.nonzero(d <= edge + 1e-9 * (1 + edge))
+            # What the expansion and the shift of the coordinates can be off by; all within it are compared directly.
+            shift = eps * max(np.abs(q).max(), np.abs(b).max(), np.abs(middle).max())
+            off = 4 * eps * ((own * own).sum(1)[:, None] + far) + 4 * shift * (np.sqrt(edge) + shift)
+            rows, columns = np.nonzero(d <= edge + 2 * off)
             exact = ((q[rows] - b[columns]) ** 2).sum(1)          # direct form, free of cancellation
             order = np.lexsort((ids[columns], exact, rows))
             rows, columns, exact = rows[order], columns[order], exact[order]
@@ -94,27 +106,168 @@ def knn_exact(queries: DataFrame, bank: DataFrame, k: int, id_column: str = "vec
                                _named(bank, id_column, vector, "vec_id").withColumns(whole), k)
 
 
-def _nearest_cells(centres: np.ndarray, probes: int):
+def _centres(vectors: DataFrame, count: int, rows: int, seed: int) -> np.ndarray:
+    """``count`` centres by Lloyd's rounds on the executors, from ``TRAIN_ROWS`` vectors a centre drawn by hash; at least one."""
+    share = min(1.0, count * TRAIN_ROWS / max(1, rows))
+    drawn = vectors.filter(unit(draw(f"{seed}-cells", F.col("vec_id"))) < share) if share < 1 else vectors
+    model = KMeans(k=max(2, count), seed=seed, maxIter=12, featuresCol="features").fit(drawn.select(array_to_vector("vector").alias("features")))
+    return np.array(model.clusterCenters(), dtype=np.float64)
+
+
+def _by_cell(centres: np.ndarray, counts: np.ndarray | None, least: int, probes: int):
+    """The nearest cells of each vector: ``probes`` of them, and more until they hold ``least`` rows by ``counts``."""
     @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
-        d = squared_distances(matrix(vectors), centres)
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+        out = []
+        for start in range(0, len(vectors), 256):
+            order = np.argsort(squared_distances(matrix(vectors.iloc[start:start + 256]), centres), axis=1, kind="stable")
+            if counts is None:
+                out.extend(order[:, :probes].astype(np.int32))
+                continue
+            held = np.cumsum(counts[order], axis=1)
+            need = np.maximum(probes, 1 + (held < least).sum(axis=1))
+            out.extend(row[:n].astype(np.int32) for row, n in zip(order, need))
+        return pd.Series(out)
     return nearest
 
 
-def knn_approx(queries: DataFrame, bank: DataFrame, k: int, probes: int = 4, cells: int | None = None, seed: int = 7,
-               id_column: str = "vec_id", vector: str = "embedding", block: int = BLOCK_ROWS) -> DataFrame:
-    """Search only the nearest cells of a coarse partition of the bank (inverted lists)."""
-    size = bank.count()
+def _lloyd(x: np.ndarray, count: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Codewords of one part position of a bounded sample."""
+    words = x[np.random.default_rng(seed).permutation(len(x))[:count]].copy()
+    for _ in range(rounds):
+        nearest = np.concatenate([squared_distances(x[i:i + 4096], words).argmin(1) for i in range(0, len(x), 4096)])
+        sums = np.stack([np.bincount(nearest, weights=x[:, d], minlength=len(words)) for d in range(x.shape[1])], axis=1)
+        sizes = np.bincount(nearest, minlength=len(words))
+        words[sizes > 0] = sums[sizes > 0] / sizes[sizes > 0, None]
+    return words
+
+
+@dataclass
+class VectorIndex:
+    """Coarse centres, codewords of the residuals by part, the rows of each cell, and the codes as a table (cell, vec_id, codes)."""
+    centres: np.ndarray
+    words: list[np.ndarray]
+    counts: np.ndarray
+    codes: DataFrame
+    bank: DataFrame          # vec_id, vector
+
+    def residuals(self, x: np.ndarray, cells: np.ndarray) -> list[np.ndarray]:
+        return np.array_split(x - self.centres[cells], len(self.words), axis=1)
+
+
+def build_index(bank: DataFrame, cells: int | None = None, parts: int = 16, seed: int = 7, id_column: str = "vec_id",
+                vector: str = "embedding") -> VectorIndex:
+    """An inverted-list index whose rows keep one byte a part instead of their vectors.
+
+    Centres and codewords are fitted on bounded samples drawn by hash (``TRAIN_ROWS`` vectors a centre, ``WORD_ROWS`` vectors for the
+    codewords of all parts); every row is indexed. The code table is written to the shared folder.
+    """
+    spark = bank.sparkSession
+    rows = _named(bank, id_column, vector, "vec_id")
+    size = rows.count()
+    centres = _centres(rows, cells or max(1, round(math.sqrt(size))), size, seed)
+    placed = rows.withColumn("cell", _by_cell(centres, None, 0, 1)("vector")[0])
+    share = min(1.0, WORD_ROWS / max(1, size))
+    sample = placed.filter(unit(draw(f"{seed}-words", F.col("vec_id"))) < share)
+    parts = min(parts, centres.shape[1])
+
+    def train(part: pd.DataFrame) -> pd.DataFrame:
+        number, part = int(part["part"].iloc[0]), part.sort_values("vec_id")
+        x = np.array_split(matrix(part["vector"]) - centres[part["cell"].to_numpy()], parts, axis=1)[number]
+        return pd.DataFrame({"part": number, "words": [w for w in _lloyd(x, min(256, len(x)), seed + number)]})
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    trained = sample.select("vec_id", "vector", "cell", every).groupBy("part").applyInPandas(train, "part int, words array<double>").toPandas()
+    words = [np.stack(trained.loc[trained["part"] == p, "words"].to_numpy()) for p in range(parts)]
+    index = VectorIndex(centres, words, np.zeros(len(centres), dtype=np.int64), placed, rows)
+    index_words = spark.sparkContext.broadcast((centres, words))
+
+    @F.pandas_udf("binary")
+    def encode(vectors: pd.Series, cell: pd.Series) -> pd.Series:
+        own_centres, own_words = index_words.value
+        split = np.array_split(matrix(vectors) - own_centres[cell.to_numpy()], len(own_words), axis=1)
+        codes = np.stack([squared_distances(x, w).argmin(1).astype(np.uint8) for x, w in zip(split, own_words)], axis=1)
+        return pd.Series([c.tobytes() for c in codes])
+
+    folder = scratch(spark, "vector-codes")
+    placed.select("cell", "vec_id", encode("vector", "cell").alias("codes")).write.parquet(folder)
+    index.codes = spark.read.schema("cell int, vec_id long, codes binary").parquet(folder)
+    for row in index.codes.groupBy("cell").count().collect():
+        index.counts[row["cell"]] = row["count"]
+    return index
+
+
+def probes_for(index: VectorIndex, queries: DataFrame, k: int, target: float, id_column: str = "vec_id", vector: str = "embedding",
+               seed: int = 7, block: int = BLOCK_ROWS) -> int:
+    """The fewest cells whose visit holds the share ``target`` of the true neighbours of at most about ``PROBE_QUERIES`` queries drawn by hash."""
+    total = queries.count()
+    asked = _named(queries, id_column, vector, "query_id").filter(unit(draw(f"{seed}-probes", F.col("query_id"))) < min(1.0, PROBE_QUERIES / max(1, total)))
+    true = knn_exact(asked.withColumnRenamed("query_id", "vec_id"), index.bank, k, "vec_id", "vector", block)
+    order = asked.select("query_id", F.posexplode(_by_cell(index.centres, None, 0, len(index.centres))("vector")).alias("place", "cell"))
+    held = index.codes.select(F.col("vec_id").alias("neighbour_id"), "cell")
+    places = true.join(held, "neighbour_id").join(order, ["query_id", "cell"]).groupBy("place").count().orderBy("place").collect()
+    seen, wanted = 0, target * sum(r["count"] for r in places)
+    for r in places:
+        seen += r["count"]
+        if seen >= wanted:
+            return r["place"] + 1
+    return len(index.centres)
+
+
+def _scan_codes(index_parts, keep: int):
+    """The ``keep`` smallest table-lookup distances of every query among the codes of one block."""
+    def scan(queries: pd.DataFrame, bank: pd.DataFrame) -> pd.DataFrame:
+        names = {"query_id": "int64", "neighbour_id": "int64", "distance": "float64"}
+        if queries.empty or bank.empty:
+            return pd.DataFrame(columns=list(names)).astype(names)
+        centres, words = index_parts.value
+        codes = np.frombuffer(b"".join(bank["codes"]), dtype=np.uint8).reshape(len(bank), -1)
+        ids, cell, out = bank["vec_id"].to_numpy(), int(bank["cell"].iloc[0]), []
+        split = np.array_split(matrix(queries["vector"]) - centres[cell], len(words), axis=1)
+        tables = [squared_distances(x, w) for x, w in zip(split, words)]
+        for row, query in enumerate(queries["query_id"]):
+            d = sum(table[row][codes[:, p]] for p, table in enumerate(tables))
+            best = np.lexsort((ids, d))[:keep] if len(d) <= keep else np.argpartition(d, keep - 1)[:keep]
+            out.append(pd.DataFrame({"query_id": query, "neighbour_id": ids[best], "distance": d[best]}))
+        return pd.concat(out)
+    return scan
+
+
+def knn_approx(queries: DataFrame, bank: DataFrame | VectorIndex, k: int, probes: int | None = None, cells: int | None = None, seed: int = 7,
+               id_column: str = "vec_id", vector: str = "embedding", block: int = BLOCK_ROWS, target: float = 0.97, keep: int | None = None) -> DataFrame:
+    """(query_id, neighbour_id, distance, rank) from an index: cells by trained centres, codes by lookup tables, exact distances last.
+
+    Without ``probes`` their number is the smallest that holds ``target`` of the true neighbours of a sample of the queries. A query
+    visits more cells where these hold fewer than ``keep`` rows (default 20 k), so every query gets k. The scan reads codes only; the vectors of
+    the ``keep`` best of each query are fetched for the exact order.
+    """
+    keep = max(k, keep or 20 * k)
+    index = bank if isinstance(bank, VectorIndex) else build_index(bank, cells, seed=seed, id_column=id_column, vector=vector)
+    size = int(index.counts.sum())
     if k > size:
         raise ValueError(f"{k} neighbours asked of a bank of {size}")
-    cells = min(MAX_CELLS, cells or max(1, int(math.sqrt(size))))
-    sample = random_subset(bank.select(id_column, vector), (cells + 0.5) / size, seed, id_column)
-    centres = np.array([r[vector] for r in sample.orderBy(id_column).collect()], dtype=np.float64)   # at most MAX_CELLS rows
-    probes = min(probes, len(centres))
-    q = _named(queries, id_column, vector, "query_id").withColumn("cell", F.explode(_nearest_cells(centres, probes)("vector")))
-    b = _named(bank, id_column, vector, "vec_id").withColumn("cell", _nearest_cells(centres, 1)("vector")[0])
-    return _blocked_neighbours(*_with_parts(q, b, block), k)
+    if probes is None:
+        probes = probes_for(index, queries, k, target, id_column, vector, seed, block)
+    asked = _named(queries, id_column, vector, "query_id")
+    places = asked.withColumn("cell", F.explode(_by_cell(index.centres, index.counts, min(size, keep), min(probes, len(index.centres)))("vector")))
+    q, b = _with_parts(places, index.codes, block)
+    q = q.select("cell", "query_id", "vector", F.pmod(F.xxhash64("query_id"), "query_parts").alias("query_part"),
+                 F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bank_parts") - 1)).alias("bank_part"))
+    b = b.select("cell", "vec_id", "codes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("query_parts") - 1)).alias("query_part"),
+                 F.pmod(F.xxhash64("vec_id"), "bank_parts").alias("bank_part"))
+    keys = ["cell", "query_part", "bank_part"]
+    parts = queries.sparkSession.sparkContext.broadcast((index.centres, index.words))
+    near = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(_scan_codes(parts, keep), "query_id long, neighbour_id long, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")          # at most ``keep`` rows per block met
+    few = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).select("query_id", "neighbour_id")
+    pairs = (few.join(asked.withColumnRenamed("vector", "asked"), "query_id")
+             .join(index.bank.select(F.col("vec_id").alias("neighbour_id"), "vector"), "neighbour_id"))
+    @F.pandas_udf("double")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(((matrix(a) - matrix(b)) ** 2).sum(1) if len(a) else np.empty(0))
+
+    exact = pairs.select("query_id", "neighbour_id", apart("asked", "vector").alias("distance"))
+    return exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def patch_max(neighbours: DataFrame, images: DataFrame, id_column: str = "vec_id") -> DataFrame:

@@ -137,8 +137,10 @@ def first_per_group(v: Views):
 
 
 @query(sql_more("candidates", """p AS (SELECT *, max(validation_score) OVER (PARTITION BY category) AS best, count(*) OVER (PARTITION BY category) AS candidates FROM candidates WHERE kind <> 'baseline'),
-  t AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY latency, checkpoint_sha256) AS k, count(*) OVER (PARTITION BY category) AS tied FROM p WHERE best - validation_score <= 1e-12)
-  SELECT category, checkpoint_sha256, validation_score, tied, candidates FROM t WHERE k = 1"""))
+  t AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY latency, checkpoint_sha256) AS k, count(*) OVER (PARTITION BY category) AS tied FROM p WHERE best - validation_score <= 1e-12),
+  o AS (SELECT category, CASE WHEN count(*) FILTER (validation_score IS NULL OR isnan(validation_score) OR validation_score NOT BETWEEN 0 AND 1) > 0 THEN 'score outside [0, 1]' END AS reason FROM p GROUP BY category)
+  SELECT category, CASE WHEN reason IS NULL THEN checkpoint_sha256 END AS checkpoint_sha256, CASE WHEN reason IS NULL THEN validation_score END AS validation_score,
+    CASE WHEN reason IS NULL THEN tied END AS tied, candidates, reason FROM t JOIN o USING (category) WHERE k = 1"""))
 def select_best(v: Views):
     return selection.select_best(v.candidates(), ["category"])
 
@@ -182,7 +184,7 @@ SCREEN = """s AS (SELECT category, seed, validation_score AS macro_h, round(((se
 @query(sql_more("candidates", SCREEN + """, k AS (SELECT category, macro_h AS c, old_macro_h AS o FROM s WHERE seed = control),
   e AS (SELECT category, seed AS candidate, macro_h, macro_h >= c + 0.01::DOUBLE AND old_macro_h >= o - 0.02::DOUBLE AS ok FROM s JOIN k USING (category) WHERE seed <> control)
   SELECT category, first(candidate ORDER BY macro_h DESC, candidate) FILTER (ok) AS selected, count(*) FILTER (ok) AS eligible,
-    CASE WHEN count(*) FILTER (ok) > 0 THEN 'passed' ELSE 'stopped_no_validation_gain' END AS state FROM e GROUP BY category"""))
+    CASE WHEN count(*) FILTER (ok) > 0 THEN 'passed' ELSE 'stopped_no_validation_gain' END AS state FROM (SELECT DISTINCT category FROM s) LEFT JOIN e USING (category) GROUP BY category"""))
 def gate_family(v: Views):
     rows = v.candidates().select("category", F.col("seed").alias("candidate"), F.col("validation_score").alias("macro_h"),
                                  F.round(((F.col("seed") * 37) % 100) / 100.0, 2).alias("old_macro_h"))
@@ -206,22 +208,24 @@ def gate_pairs(v: Views):
 
 
 @query(f"""WITH {PAIRS} SELECT screen, round(max(candidate - control) FILTER (condition = 'pooled'), 8) AS pooled_gain, round(min(candidate - control) FILTER (condition <> 'pooled'), 8) AS worst_change,
-  coalesce(max(candidate - control) FILTER (condition = 'pooled') >= 0.01::DOUBLE AND min(candidate - control) FILTER (condition <> 'pooled') >= -0.01::DOUBLE - 1e-12, false) AS passed FROM pairs GROUP BY screen""")
+  CASE WHEN count(*) FILTER (candidate - control IS NULL OR NOT isfinite(candidate - control)) > 0 THEN 'missing value' WHEN NOT max(candidate - control) FILTER (condition = 'pooled') >= 0.01::DOUBLE THEN 'pooled gain too small'
+    WHEN NOT min(candidate - control) FILTER (condition <> 'pooled') >= -0.01::DOUBLE THEN 'a condition loses' END AS reason, reason IS NULL AS passed FROM pairs GROUP BY screen""")
 def gate_pooled(v: Views):
-    return selection.gate_pooled(gate_pairs(v), ["screen"], loss=0.01 + 1e-12).withColumns(
+    return selection.gate_pooled(gate_pairs(v), ["screen"]).withColumns(
         {c: F.round(c, 8) for c in ("pooled_gain", "worst_change")})
 
 
 @query(f"""WITH {PAIRS}, m AS (SELECT screen, condition, 'image_pauc' AS metric, control, candidate FROM pairs UNION ALL SELECT screen, condition, 'pixel_ap', control * 0.5::DOUBLE, candidate * 0.5::DOUBLE FROM pairs),
   g AS (SELECT screen, max(candidate - control) FILTER (condition = 'pooled' AND metric = 'image_pauc') AS gain, max(1 - control) FILTER (condition = 'pooled' AND metric = 'image_pauc') AS shortfall,
-    min(candidate - control) FILTER (condition <> 'pooled' OR metric <> 'image_pauc') AS worst FROM m GROUP BY screen)
+    min(candidate - control) FILTER (condition <> 'pooled' OR metric <> 'image_pauc') AS worst, count(*) FILTER (candidate - control IS NULL OR NOT isfinite(candidate - control)) AS bad FROM m GROUP BY screen)
   SELECT screen, round(gain, 8) AS gain, round(shortfall, 8) AS shortfall, round(worst, 8) AS worst_change, CASE WHEN shortfall > 0 THEN round(gain / shortfall, 8) END AS reduction,
-    coalesce(gain > 0 AND gain >= 0.05::DOUBLE * shortfall AND worst >= -0.01::DOUBLE - 1e-12, false) AS passed FROM g""")
+    CASE WHEN bad > 0 THEN 'missing value' WHEN NOT (gain > 0 AND gain >= 0.1::DOUBLE * shortfall) THEN 'shortfall not closed' WHEN NOT worst >= -0.01::DOUBLE THEN 'another value loses' END AS reason,
+    reason IS NULL AS passed FROM g""")
 def gate_shortfall(v: Views):
     pairs = gate_pairs(v)
     both = pairs.withColumn("metric", F.lit("image_pauc")).unionByName(
         pairs.withColumns({"control": F.col("control") * 0.5, "candidate": F.col("candidate") * 0.5}).withColumn("metric", F.lit("pixel_ap")))
-    out = selection.gate_shortfall(both, ["screen"], share=0.05, loss=0.01 + 1e-12)
+    out = selection.gate_shortfall(both, ["screen"])
     return out.withColumns({c: F.round(c, 8) for c in ("gain", "shortfall", "worst_change", "reduction")})
 
 

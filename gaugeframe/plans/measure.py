@@ -259,19 +259,18 @@ def latency_summary(v: Views):
 
 
 @query(sql_more("conditions", f"""t AS (SELECT quantile_cont(score, 0.9) AS t FROM conditions WHERE condition = 'original' AND label = 0),
-  p AS (SELECT a.condition, a.label, a.score, b.score AS base, t FROM conditions a JOIN conditions b ON a.group_id = b.group_id AND b.condition = 'original', t),
-  c AS (SELECT condition, count(*) AS images, count(*) FILTER ((score >= t) <> (base >= t)) AS flips,
+  p AS (SELECT a.condition, a.label, a.score, b.score AS base, t FROM conditions a LEFT JOIN conditions b ON a.group_id = b.group_id AND b.condition = 'original', t),
+  c AS (SELECT condition, count(*) AS images, count(*) FILTER (base IS NULL) AS without_base, count(*) FILTER ((score >= t) <> (base >= t)) AS flips,
      count(*) FILTER (score >= t AND base < t) AS accepted_to_flagged, count(*) FILTER (score < t AND base >= t) AS flagged_to_accepted,
      round(avg(abs(score - base)), 6) AS mean_abs_change, {COUNTS_SQL.format(t='t')} FROM p GROUP BY condition),
   {curve_sql('conditions', 'condition')},
   m AS (SELECT condition, round(sum(pos * (N - fp + neg / 2)) / (max(P) * max(N)), 8) AS auroc, round(sum(pos * tp / (tp + fp)) / max(P), 8) AS ap FROM curve GROUP BY condition)
-  SELECT condition, images, flips, accepted_to_flagged, flagged_to_accepted, mean_abs_change, {RATES_SQL}, auroc, ap FROM c JOIN m USING (condition)"""))
+  SELECT condition, images, without_base, flips, accepted_to_flagged, flagged_to_accepted, mean_abs_change, {RATES_SQL}, auroc, ap FROM c JOIN m USING (condition)"""))
 def stress_summary(v: Views):
     rows = v.conditions()
-    cut = rates.normal_threshold(rows.filter(F.col("condition") == "original"), 0.9).select("threshold")
-    frozen = cut.first()["threshold"]     # one declared scalar
+    frozen = rates.normal_threshold(rows.filter(F.col("condition") == "original"), 0.9).select("threshold").scalar()
     metrics = ranking.ranking_metrics(rows, ["condition"], source=rows.select("condition", "score")).select("condition", "auroc", "ap")
-    return rates.stress_summary(rows, F.lit(frozen)).join(metrics, "condition").withColumns(
+    return rates.stress_summary(rows, frozen).join(metrics, "condition").withColumns(
         {**r8("recall", "false_alarm_rate", "precision", "auroc", "ap"), "mean_abs_change": F.round("mean_abs_change", 6)})
 
 

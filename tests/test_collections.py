@@ -139,3 +139,9 @@ def test_subset_and_retry(spark, bucketing):
     cases = spark.createDataFrame([(0,), (5,), (70,)], "want int")
     got = {r["want"]: r["attempt"] for r in splits.first_nonempty(cases, F.col("attempt") >= F.col("want"), ["want"]).collect()}
     assert got == {0: 0, 5: 5, 70: None}
+
+
+def test_single_records_have_no_donor(spark):
+    df = spark.createDataFrame([("a", "p1"), ("a", "p2"), ("b", "p3")], "category string, path string")
+    for rows in (splits.next_donor(df, ["category"], "path").collect(), splits.random_donor(df, ["category"], "path", 4).collect()):
+        assert {r["path"]: r["donor"] for r in rows} == {"p1": "p2", "p2": "p1", "p3": None}

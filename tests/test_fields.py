@@ -36,6 +36,17 @@ def test_knn_bank_of_copies_and_small_bank(spark, bank):
         vectors.knn_exact(table(spark, bank), table(spark, bank), 32)
 
 
+@pytest.mark.parametrize("level", [1.0, 1e3, 1e4, 1e5])
+def test_knn_far_from_the_origin(spark, level):
+    rng = np.random.default_rng(6)
+    m, q = level + rng.normal(0, 1e-3, (300, 64)), level + rng.normal(0, 1e-3, (100, 64))
+    frame = lambda a: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["neighbour_id"] for r in vectors.knn_exact(frame(q), frame(m), 3, block=64).collect()}
+    for i, v in enumerate(q):
+        want = np.lexsort((np.arange(300), ((v - m) ** 2).sum(1)))[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == want.tolist()
+
+
 def test_approximate_search(spark, bank):
     q, b = table(spark, bank[:10] + .01), table(spark, bank)
     exact = sorted(map(tuple, vectors.knn_exact(q, b, 3).collect()))
@@ -44,6 +55,31 @@ def test_approximate_search(spark, bank):
     assert len(some & {(r[0], r[1]) for r in exact if r[3] == 1}) >= 9
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_approximate_search_recall(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    bank, queries = rows.filter("label < 5"), rows.filter("label >= 5")
+    b, q = ([(r.vec_id, np.array(r.embedding, dtype=float)) for r in t.collect()] for t in (bank, queries))
+    ids, matrix = np.array([i for i, _ in b]), np.stack([v for _, v in b])
+    true = {i: set(ids[np.lexsort((ids, ((matrix - v) ** 2).sum(1)))[:3]].tolist()) for i, v in q}
+    got = vectors.knn_approx(queries, bank, 3).collect()
+    found = {i: [r for r in got if r["query_id"] == i] for i in true}
+    assert all(sorted(r["rank"] for r in rs) == [1, 2, 3] for rs in found.values())
+    assert sum(len({r["neighbour_id"] for r in rs} & true[i]) for i, rs in found.items()) / (3 * len(true)) >= 0.9
+
+
+def test_approximate_search_always_returns_k(spark):
+    rng = np.random.default_rng(3)
+    m = np.concatenate([rng.normal(size=(3, 8)) + 100 * c for c in range(20)] + [np.zeros((60, 8))]).astype(np.float32)
+    q, b = table(spark, m[::7] + 1), table(spark, m)
+    index = vectors.build_index(b, cells=25)
+    assert "vector" not in index.codes.columns and index.counts.sum() == len(m)
+    got = vectors.knn_approx(q, index, 9, probes=1, keep=9).collect()
+    assert len(got) == 9 * len(m[::7])
+    with pytest.raises(ValueError):
+        vectors.knn_approx(q, index, len(m) + 1, probes=1)
+
+
 def brute_coreset(m, count, anchor):
     d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
     value, picks = anchor(d), []
@@ -176,3 +212,41 @@ def test_stream_keeps_the_first_result(spark, tmp_path):
     arrive([(1, "a", 10, 100, 100, .1, 1100), (5, "a", 10, 100, 100, .5, 1101)])
     assert drain() == {**first, 5: "defective"}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_stream_never_overwrites(spark, tmp_path):
+    schema = "key long, score double, arrived timestamp"
+
+    def arrive(rows):
+        (spark.createDataFrame(rows, "key long, score double, s long").withColumn("arrived", F.timestamp_seconds("s")).drop("s")
+         .coalesce(1).write.mode("append").parquet(str(tmp_path / "in")))
+
+    def drain(progress):
+        stream = decisions.read_arrivals(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema).withColumn("outcome", F.col("score") >= .5)
+        decisions.drain_once(stream, "key", "arrived", "1 hour", str(tmp_path / "out"), str(tmp_path / progress))
+        read = lambda name: [r for r in spark.read.parquet(str(tmp_path / "out" / name)).collect()]
+        return {(r["key"], r["outcome"]) for r in read("decisions")}, sorted((r["key"], r["reason"]) for r in read("refused")), len(read("decisions"))
+    arrive([(1, .9, 10_000), (1, .1, 10_001), (2, .1, 10_002), (2, .1, 10_002), (3, .7, None)])
+    first = {(1, True), (2, False), (3, True)}
+    assert drain("p") == (first, [(1, "repeated"), (2, "repeated")], 3)
+    arrive([(1, .1, 10_500), (4, .9, 1_000), (5, .2, 9_000)])                  # a decided key, a row behind the watermark, a row within it
+    second = (first | {(5, False)}, [(1, "repeated"), (1, "repeated"), (2, "repeated"), (4, "late")], 4)
+    assert drain("p") == second
+    assert drain("p") == second                                                # nothing new
+    arrive([(1, .1, 10_000), (2, .9, 20_000)])
+    again = drain("p")
+    assert again[0] == second[0] and len(again[1]) == 6
+
+
+def test_stream_batch_run_again_writes_the_same(spark, tmp_path):
+    import shutil
+    rows = spark.createDataFrame([(1, .9, 100), (2, .1, 101)], "key long, score double, s long").withColumn("arrived", F.timestamp_seconds("s")).drop("s")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def drain():
+        stream = decisions.read_arrivals(spark, str(tmp_path / "in"), rows.schema)
+        decisions.drain_once(stream, "key", "arrived", "1 hour", str(tmp_path / "out"), str(tmp_path / "progress"))
+        return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "decisions")).collect())
+    first = drain()
+    shutil.rmtree(tmp_path / "progress" / "commits")                           # as if the driver was lost before the commit
+    assert drain() == first and len(first) == 2

@@ -241,3 +241,15 @@ def test_stress_flips(spark):
     dark = {r["condition"]: r for r in rates.stress_summary(df, F.lit(3.0)).collect()}["dark"]
     assert (dark["flips"], dark["accepted_to_flagged"], dark["flagged_to_accepted"]) == (2, 1, 1)
     assert dark["mean_abs_change"] == pytest.approx(8.5 / 3)
+
+
+def test_area_without_a_fraction_is_in_no_bin(spark):
+    df = spark.createDataFrame([(1, .9, None), (1, .9, float("nan")), (1, .1, 2.), (1, .9, .3)], "label int, score double, part double")
+    got = {r["area_bin"]: (r["bin_order"], r["images"], r["detected"]) for r in rates.area_groups(df, F.col("part"), F.lit(.5)).collect()}
+    assert got["large_at_least_5_percent"] == (3, 1, 1) and got["invalid_fraction"] == (4, 3, 2) and len(got) == 5
+
+
+def test_stress_rows_without_a_base_are_counted(spark):
+    df = spark.createDataFrame([(1, "original", 0, 1.), (1, "dark", 0, 5.), (2, "dark", 1, 5.)], "group_id int, condition string, label int, score double")
+    dark = {r["condition"]: r for r in rates.stress_summary(df, F.lit(3.0)).collect()}["dark"]
+    assert (dark["images"], dark["without_base"], dark["flips"], dark["mean_abs_change"]) == (2, 1, 1, 4.0)

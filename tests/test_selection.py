@@ -142,3 +142,38 @@ def test_config_agreement(spark):
 
 def test_names_follow_the_inventory():
     assert len(QUERIES) >= 110
+
+
+NAN = float("nan")
+
+
+def test_select_best_says_why_not(spark):
+    schema = "k int, checkpoint_sha256 string, validation_score double, latency double, kind string, bank_digest string, split_digest string"
+    rows = [(1, "a", .7, 1., "joint", "b", "s"), (1, "c", .6, 1., "joint", "b", "s"), (2, "a", NAN, 1., "joint", "b", "s"), (2, "c", .6, 1., "joint", "b", "s"),
+            (3, "a", None, 1., "joint", "b", "s"), (4, "a", .7, 1., "joint", "b", "s"), (4, "c", .6, 1., "joint", "x", "s"), (5, "a", 1.2, 1., "joint", "b", "s")]
+    got = {r["k"]: (r["checkpoint_sha256"], r["reason"]) for r in selection.select_best(spark.createDataFrame(rows, schema), ["k"]).collect()}
+    odd = (None, "score outside [0, 1]")
+    assert got == {1: ("a", None), 2: odd, 3: odd, 4: (None, "several banks or splits"), 5: odd}
+
+
+def test_family_gate_fails_closed(spark):
+    schema = "k int, candidate string, macro_h double, old_macro_h double, bank_digest string, split_digest string"
+    control = spark.createDataFrame([(k, "control", .8, .7, "b", "s") for k in range(1, 6)], schema)
+    rows = [(1, "a", .9, .7, "b", "s"), (2, "a", NAN, .7, "b", "s"), (3, "a", .9, None, "b", "s"), (4, "a", .9, .7, "x", "s"), (6, "a", .9, .7, "b", "s")]
+    got = {r["k"]: (r["selected"], r["state"]) for r in selection.gate_family(spark.createDataFrame(rows, schema), control, ["k"]).collect()}
+    assert got == {1: ("a", "passed"), 2: (None, "stopped_invalid_value"), 3: (None, "stopped_invalid_value"), 4: (None, "stopped_mixed_evidence"),
+                   5: (None, "stopped_no_validation_gain"), 6: (None, "stopped_no_single_control")}
+
+
+@pytest.mark.parametrize("cell, reason", [(("dark", .5, .5), None), (("dark", .5, NAN), "missing value"), (("dark", None, .5), "missing value"), (("blur", .5, .5), "missing value"),
+                                          (("dark", .5, .4), "a condition loses"), (("dark", .5, float("inf")), "missing value")])
+def test_pooled_gate_fails_closed(spark, cell, reason):
+    rows = [(1, "pooled", .5, .6), (1, "blur", .5, .5), (1, *cell)]
+    df = spark.createDataFrame(rows, "k int, condition string, control double, candidate double")
+    row = selection.gate_pooled(df, ["k"], conditions=["blur", "dark"]).first()
+    assert (row["passed"], row["reason"]) == (reason is None, reason)
+    both = df.withColumn("metric", F.lit("image_pauc"))
+    row = selection.gate_shortfall(both, ["k"], cells=[f"image_pauc/{c}" for c in ("pooled", "blur", "dark")]).first()
+    assert (row["passed"], row["reason"]) == (reason is None, reason and reason.replace("a condition", "another value"))
+    absent = selection.gate_pooled(df.filter("condition <> 'dark'"), ["k"], conditions=["blur", "dark"]).first()
+    assert (absent["passed"], absent["reason"]) == (False, "missing value")
