@@ -29,17 +29,61 @@ def seeded_split(records: DataFrame, seed: int, validation: float = 0.15, calibr
     return numbered.withColumn("split", split).drop("idx", "n")
 
 
+def _two_digits(n: Column) -> Column:
+    """A count rounded down to its two leading digits."""
+    step = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(F.greatest(n, F.lit(1)).cast("double"))) - 1, F.lit(0)))
+    return (F.floor(n / step) * step).cast("bigint")
+
+
+def allot(classes: Sequence[tuple[int, float, float]], shares: Sequence[float]) -> list[list[int]]:
+    """How many groups of each class (count, normal rows and defective rows a group) go to each split.
+
+    Classes are taken in the given order. What the earlier ones left each split short of its share, in both labels, is
+    carried on: every split asks for the number of groups that best closes its own gap, and whole groups go to the largest requests.
+    """
+    totals = [max(1.0, sum(c[0] * c[1 + label] for c in classes)) for label in (0, 1)]
+    gaps, out = [[0.0, 0.0] for _ in shares], []
+    for count, *rows in classes:
+        weights = [(rows[label] / totals[label], totals[label]) for label in (0, 1)]
+        scale = max(1e-300, sum(w * w for w, _ in weights))
+        for gap, share in zip(gaps, shares):
+            for label in (0, 1):
+                gap[label] += share * count * rows[label]
+        asked = [max(0.0, sum(w * gap[label] / total for label, (w, total) in enumerate(weights)) / scale) for gap in gaps]
+        fit = count / sum(asked) if sum(asked) else 0.0
+        exact = [a * fit if fit else count * share for a, share in zip(asked, shares)]
+        given = [math.floor(x + 1e-9) for x in exact]
+        for place in sorted(range(len(shares)), key=lambda i: (round(given[i] - exact[i], 6), i))[:count - sum(given)]:
+            given[place] += 1
+        for gap, n in zip(gaps, given):
+            for label in (0, 1):
+                gap[label] -= n * rows[label]
+        out.append(given)
+    return out
+
+
 def grouped_stratified_split(records: DataFrame, seed: int, group: str = "group", label: str = "label",
                              fractions: tuple[float, float] = (0.70, 0.85)) -> DataFrame:
     """Whole groups to train / validation / calibration, close to 70 / 15 / 15 for both labels.
 
-    Groups with the same (normal, defective) make-up form a stratum that is cut in hash order.
+    Groups with about the same numbers of normal and defective rows (to two digits) form a class. Classes are dealt from the largest groups
+    to the smallest, each making up for what the earlier ones left a split short of in either label; inside a class hash order
+    decides. Labels other than 0 and 1 are an error. The driver sees one row a class, whose number the two digits bound.
     """
-    groups = records.groupBy(group).agg(F.count_if(F.col(label) == 0).alias("normal"), F.count_if(F.col(label) == 1).alias("defective"))
-    placed = hash_index(groups, ["normal", "defective"], order_digest(seed, F.col(group)), [group])
-    position = (F.col("idx") + 0.5) / F.col("n")
-    split = (F.when(position < fractions[0], "train").when(position < fractions[1], "validation").otherwise("calibration"))
-    return records.join(placed.select(group, split.alias("split")), group)
+    names = ("train", "validation", "calibration")
+    shares = (fractions[0], fractions[1] - fractions[0], 1 - fractions[1])
+    known = F.coalesce(F.col(label).isin(0, 1), F.lit(False))
+    checked = records.withColumn(label, F.when(known, F.col(label)).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast(records.schema[label].dataType)))
+    groups = checked.groupBy(group).agg(F.count_if(F.col(label) == 0).alias("normal"), F.count_if(F.col(label) == 1).alias("defective"))
+    groups = groups.withColumns({"__a": _two_digits(F.col("normal")), "__b": _two_digits(F.col("defective"))})
+    rows = groups.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("n"), F.sum("normal").alias("normal"), F.sum("defective").alias("defective")).collect()
+    rows.sort(key=lambda r: (-(r["__a"] + r["__b"]), r["__a"]))
+    counts = allot([(r["n"], r["normal"] / r["n"], r["defective"] / r["n"]) for r in rows], shares)
+    limits = records.sparkSession.createDataFrame(
+        [(r["__a"], r["__b"], c[0], c[0] + c[1]) for r, c in zip(rows, counts)], "__a long, __b long, __first long, __second long")
+    placed = hash_index(groups, ["__a", "__b"], order_digest(seed, F.col(group)), [group]).join(limits, ["__a", "__b"])
+    split = F.when(F.col("idx") < F.col("__first"), names[0]).when(F.col("idx") < F.col("__second"), names[1]).otherwise(names[2])
+    return checked.join(placed.select(group, split.alias("split")), group)
 
 
 def splits_without_both_labels(records: DataFrame, split: str = "split", label: str = "label") -> DataFrame:

@@ -7,7 +7,7 @@ from gaugeframe.plans.measure import COUNTS_SQL, curve_sql
 from gaugeframe.plans.registry import query
 from gaugeframe.views import Views, sql, sql_draw, sql_more
 
-SAMPLES = 200
+SAMPLES = 1000
 
 
 def sql_word(seed: str, word: str, *parts: str) -> str:

@@ -145,3 +145,60 @@ def test_single_records_have_no_donor(spark):
     df = spark.createDataFrame([("a", "p1"), ("a", "p2"), ("b", "p3")], "category string, path string")
     for rows in (splits.next_donor(df, ["category"], "path").collect(), splits.random_donor(df, ["category"], "path", 4).collect()):
         assert {r["path"]: r["donor"] for r in rows} == {"p1": "p2", "p2": "p1", "p3": None}
+
+
+SHARES = {"train": .70, "validation": .85 - .70, "calibration": 1 - .85}
+
+
+def split_by_force(groups, seed):
+    """groups: name -> (normal, defective); the greedy pass over classes of like groups, group by group in hash order."""
+    import hashlib
+    import math
+
+    def two(n):
+        step = 10 ** max(int(math.floor(math.log10(max(n, 1)))) - 1, 0)
+        return n // step * step
+    classes = {}
+    for name, (a, b) in groups.items():
+        classes.setdefault((two(a), two(b)), []).append(name)
+    order = sorted(classes, key=lambda c: (-(c[0] + c[1]), c[0]))
+    table = [(len(classes[c]), *[sum(groups[g][i] for g in classes[c]) / len(classes[c]) for i in (0, 1)]) for c in order]
+    out = {}
+    for c, counts in zip(order, splits.allot(table, list(SHARES.values()))):
+        names = sorted(classes[c], key=lambda g: (hashlib.sha256(f"{seed}|{g}".encode()).hexdigest(), g))
+        places = [s for s, n in zip(SHARES, counts) for _ in range(n)]
+        out.update(zip(names, places))
+    return out
+
+
+@pytest.mark.parametrize("shape", ["one label", "both labels"])
+def test_grouped_split_is_balanced_for_heavy_groups(spark, shape):
+    groups = {f"g{i:03}": (i, 0 if shape == "one label" else i % 7) for i in range(1, 61)}
+    if shape == "both labels":
+        groups |= {f"h{i:03}": (0, 1 + i % 3) for i in range(200)} | {"big": (1234, 56)}
+    rows = [(g, label) for g, sizes in groups.items() for label in (0, 1) for _ in range(sizes[label])]
+    out = splits.grouped_stratified_split(spark.createDataFrame(rows, "group string, label int"), 42).collect()
+    place = {r["group"]: r["split"] for r in out}
+    assert len(out) == len(rows) and len({(r["group"], r["split"]) for r in out}) == len(groups)
+    assert place == split_by_force(groups, 42)
+    for label in (0, 1):
+        total = sum(s[label] for s in groups.values())
+        most = max(s[label] for s in groups.values())
+        for name, share in SHARES.items():
+            assert abs(sum(s[label] for g, s in groups.items() if place[g] == name) - share * total) <= max(1, most)
+
+
+def test_grouped_split_refuses_other_labels(spark):
+    for odd in (2, None):
+        with pytest.raises(Exception, match="labels must be 0 or 1"):
+            splits.grouped_stratified_split(spark.createDataFrame([("a", 0), ("b", odd)], "group string, label int"), 42).collect()
+
+
+def test_grouped_split_query_keeps_groups_whole(spark):
+    from gaugeframe.plans.catalog import QUERIES
+    rows = QUERIES["grouped_stratified_split"](spark, "/root/testdata/sf0.01").collect()
+    groups = {}
+    for r in rows:
+        counts = groups.setdefault(r["group"], [0, 0])
+        counts[r["label"]] += 1
+    assert {r["group"]: r["split"] for r in rows} == split_by_force({g: tuple(c) for g, c in groups.items()}, 42)
