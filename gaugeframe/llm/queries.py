@@ -64,7 +64,11 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.scan_into(_read(spark, folder, "documents"))
+    """Two versions through one ledger: half of the documents, then all of them, of which only unseen texts are scanned."""
+    docs = _read(spark, folder, "documents")
+    ledger = secrets.new_ledger_folder(spark)
+    secrets.record(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0), ledger)
+    return secrets.scan_into(docs, ledger)
 
 
 def op11_ball_codes(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.runtime import cut, scratch, tune
+from gaugeframe.runtime import scratch, tune
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,7 @@ RULES = (
     Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16, hint_pattern=r"[0-9a-f]{16}"),
 )
 SPAN = "array<struct<start:bigint,no:int,end:bigint,kind:string>>"
+SALTS = 16            # copies of one blob are dealt over this many tasks; only blobs with findings are repeated for it
 
 
 def _spans(text: Column, rule: Rule, number: int) -> Column:
@@ -100,36 +101,45 @@ def scan(documents: DataFrame, ledger: DataFrame, doc_id: str = "doc_id", text:
 
 def findings(documents: DataFrame, ledger: DataFrame, doc_id: str = "doc_id", text: str = "text",
              rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, n_<kind> per rule, base_sha256, spans: the ledger's findings at every document, one row per input row."""
+    """doc_id, n_<kind> per rule, base_sha256, spans: the ledger's findings at every document, one row per input row.
+
+    Copies of a blob are salted by their id, so that no task gets all of them.
+    """
     current = F.lit(False)
     for r in rules:
         current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
     hits = (ledger.filter(current & (F.size("spans") > 0)).groupBy("blob")
-            .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found")))
+            .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
+            .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    at = documents.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("blob"))
+    at = documents.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("blob"), F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).alias("salt"))
     spans = F.coalesce("found", F.array().cast(SPAN))
     joined = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
     counts = [number(r.kind).alias(f"n_{r.kind}") for r in rules]
-    return at.join(hits, "blob", "left").select("doc_id", *counts, F.sha2(joined.cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))
+    return at.join(hits, ["blob", "salt"], "left").select("doc_id", *counts, F.sha2(joined.cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))
 
 
-def scan_into(documents: DataFrame, folder: str | None = None, doc_id: str = "doc_id", text: str = "text",
-              rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scan what the ledger under ``folder`` lacks, append it there and return the findings at every document.
+def record(documents: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger under ``folder`` lacks, append it there and return the whole ledger.
 
-    Without a folder a new ledger is kept in the shared folder for this run only. Empty input gives no rows.
+    A version that changes no blob appends nothing.
     """
     spark = documents.sparkSession
-    if folder is None:
-        ledger = cut(scan(documents, empty_ledger(spark), doc_id, text, rules))
-        return findings(documents, ledger, doc_id, text, rules)
     schema = empty_ledger(spark).schema
     old = spark.read.schema(schema).parquet(folder) if _exists(spark, folder) else empty_ledger(spark)
-    new = cut(scan(documents, old, doc_id, text, rules))
-    new.write.mode("append").parquet(folder)
-    return findings(documents, spark.read.schema(schema).parquet(folder), doc_id, text, rules)
+    scan(documents, old, doc_id, text, rules).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def scan_into(documents: DataFrame, folder: str | None = None, doc_id: str = "doc_id", text: str = "text",
+              rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Record the documents in the ledger under ``folder`` and return the findings at every document.
+
+    Without a folder a new ledger is kept in the shared folder for this run only. Empty input gives no rows.
+    """
+    ledger = record(documents, folder or new_ledger_folder(documents.sparkSession), doc_id, text, rules)
+    return findings(documents, ledger, doc_id, text, rules)
 
 
 def _exists(spark, folder: str) -> bool:

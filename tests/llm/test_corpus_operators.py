@@ -466,6 +466,17 @@ def test_secret_ledger_scans_only_what_is_new(spark):
     assert Counter((r["kind"], r["version"]) for r in new.collect()) == {("hex", 2): 3, ("assign", 1): 1, ("access", 1): 1}
 
 
+def test_secret_query_records_two_versions_in_one_ledger(spark, docs, monkeypatch):
+    folders = []
+    make = secrets.new_ledger_folder
+    monkeypatch.setattr(secrets, "new_ledger_folder", lambda s: folders.append(make(s)) or folders[-1])
+    got = Counter((r.doc_id, r.spans) for r in queries.op10_secrets(spark, FOLDER).collect())
+    assert got == Counter((r.doc_id, secrets_by_force(r.text)) for r in docs.collect())
+    ledger = spark.read.parquet(*folders).groupBy("blob", "kind", "version").count()
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("t")).distinct().count()
+    assert len(folders) == 1 and ledger.count() == 3 * texts and ledger.filter("count > 1").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     _, _, same, note = compare(spark, connect(FOLDER), FOLDER, name, queries.QUERIES, queries.ORACLES)
