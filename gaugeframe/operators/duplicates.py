@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from gaugeframe.runtime import cut
 
 CROWD_ROWS = 64       # a key with more rows is told apart by levels
 PART_ROWS = 256       # what is still larger is cut into parts
+BLOCK_ROWS = 1024     # rows on either side of a block that returns a spanning forest
 
 
 def first_seen(records: DataFrame, content: str, path: str) -> DataFrame:
@@ -28,6 +32,8 @@ def exact_duplicates(records: DataFrame, content: str = "content_hash", path: st
 
 
 SECTIONS = 8
+SUMS = [f"s{i}" for i in range(SECTIONS)]
+BUCKET = ["no", "bits", "first_half", "second_half"]
 
 
 def band_masks(distance: int, bands: int) -> list[int]:
@@ -50,67 +56,62 @@ def bands_for(rows: int, distance: int) -> int:
     return bands
 
 
-def near_duplicates(items: DataFrame, distance: int = 2, tolerance: float = 0.004, path: str = "path",
-                    content: str = "content_hash", fingerprint: str = "fp", thumb: str = "thumb",
-                    crowd_rows: int = CROWD_ROWS, part_rows: int = PART_ROWS, bands: int | None = None) -> DataFrame:
-    """Pairs of different contents within the Hamming distance and the mean difference.
+def _widest(tolerance: float) -> Column:
+    return F.col("size") * F.lit(tolerance * 1.000001)    # a hair wider, so rounding never parts two neighbours
 
-    Equal content is collapsed to its first path first, so copies cost nothing here; each pair
-    states how many copies stand behind both sides. Candidates come from equi-joins on bit masks
-    that miss nothing (``band_masks``), on narrow rows without the thumbnails. A crowded bucket is
-    told apart by the half-thumbnail sums, which differ by at most the total difference, and what
-    is still crowded is cut into parts that meet in separate tasks. A pair is reported only by the
-    first mask on which it agrees, so nothing is emitted twice; the section sums bound the
-    difference from below, and only pairs that pass this fetch their thumbnails.
-    """
+
+def _keyed(items: DataFrame, distance: int, tolerance: float, path: str, content: str, fingerprint: str, thumb: str,
+           crowd_rows: int, bands: int | None) -> tuple[DataFrame, list[int]]:
+    """One narrow row per content and bit mask, with the levels that tell the rows of a crowded key apart, and the masks."""
     size = F.size(F.col(thumb))
 
     def section(i: int) -> Column:
         start, stop = F.floor(size * i / SECTIONS).cast("int"), F.floor(size * (i + 1) / SECTIONS).cast("int")
         return F.aggregate(F.slice(F.col(thumb), start + 1, stop - start), F.lit(0.0), lambda s, x: s + x)
 
-    sums = [f"s{i}" for i in range(SECTIONS)]
     narrow = items.select(content, F.col(path).alias("path"), F.col(fingerprint).alias("fp"), size.alias("size"),
-                          *[section(i).alias(n) for i, n in enumerate(sums)])
+                          *[section(i).alias(n) for i, n in enumerate(SUMS)])
     unique = cut(narrow.groupBy(content).agg(
-        F.min_by(F.struct("path", "fp", "size", *sums), "path").alias("s"), F.count(F.lit(1)).alias("copies")
+        F.min_by(F.struct("path", "fp", "size", *SUMS), "path").alias("s"), F.count(F.lit(1)).alias("copies")
     ).select("s.*", "copies"))
     masks = band_masks(distance, bands or bands_for(unique.count(), distance))
-
-    widest = F.col("size") * F.lit(tolerance * 1.000001)    # a hair wider, so rounding never parts two neighbours
     half = SECTIONS // 2
 
     def level(names: list[str]) -> Column:
-        return F.floor(sum((F.col(n) for n in names), F.lit(0.0)) / widest).cast("bigint")
+        return F.floor(sum((F.col(n) for n in names), F.lit(0.0)) / _widest(tolerance)).cast("bigint")
 
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)]))
-    rows = unique.withColumns({"first_half": level(sums[:half]), "second_half": level(sums[half:])}).withColumn("key", keys).select(
-        "path", "fp", "copies", "size", *sums, "first_half", "second_half", "key.no", "key.bits")
-    # Crowded keys are told apart by their half-thumbnail levels, then cut into parts.
+    rows = unique.withColumns({"first_half": level(SUMS[:half]), "second_half": level(SUMS[half:])}).withColumn("key", keys).select(
+        "path", "fp", "copies", "size", *SUMS, "first_half", "second_half", "key.no", "key.bits")
     crowds = rows.groupBy("no", "bits").agg(F.count(F.lit(1)).alias("crowd")).filter(F.col("crowd") > crowd_rows)
     rows = rows.join(crowds, ["no", "bits"], "left").withColumn("crowded", F.col("crowd").isNotNull()).drop("crowd")
-    rows = rows.withColumns({h: F.when(F.col("crowded"), F.col(h)).otherwise(F.lit(0)) for h in ("first_half", "second_half")})
-    bucket = ["no", "bits", "first_half", "second_half"]
-    crowded = (rows.filter("crowded").groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
-               .filter(F.col("parts") > 1))
-    # The side that stays: split by row inside crowded buckets.
-    stay = rows.join(crowded, bucket, "left").withColumn("part", F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1))))
-    # The side that travels: to the neighbouring levels of a crowded key, and to every part there.
+    return rows.withColumns({h: F.when(F.col("crowded"), F.col(h)).otherwise(F.lit(0)) for h in ("first_half", "second_half")}), masks
+
+
+def _to_neighbours(rows: DataFrame) -> DataFrame:
+    """The side that travels: to the neighbouring levels of a crowded key."""
     steps = F.when(F.col("crowded"), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    travel = (rows.withColumn("d1", F.explode(steps)).withColumn("d2", F.explode(steps))
-              .withColumns({"first_half": F.col("first_half") + F.col("d1"), "second_half": F.col("second_half") + F.col("d2")})
-              .join(crowded, bucket, "left")
+    return (rows.withColumn("d1", F.explode(steps)).withColumn("d2", F.explode(steps))
+            .withColumns({"first_half": F.col("first_half") + F.col("d1"), "second_half": F.col("second_half") + F.col("d2")}))
+
+
+def _verified(rows: DataFrame, masks: list[int], items: DataFrame, distance: int, tolerance: float, path: str, thumb: str, part_rows: int) -> DataFrame:
+    crowded = (rows.filter("crowded").groupBy(*BUCKET).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
+               .filter(F.col("parts") > 1))
+    # The side that stays is split by row inside crowded buckets; the side that travels goes to every part there.
+    stay = rows.join(crowded, BUCKET, "left").withColumn("part", F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1))))
+    travel = (_to_neighbours(rows).join(crowded, BUCKET, "left")
               .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1))))
-    fields = ["path", "fp", "copies", *sums]
-    a = stay.select(*bucket, "part", "size", *[F.col(f).alias(f"left_{f}") for f in fields])
-    b = travel.select(*bucket, "part", *[F.col(f).alias(f"right_{f}") for f in fields])
+    fields = ["path", "fp", "copies", *SUMS]
+    a = stay.select(*BUCKET, "part", "size", *[F.col(f).alias(f"left_{f}") for f in fields])
+    b = travel.select(*BUCKET, "part", *[F.col(f).alias(f"right_{f}") for f in fields])
     apart = F.col("left_fp").bitwiseXOR(F.col("right_fp"))
-    bound = sum((F.abs(F.col(f"left_{n}") - F.col(f"right_{n}")) for n in sums), F.lit(0.0))
+    bound = sum((F.abs(F.col(f"left_{n}") - F.col(f"right_{n}")) for n in SUMS), F.lit(0.0))
     keep = F.bit_count(apart) <= distance
     for i, m in enumerate(masks[:-1]):
         keep = keep & ((F.col("no") <= i) | (apart.bitwiseAND(F.lit(m)) != 0))
-    keep = keep & (bound <= widest) & (F.col("left_path") < F.col("right_path"))
-    pairs = a.join(b, [*bucket, "part"]).filter(keep).select(
+    keep = keep & (bound <= _widest(tolerance)) & (F.col("left_path") < F.col("right_path"))
+    pairs = a.join(b, [*BUCKET, "part"]).filter(keep).select(
         "left_path", "right_path", F.bit_count(apart).cast("int").alias("hamming"), "left_copies", "right_copies")
     pictures = items.select(F.col(path).alias("path"), F.col(thumb).alias("thumb"))
     fetched = (pairs.join(pictures.toDF("left_path", "left_thumb"), "left_path")
@@ -120,6 +121,97 @@ def near_duplicates(items: DataFrame, distance: int = 2, tolerance: float = 0.00
             .select("left_path", "right_path", "hamming", "difference", "left_copies", "right_copies"))
 
 
+def near_duplicates(items: DataFrame, distance: int = 2, tolerance: float = 0.004, path: str = "path",
+                    content: str = "content_hash", fingerprint: str = "fp", thumb: str = "thumb",
+                    crowd_rows: int = CROWD_ROWS, part_rows: int = PART_ROWS, bands: int | None = None) -> DataFrame:
+    """Pairs of different contents within the Hamming distance and the mean difference.
+
+    Equal content is collapsed to its first path first, so copies cost nothing here; each pair
+    states how many copies stand behind both sides. Candidates come from equi-joins on bit masks
+    that miss nothing (``band_masks``), on narrow rows without the thumbnails. A crowded bucket is
+    told apart by the half-thumbnail sums, which differ by at most the total difference, and what
+    is still crowded is cut into parts that meet in separate tasks. A pair is reported only by the
+    first mask on which it agrees, so nothing is emitted twice; the section sums bound the
+    difference from below, and only pairs that pass this fetch their thumbnails.
+    """
+    rows, masks = _keyed(items, distance, tolerance, path, content, fingerprint, thumb, crowd_rows, bands)
+    return _verified(rows, masks, items, distance, tolerance, path, thumb, part_rows)
+
+
+def _block_forest(distance: int, tolerance: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """A spanning forest of the links between two blocks of rows; rows marked ``hung`` count as linked already."""
+    def forest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.rename(columns=lambda c: c.removeprefix("right_"))
+        edges: list[tuple[str, str]] = []
+        if len(left) and len(right):
+            codes, _ = pd.factorize(pd.concat([left["path"], right["path"]]))
+            mine, theirs = codes[:len(left)], codes[len(left):]
+            label = np.arange(codes.max() + 1)
+            label[theirs[right["hung"].to_numpy()]] = theirs[right["hung"].to_numpy()].min(initial=codes.max())
+            words = right["fp"].to_numpy()
+            sizes = right["thumb"].map(len).to_numpy()
+            names = right["path"].to_numpy()
+            pictures = {int(n): np.array(right["thumb"][sizes == n].tolist(), dtype=np.float64).reshape(-1, n) for n in np.unique(sizes)}
+            for own, path, word, picture in zip(mine, left["path"], left["fp"].to_numpy(), left["thumb"]):
+                same_size = np.flatnonzero(sizes == len(picture))
+                close = same_size[np.bitwise_count((words[same_size] ^ word).view(np.uint64)) <= distance]
+                if not len(close):
+                    continue
+                difference = np.zeros(len(close))
+                for k, column in enumerate(pictures[len(picture)][np.searchsorted(same_size, close)].T):
+                    difference += np.abs(picture[k] - column)
+                close = close[difference / max(1, len(picture)) <= tolerance]
+                for other in dict(zip(label[theirs[close]].tolist(), close.tolist())).items():
+                    if label[own] != other[0]:
+                        edges.append((path, names[other[1]]))
+                        label[label == other[0]] = label[own]
+        return pd.DataFrame(edges, columns=["left_path", "right_path"])
+    return forest
+
+
+def near_forest(items: DataFrame, distance: int = 2, tolerance: float = 0.004, path: str = "path", content: str = "content_hash",
+                fingerprint: str = "fp", thumb: str = "thumb", crowd_rows: int = CROWD_ROWS, block_rows: int = BLOCK_ROWS,
+                bands: int | None = None) -> DataFrame:
+    """Edges (left_path, right_path) that connect the same contents as ``near_duplicates``, without the pairs of a crowd.
+
+    Keys of at most ``crowd_rows`` rows give their pairs. A crowded key takes the first row of its fullest level as pivot, and
+    every row near the pivot hangs on it by one edge: two such rows are connected and never compared. Only the rows that hang
+    nowhere meet the rows of their own and the neighbouring levels, in blocks of about ``block_rows`` on both sides, and a block
+    returns a spanning forest, so never more edges than it has rows. Every edge is a pair within both limits.
+    Rows without a fingerprint, thumbnail or content link with nothing.
+    """
+    usable = items.filter(F.col(fingerprint).isNotNull() & F.col(thumb).isNotNull() & F.col(content).isNotNull())
+    rows, masks = _keyed(usable, distance, tolerance, path, content, fingerprint, thumb, crowd_rows, bands)
+    rows = cut(rows)
+    few = _verified(rows.filter("NOT crowded"), masks, usable, distance, tolerance, path, thumb, block_rows).select("left_path", "right_path")
+    pictures = usable.select(F.col(path).alias("path"), F.col(thumb).alias("thumb"))
+    crowd = rows.filter("crowded").select(*BUCKET, "crowded", "path", "fp").join(pictures, "path")
+    fullest = (crowd.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
+               .groupBy("no", "bits").agg(F.max_by("path", F.struct("n", "path")).alias("pivot")))
+    pivots = fullest.join(crowd.select("no", "bits", F.col("path").alias("pivot"), F.col("fp").alias("pivot_fp"), F.col("thumb").alias("pivot_thumb")),
+                          ["no", "bits", "pivot"])
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot_fp"))) <= distance) & (F.size("thumb") == F.size("pivot_thumb")) & (
+        mean_abs_difference(F.col("thumb"), F.col("pivot_thumb")) <= tolerance)
+    crowd = cut(crowd.join(pivots, ["no", "bits"]).withColumn("hung", F.coalesce(near, F.lit(False))).drop("pivot_fp", "pivot_thumb"))
+    hanging = crowd.filter(F.col("hung") & (F.col("path") != F.col("pivot"))).select(F.col("pivot").alias("left_path"), F.col("path").alias("right_path"))
+    loose, travel = crowd.filter("NOT hung"), _to_neighbours(crowd)
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*BUCKET).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("bigint").alias(name))
+
+    grid = cut(parts(loose, "rows_of_loose").join(parts(travel, "rows_of_all"), BUCKET))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    slot = lambda n: F.pmod(F.xxhash64("path"), F.col(n))
+    a = loose.join(grid, BUCKET).withColumns({"part": slot("rows_of_loose"), "other": every("rows_of_all")})
+    b = travel.join(grid, BUCKET).withColumns({"other": slot("rows_of_all"), "part": every("rows_of_loose")})
+    block = [*BUCKET, "part", "other"]
+    a = a.select(*block, "path", "fp", "thumb")
+    b = b.select(*[F.col(c).alias(f"right_{c}") for c in [*block, "path", "fp", "thumb", "hung"]])
+    kept = a.groupBy(*block).cogroup(b.groupBy(*[f"right_{c}" for c in block])).applyInPandas(
+        _block_forest(distance, tolerance), "left_path string, right_path string")
+    return few.unionByName(hanging).unionByName(kept).distinct()
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edge table; a component is named by its smallest node.
 

@@ -73,6 +73,49 @@ def test_near_duplicates_against_all_pairs(spark, hot_rows, bands):
     assert duplicates.near_duplicates(df, 2, .004, crowd_rows=hot_rows, part_rows=hot_rows + 1, bands=bands).count() == len(want)
 
 
+def components_by_force(nodes, edges):
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("crowd_rows, block_rows", [(64, 1024), (2, 5), (0, 3)])
+def test_forest_connects_what_the_pairs_connect(spark, crowd_rows, block_rows):
+    rng = np.random.default_rng(8)
+    centres = [(int(rng.integers(0, 2**62)) if i else 0, rng.random(64)) for i in range(4)]
+    rows = []
+    for i in range(120):
+        word, picture = centres[0 if i < 70 else i % 4]
+        flips = sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 3)), replace=False))
+        rows.append((f"p{i:03d}", f"c{i}", word ^ flips, [float(x) for x in picture + rng.normal(0, .0035, 64)]))
+    rows += [("q", "c0", rows[0][2], rows[0][3]), ("r", "r", None, None), ("s", "s", 0, None), ("t", "t", 0, [0.5]), ("u", "u", 0, [0.5])]
+    df = spark.createDataFrame(rows, "path string, content_hash string, fp long, thumb array<double>").repartition(4)
+    usable = [r for r in rows if r[3] is not None and r[0] != "q"]
+    pairs = [(p, q) for i, (p, _, f, t) in enumerate(usable) for q, _, g, u in usable[i + 1:]
+             if len(t) == len(u) and bin(f ^ g).count("1") <= 2 and np.abs(np.array(t) - u).mean() <= .004]
+    edges = [tuple(e) for e in duplicates.near_forest(df, 2, .004, crowd_rows=crowd_rows, block_rows=block_rows).collect()]
+    names = [r[0] for r in usable]
+    assert pairs and {tuple(sorted(e)) for e in edges} <= {tuple(sorted(p)) for p in pairs}
+    assert components_by_force(names, edges) == components_by_force(names, pairs)
+
+
+def test_forest_of_one_crowd_is_linear(spark):
+    rng = np.random.default_rng(9)
+    n = 5000
+    rows = [(f"p{i:04d}", f"c{i}", 7, [.5 + float(x) for x in rng.normal(0, .0005, 16)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "path string, content_hash string, fp long, thumb array<double>")
+    edges = duplicates.near_forest(df, 2, .004, bands=3).collect()
+    assert len(edges) == n - 1 and len(set(components_by_force([r[0] for r in rows], edges).values())) == 1
+    assert duplicates.near_forest(df.limit(0), 2, .004).count() == 0
+
+
 def test_groups_and_quarantine(spark):
     rows = [("a1", "x", "train"), ("a2", "x", "test"), ("b1", "y", "train"), ("b2", "z", "test"), ("c1", "w", "train")]
     records = spark.createDataFrame(rows, "path string, content_hash string, split string")
