@@ -316,14 +316,38 @@ def clean_controls(v: Views):
         F.count_if(F.col("label") == 0).alias("clean_controls"), F.count_if(F.col("label") == 1).alias("defective"))
 
 
-@query(sql_more("predictions", f"""{FAMILY_SQL}, {curve_sql('members', 'family')},
-  m AS (SELECT family, sum(pos * (N - fp + neg / 2)) / nullif(max(P) * max(N), 0) AS a, sum(pos * tp / (tp + fp)) / nullif(max(P), 0) AS p FROM curve GROUP BY family),
-  h AS (SELECT family, 2 * a * p / (a + p) AS h FROM m)
+@query(sql_more("pixels", f"""ranked AS (SELECT image, score, row_number() OVER (PARTITION BY image ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY image) AS n FROM pixels WHERE valid),
+  s AS (SELECT image, round(avg(score), 9) AS score FROM ranked WHERE r <= greatest(1, floor(n * 0.01)) GROUP BY image),
+  l AS (SELECT image, (avg(label) >= 0.18)::INT AS label FROM pixels GROUP BY image),
+  f AS (SELECT 'family' || i AS family FROM range(0, 5) t(i)),
+  members AS (SELECT family, image, label, score FROM s JOIN l USING (image) JOIN f ON label = 0 OR family = 'family' || (image % 5)),
+  a AS (SELECT d.family, avg(CASE WHEN d.score > c.score THEN 1.0 WHEN d.score = c.score THEN 0.5 ELSE 0 END) AS a
+    FROM members d JOIN members c ON d.family = c.family AND d.label = 1 AND c.label = 0 GROUP BY d.family),
+  member_pixels AS (SELECT family, p.label, p.score::FLOAT AS score FROM pixels p JOIN members m ON p.image = m.image WHERE p.valid),
+  {curve_sql('member_pixels', 'family')},
+  p AS (SELECT family, sum(pos * tp / (tp + fp)) / nullif(max(P), 0) AS p FROM curve GROUP BY family),
+  h AS (SELECT family, 2 * a * p / (a + p) AS h FROM (SELECT DISTINCT family FROM members) LEFT JOIN a USING (family) LEFT JOIN p USING (family))
   SELECT round(avg(h), 8) AS macro_h, round(avg(h) FILTER (family < 'family3'), 8) AS old_macro_h, round(avg(h) FILTER (family >= 'family3'), 8) AS new_macro_h,
   count(*) AS families FROM h"""))
 def family_macro(v: Views):
-    metrics = ranking.ranking_metrics(families(v), ["family"])
-    scored = metrics.select("family", scalar.harmonic_mean(F.col("auroc"), F.col("ap")).alias("h"))
+    """Mean over families of H from image AUROC and pixel AP; clean images and their pixels are controls of every family.
+
+    Pixels become histograms before the clean ones are repeated per family.
+    """
+    pixels = v.pixels()
+    labels = pixels.groupBy("image").agg((F.avg("label") >= 0.18).cast("int").alias("image_label"))
+    own = F.when(F.col("image_label") == 1, F.array(F.concat(F.lit("family"), (F.col("image") % 5).cast("string"))))
+    spread = F.explode(F.coalesce(own, F.array(*[F.lit(f) for f in FAMILIES])))
+    images = (scoring.top_fraction_mean(pixels, ["image"]).withColumn("score", F.round("score", 9)).join(labels, "image")
+              .select(spread.alias("family"), F.col("image_label").alias("label"), "score"))
+    aurocs = ranking.ranking_metrics(images, ["family"]).select("family", "auroc")
+    group = F.when(F.col("image_label") == 1, F.concat(F.lit("family"), (F.col("image") % 5).cast("string")))
+    valid = pixels.filter("valid").join(labels, "image").select(group.alias("own"), F.col("score").cast("float").alias("score"), "label")
+    hist = ranking.score_histogram(valid, ["own"])
+    every = F.when(F.col("own").isNull(), F.array(*[F.lit(f) for f in FAMILIES])).otherwise(F.array("own"))
+    hist = hist.withColumn("family", F.explode(every)).groupBy("family", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    aps = ranking.metrics_from_histogram(hist, ["family"], source=hist.select("family", "score")).select("family", "ap")
+    scored = aurocs.join(aps, "family", "left").select("family", scalar.harmonic_mean(F.col("auroc"), F.col("ap")).alias("h"))
     old = F.col("family").isin(FAMILIES[:3])
     return scored.agg(F.round(F.avg("h"), 8).alias("macro_h"), F.round(F.avg(F.when(old, F.col("h"))), 8).alias("old_macro_h"),
                       F.round(F.avg(F.when(~old, F.col("h"))), 8).alias("new_macro_h"), F.count(F.lit(1)).alias("families"))
