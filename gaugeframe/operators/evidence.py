@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.operators.selection import decision
+
 
 def close(a: Column, b: Column, relative: float = 1e-12, absolute: float = 1e-15) -> Column:
     near = F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
@@ -70,19 +72,29 @@ def incomplete_runs(steps: DataFrame, run: str, state: Column) -> DataFrame:
     return steps.groupBy(run).agg(F.count(F.lit(1)).alias("steps"), F.count_if(~state).alias("open_steps")).filter("open_steps > 0")
 
 
-def gallery_violations(stored: DataFrame, predictions: DataFrame, decisions: DataFrame, limit: int = 3, image: str = "image") -> DataFrame:
+def gallery_violations(stored: DataFrame, predictions: DataFrame, decisions: DataFrame, limit: int = 3, image: str = "image",
+                       threshold: Column | None = None, digest: str | None = None) -> DataFrame:
     """Stored examples that are repeated or differ from the predictions, and groups of the wrong size.
 
-    ``decisions`` holds (decision, available) counts.
+    ``decisions`` holds (decision, available) counts. An image stored twice is a repeat, in whatever groups. With a threshold the
+    group of every example is recomputed from its saved score and label; a missing one fails. With ``digest`` the named
+    column of content digests must agree as well.
     """
-    truth = predictions.select(image, F.col("score").alias("true_score"), F.col("label").alias("true_label"))
-    rows = stored.groupBy(image, "decision").agg(F.count(F.lit(1)).alias("rows"), F.max("score").alias("score"), F.max("label").alias("label"))
-    checked = rows.join(truth, image, "left")
-    reason = (F.when(F.col("rows") > 1, "repeated").when(F.col("true_score").isNull(), "foreign")
-              .when(~close(F.col("score"), F.col("true_score")), "score").when(F.col("label") != F.col("true_label"), "label"))
+    true = {"true_score": F.col("score"), "true_label": F.col("label")} | ({"true_digest": F.col(digest)} if digest else {})
+    truth = predictions.select(image, *[c.alias(n) for n, c in true.items()])
+    kept = [F.max("score").alias("score"), F.max("label").alias("label"), *([F.max(digest).alias("digest")] if digest else [])]
+    rows = stored.groupBy(image, "decision").agg(*kept)
+    times = stored.groupBy(image).agg(F.count(F.lit(1)).alias("rows"))
+    checked = rows.join(times, image).join(truth, image, "left")
+    reason = F.when(F.col("rows") > 1, "repeated").when(F.col("true_score").isNull(), "foreign")
+    if threshold is not None:
+        group = F.when(threshold.isNotNull() & F.col("true_label").isNotNull(), decision(F.col("true_score"), F.col("true_label"), threshold))
+        reason = reason.when(~F.col("decision").eqNullSafe(group), "group")
+    reason = reason.when(~close(F.col("score"), F.col("true_score")), "score").when(~F.col("label").eqNullSafe(F.col("true_label")), "label")
+    if digest:
+        reason = reason.when(~F.col("digest").eqNullSafe(F.col("true_digest")), "content")
     odd = checked.select("decision", F.col(image).cast("string").alias("subject"), reason.alias("reason")).filter("reason IS NOT NULL")
-    kept = stored.groupBy("decision").agg(F.count_distinct(image).alias("kept"))
-    sizes = decisions.join(kept, "decision", "left").filter(F.coalesce("kept", F.lit(0)) != F.least(F.lit(limit), F.col("available"))).select(
+    sized = stored.groupBy("decision").agg(F.count_distinct(image).alias("kept"))
+    sizes = decisions.join(sized, "decision", "left").filter(F.coalesce("kept", F.lit(0)) != F.least(F.lit(limit), F.col("available"))).select(
         "decision", F.lit(None).cast("string").alias("subject"), F.lit("group size").alias("reason"))
     return odd.unionByName(sizes)
-

@@ -134,6 +134,20 @@ def test_gallery_edits_are_found(spark):
     assert [r["reason"] for r in evidence.gallery_violations(foreign, predictions, sizes).collect()] == ["foreign"]
 
 
+def test_gallery_groups_repeats_and_digests_are_checked(spark):
+    predictions = spark.createDataFrame([(i, int(i % 2), i / 10, f"h{i}") for i in range(10)], "image long, label int, score double, hash string")
+    sizes = spark.createDataFrame([], "decision string, available long")
+    stored = spark.createDataFrame([("TP", 9, 1, .9, "h9"), ("TP", 8, 0, .8, "h8"), ("FN", 1, 1, .1, "h1"), ("TN", 1, 1, .1, "h1"), ("FP", 6, 0, .6, "other"), ("TN", 0, None, 0., "h0")],
+                                   "decision string, image long, label int, score double, hash string")
+
+    def found(**options):
+        return sorted((r["subject"], r["reason"]) for r in evidence.gallery_violations(stored, predictions, sizes, **options).collect())
+    assert found(threshold=F.lit(.5), digest="hash") == [("0", "label"), ("1", "repeated"), ("1", "repeated"), ("6", "content"), ("8", "group")]
+    assert found() == [("0", "label"), ("1", "repeated"), ("1", "repeated")]
+    missing = found(threshold=F.lit(None).cast("double"))
+    assert missing == [("0", "group"), ("1", "repeated"), ("1", "repeated"), ("6", "group"), ("8", "group"), ("9", "group")]
+
+
 def test_config_agreement(spark):
     rows = [("a", {"lr": "1", "seed": "1"}), ("a", {"seed": "2", "lr": "1"}), ("b", {"lr": "1", "seed": "1"}), ("b", {"lr": "2", "seed": "1"}), ("c", {"lr": "1"}), ("c", {"lr": "1", "x": "1"})]
     df = spark.createDataFrame(rows, "k string, config map<string,string>")
