@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeframe.functions.scalar import hex_word, unit
+from gaugeframe.functions.scalar import hex_word, standardised_partial_area, unit
 from gaugeframe.operators.prefix import exact_quantiles, hash_index, value_boundaries
 from gaugeframe.operators.ranking import ranking_metrics, score_boundaries
 from gaugeframe.operators.splits import order_digest
+from gaugeframe.operators.splitting import chained_areas, split_areas
 from gaugeframe.runtime import cut
 
 DRAWS_PER_HASH = 8
@@ -83,43 +84,53 @@ def _replicates(rows: DataFrame, key: str, label: str, samples: int, seed: int,
     return drawn_replicates(rows, key, label, samples, seed)
 
 
-def _block_sums(keys: Sequence[str], samples: int, tied: set[int]):
+def _dense(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """One entry per (row, replicate) of a block: level of the score, replicate, positive; and the number of levels."""
+    order = np.argsort(block["score"].to_numpy(), kind="stable")
+    scores, labels = block["score"].to_numpy()[order], block["label"].to_numpy()[order] == 1
+    lists = block["replicates"].to_numpy()[order]
+    sizes = [len(x) for x in lists]
+    group = np.concatenate([[0], np.cumsum(scores[1:] != scores[:-1])])       # equal scores share a number
+    return np.repeat(group, sizes), np.concatenate(lists).astype(np.int64), np.repeat(labels, sizes), int(group[-1]) + 1
+
+
+def _tables(dense, start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positives and negatives per (level, replicate) for the replicates from start."""
+    level, replicate, positive, levels = dense
+    inside = (replicate >= start) & (replicate < start + width)
+    cell, yes = level[inside] * width + replicate[inside] - start, positive[inside]
+    return tuple(np.bincount(cell[k], minlength=levels * width).reshape(levels, width) for k in (yes, ~yes))
+
+
+def _block_sums(keys: Sequence[str], samples: int):
     """Per block and replicate: positives, negatives and the pairs the block's positives win inside it."""
     def sums(part: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(block["score"].to_numpy(), kind="stable")
-        scores, labels = block["score"].to_numpy()[order], block["label"].to_numpy()[order] == 1
-        lists = block["replicates"].to_numpy()[order]
-        group = np.concatenate([[0], np.cumsum(scores[1:] != scores[:-1])])       # equal scores share a number
-        row = np.repeat(group, [len(x) for x in lists])
-        replicate = np.concatenate(lists).astype(np.int64)
-        positive = np.repeat(labels, [len(x) for x in lists])
-        levels = int(group[-1]) + 1
-        pos, neg, fav = (np.zeros(samples) for _ in range(3))
-        step = max(1, CELLS_PER_BLOCK // levels)
+        dense = _dense(block)
+        pos, neg, won = (np.zeros(samples) for _ in range(3))
+        step = max(1, CELLS_PER_BLOCK // dense[-1])
         for start in range(0, samples, step):
             width = min(step, samples - start)
-            inside = (replicate >= start) & (replicate < start + width)
-            cell = row[inside] * width + replicate[inside] - start
-            yes = positive[inside]
-            p, n = (np.bincount(cell[k], minlength=levels * width).reshape(levels, width) for k in (yes, ~yes))
+            p, n = _tables(dense, start, width)
             below = np.cumsum(n, axis=0) - n
             pos[start:start + width], neg[start:start + width] = p.sum(0), n.sum(0)
-            fav[start:start + width] = (p * (below + n / 2)).sum(0)
-        out = pd.DataFrame({"replicate": np.arange(samples), "pos": pos, "neg": neg, "won": fav})
+            won[start:start + width] = (p * (below + n / 2)).sum(0)
+        out = pd.DataFrame({"replicate": np.arange(samples), "pos": pos, "neg": neg, "won": won})
         for name, value in zip([*keys, "bucket"], part):
             out[name] = value
         return out[[*keys, "bucket", "replicate", "pos", "neg", "won"]]
     return sums
 
 
-def resampled_areas(rows: DataFrame, keys: Sequence[str], samples: int, tie: str, source: DataFrame) -> DataFrame:
-    """ROC area per (keys, replicate) of rows (keys, label, score, replicates); ``source`` holds their scores.
+def _fields(rows: DataFrame, keys: Sequence[str]) -> str:
+    return "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
+
 
-    Rows are cut into score blocks of bounded size; each block counts inside itself, and a window
-    over the blocks adds the negatives of the lower ones. A score that fills more than a block
-    gets a block of its own, which is cut by hash: inside one score only totals matter.
+def _score_blocks(rows: DataFrame, keys: Sequence[str], samples: int, tie: str, source: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Rows in score blocks of bounded size, their sums per (keys, bucket, replicate), and the buckets of one single score.
+
+    A score that fills more than a block gets a bucket of its own, which is cut by hash: inside
+    one score only totals matter.
     """
-    keys = list(keys)
     limit = max(256, CELLS_PER_BLOCK // samples)
     points = value_boundaries(source.select(*keys, "score"), keys, "score", limit, MAX_BLOCKS, repeats=True)
     heavy = {v: n for v, n in Counter(points).items() if n > 1}
@@ -132,27 +143,97 @@ def resampled_areas(rows: DataFrame, keys: Sequence[str], samples: int, tie: str
     parts = F.lit(1)
     for slot, n in tied.items():
         parts = F.when(F.col("bucket") == slot, n).otherwise(parts)
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("__tie"), parts))
-    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    schema = (fields + ", " if fields else "") + "bucket int, replicate int, pos double, neg double, won double"
-    work = _block_sums(keys, samples, set(tied))
-    counted = blocks.select(*keys, "bucket", "part", "label", "score", "replicates").groupBy(*keys, "bucket", "part").applyInPandas(
-        lambda part, block: work(part[:-1], block), schema)
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("__tie"), parts)).select(*keys, "bucket", "part", "label", "score", "replicates")
+    work = _block_sums(keys, samples)
+    counted = blocks.groupBy(*keys, "bucket", "part").applyInPandas(
+        lambda part, block: work(part[:-1], block), _fields(rows, keys) + "bucket int, replicate int, pos double, neg double, won double")
     whole = counted.groupBy(*keys, "bucket", "replicate").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
-    won = F.when(F.col("bucket").isin(*tied), F.col("pos") * F.col("neg") / 2).otherwise(F.col("won")) if tied else F.col("won")
-    lower = Window.partitionBy(*keys, "replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)   # at most MAX_BLOCKS rows
-    chained = whole.withColumn("won", won + F.col("pos") * F.coalesce(F.sum("neg").over(lower), F.lit(0.0)))
-    return chained.groupBy(*keys, "replicate").agg(
-        F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auroc"))
+    if tied:
+        whole = whole.withColumn("won", F.when(F.col("bucket").isin(*tied), F.col("pos") * F.col("neg") / 2).otherwise(F.col("won")))
+    return blocks, whole, sorted(tied)
+
+
+def resampled_areas(rows: DataFrame, keys: Sequence[str], samples: int, tie: str, source: DataFrame) -> DataFrame:
+    """ROC area per (keys, replicate) of rows (keys, label, score, replicates); ``source`` holds their scores.
+
+    Each score block counts inside itself, and a window over the blocks adds the negatives of the lower ones.
+    """
+    keys = list(keys)
+    return chained_areas(_score_blocks(rows, keys, samples, tie, source)[1], keys)
+
+
+def _cut_area(p: np.ndarray, n: np.ndarray, tp: float, fp: float, stop: float) -> float:
+    """Wins of positives over negatives under the curve from (fp, tp) up to ``stop`` negatives; levels from high to low."""
+    tps, fps = tp + np.cumsum(p), fp + np.cumsum(n)
+    share = np.divide(np.clip(stop - (fps - n), 0, n), n, out=np.zeros(len(n)), where=n > 0)
+    return float((share * n * (tps - p + share * p / 2)).sum())
+
+
+def resampled_partial_areas(rows: DataFrame, keys: Sequence[str], samples: int, tie: str, source: DataFrame,
+                            max_fpr: float = 0.1) -> DataFrame:
+    """Standardised partial area up to ``max_fpr`` per (keys, replicate); NULL where a class is missing.
+
+    Block sums say where each replicate reaches the limit. Blocks above count whole, blocks below not at
+    all; only the block with the limit is opened again, for the replicates that end in it.
+    """
+    keys = list(keys)
+    blocks, whole, tied = _score_blocks(rows, keys, samples, tie, source)
+    part = Window.partitionBy(*keys, "replicate")
+    higher = part.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)      # one row per bucket
+    placed = cut(whole.withColumns({
+        "tp": F.coalesce(F.sum("pos").over(higher), F.lit(0.0)), "fp": F.coalesce(F.sum("neg").over(higher), F.lit(0.0)),
+        "positives": F.sum("pos").over(part), "negatives": F.sum("neg").over(part)}).withColumn("stop", F.col("negatives") * max_fpr))
+    p, n = F.col("pos"), F.col("neg")
+    share = F.least(F.lit(1.0), F.try_divide(F.col("stop") - F.col("fp"), n))
+    single = F.col("bucket").isin(*tied) if tied else F.lit(False)
+    inside = (F.when(F.col("fp") >= F.col("stop"), 0.0)
+              .when(F.col("fp") + n <= F.col("stop"), n * F.col("tp") + F.col("won"))
+              .when(single, share * n * (F.col("tp") + share * p / 2)))
+    known = placed.withColumn("area", inside)
+
+    def opened(key: tuple, block: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        names = [*keys, "replicate", "area"]
+        if block.empty or ends.empty:
+            return pd.DataFrame(columns=names)
+        dense, areas = _dense(block), []
+        step = max(1, CELLS_PER_BLOCK // dense[-1])
+        ends = ends.sort_values("replicate")
+        for start in range(0, samples, step):
+            here = ends[(ends["replicate"] >= start) & (ends["replicate"] < start + step)]
+            if here.empty:
+                continue
+            pos, neg = _tables(dense, start, min(step, samples - start))
+            areas += [_cut_area(pos[::-1, r - start], neg[::-1, r - start], *at)
+                      for r, *at in here[["replicate", "tp", "fp", "stop"]].itertuples(index=False)]
+        out = pd.DataFrame({"replicate": ends["replicate"].to_numpy(), "area": areas})
+        for name, value in zip(keys, key):
+            out[name] = value
+        return out[names]
+
+    ends = known.filter("area IS NULL").select(*keys, "bucket", "replicate", "tp", "fp", "stop")
+    refined = blocks.join(ends.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi").groupBy(*keys, "bucket").cogroup(
+        ends.groupBy(*keys, "bucket")).applyInPandas(opened, _fields(rows, keys) + "replicate int, area double")
+    sums = known.groupBy(*keys, "replicate").agg(F.sum("area").alias("area"), F.max("positives").alias("positives"), F.max("negatives").alias("negatives"))
+    closing = refined.groupBy(*keys, "replicate").agg(F.sum("area").alias("closing"))
+    total = sums.join(closing, [*keys, "replicate"], "left").withColumn("area", F.coalesce("area", F.lit(0.0)) + F.coalesce("closing", F.lit(0.0)))
+    area = F.try_divide(F.col("area"), F.col("positives") * F.col("negatives"))
+    return total.select(*keys, "replicate", standardised_partial_area(area, max_fpr).alias("partial_auroc"))
 
 
 def bootstrap_auroc(rows: DataFrame, samples: int = 1000, seed: int = 42, key: str = "image", method: str = "draws") -> DataFrame:
     """Percentile interval of the ROC area under class-wise resampling.
 
-    A Poisson replicate that lost a whole class has no area and is not counted.
+    "draws" draws rows and "poisson" weights them; "split" splits class sizes over the score histogram, so
+    its shuffles hold scores and never rows times samples. A Poisson replicate that lost a whole class has
+    no area and is not counted.
     """
-    lists = _replicates(rows, key, "label", samples, seed, method)
-    areas = resampled_areas(rows.select(key, "label", "score").join(lists, key), [], samples, key, rows)
+    if samples < 1:
+        raise ValueError("the bootstrap needs a positive number of samples")
+    if method == "split":
+        areas = split_areas(rows, samples, seed)
+    else:
+        lists = _replicates(rows, key, "label", samples, seed, method)
+        areas = resampled_areas(rows.select(key, "label", "score").join(lists, key), [], samples, key, rows)
     out = exact_quantiles(areas, [], "auroc", {"lower": 0.025, "upper": 0.975}, bounds=[])
     return out.select(F.col("n").alias("samples"), "lower", "upper")
 
@@ -167,7 +248,10 @@ def check_pairing(control: DataFrame, candidate: DataFrame, key: str, label: str
 
 def paired_bootstrap(control: DataFrame, candidate: DataFrame, samples: int = 1000, seed: int = 4_000_042,
                      key: str = "group_id", metric: str = "auroc", method: str = "draws") -> DataFrame:
-    """Interval of candidate minus control; groups are resampled and keep all their variants."""
+    """Interval of candidate minus control in the pooled ROC area or the partial area up to 0.1.
+
+    Groups are resampled and keep all their variants.
+    """
     check_pairing(control, candidate, key, "label", "condition")
     groups = control.select(key, "label").distinct()
     lists = _replicates(groups, key, "label", samples, seed, method)
@@ -175,11 +259,8 @@ def paired_bootstrap(control: DataFrame, candidate: DataFrame, samples: int = 10
         candidate.select(key, "label", "score", F.lit(1).alias("run")))
     joined = runs.join(lists, key)
     bounds = score_boundaries(runs)
-    if metric == "auroc":
-        areas = resampled_areas(joined, ["run"], samples, key, runs)
-    else:
-        exploded = joined.select("run", "label", "score", F.explode("replicates").alias("replicate"))
-        areas = ranking_metrics(exploded, ["replicate", "run"], bounds=bounds)
+    work = {"auroc": resampled_areas, "partial_auroc": resampled_partial_areas}[metric]
+    areas = work(joined, ["run"], samples, key, runs)
     sign = F.when(F.col("run") == 1, F.col(metric)).otherwise(-F.col(metric))
     change = areas.groupBy("replicate").agg(F.sum(sign).alias("change"))
     interval = exact_quantiles(change, [], "change", {"lower": 0.025, "upper": 0.975}, bounds=[])

@@ -54,6 +54,13 @@ def bootstrap_auroc_poisson(v: Views):
     return out.select("samples", F.round("lower", 8).alias("lower"), F.round("upper", 8).alias("upper"))
 
 
+@query()
+def bootstrap_auroc_split(v: Views):
+    """Draws come from numpy, so tests compare it with full counts and with the drawn form."""
+    out = uncertainty.bootstrap_auroc(v.predictions(), SAMPLES, 42, method="split")
+    return out.select("samples", F.round("lower", 8).alias("lower"), F.round("upper", 8).alias("upper"))
+
+
 CANDIDATE_SHIFT = 4000.0
 PAIRED_SQL = f"""groups AS (SELECT DISTINCT group_id, label FROM conditions),
   {draws_sql('groups', 'group_id', 4000042)},
@@ -74,6 +81,27 @@ def paired_bootstrap(v: Views):
     return out.select(*[F.round(c, 8).alias(c) for c in ("difference", "lower", "upper")], "samples")
 
 
+PARTIAL_PAIR_SQL = f"""groups AS (SELECT DISTINCT group_id, label FROM conditions),
+  {draws_sql('groups', 'group_id', 5000042)},
+  runs AS (SELECT 0 AS run, group_id, label, score FROM conditions UNION ALL SELECT 1, group_id, label, score + label * {CANDIDATE_SHIFT} FROM conditions),
+  w AS (SELECT replicate, run, label, score, weight FROM runs JOIN weights USING (group_id) UNION ALL SELECT -1, run, label, score, 1 FROM runs),
+  hist AS (SELECT replicate, run, score, sum(weight * label)::DOUBLE AS pos, sum(weight * (1 - label))::DOUBLE AS neg FROM w GROUP BY ALL),
+  curve AS (SELECT *, sum(pos) OVER a AS tp, sum(neg) OVER a AS fp, sum(pos) OVER g AS P, sum(neg) OVER g AS N FROM hist
+    WINDOW a AS (PARTITION BY replicate, run ORDER BY score DESC), g AS (PARTITION BY replicate, run)),
+  shares AS (SELECT *, CASE WHEN neg > 0 THEN least(1.0, greatest(0.0, (0.1 * N - (fp - neg)) / neg)) ELSE 0.0 END AS part FROM curve),
+  areas AS (SELECT replicate, run, 0.5 * (1 + (sum(part * neg * (tp - pos + part * pos / 2)) / (max(P) * max(N)) - 0.005) / (0.1 - 0.005)) AS area FROM shares GROUP BY replicate, run),
+  d AS (SELECT replicate, sum(CASE WHEN run = 1 THEN area ELSE -area END) AS change FROM areas GROUP BY replicate)"""
+
+
+@query(sql_more("conditions", PARTIAL_PAIR_SQL + """ SELECT round(max(change) FILTER (replicate = -1), 8) AS difference, round(quantile_cont(change, 0.025) FILTER (replicate >= 0), 8) AS lower,
+  round(quantile_cont(change, 0.975) FILTER (replicate >= 0), 8) AS upper, count(*) FILTER (replicate >= 0) AS samples FROM d"""))
+def paired_partial_area(v: Views):
+    control = v.conditions()
+    candidate = control.withColumn("score", F.col("score") + F.col("label") * CANDIDATE_SHIFT)
+    out = uncertainty.paired_bootstrap(control, candidate, SAMPLES, 5_000_042, metric="partial_auroc")
+    return out.select(*[F.round(c, 8).alias(c) for c in ("difference", "lower", "upper")], "samples")
+
+
 # --- histories ------------------------------------------------------------------------------
 
 @query("SELECT user_id AS run, round(sum(value * (1 + event_id % 8)) / sum(1 + event_id % 8), 8) AS mean_loss, sum(1 + event_id % 8)::BIGINT AS samples FROM events GROUP BY user_id")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.scalar import wilson
-from gaugeframe.operators import ranking, rates, scoring, uncertainty
+from gaugeframe.operators import ranking, rates, scoring, splitting, uncertainty
 from gaugeframe.operators.prefix import exact_quantiles, hash_index, ordered_index, running_totals
 
 
@@ -229,6 +229,59 @@ def test_paired_partial_area(spark):
     assert 0 < row["lower"] <= row["difference"] <= row["upper"] + .2
 
 
+@pytest.mark.parametrize("cells", [4_000_000, 1000])
+def test_partial_area_in_blocks_equals_exploded_replicates(spark, monkeypatch, cells):
+    """Many blocks, and a third of the rows at one score that holds the limit in some replicates."""
+    monkeypatch.setattr(uncertainty, "CELLS_PER_BLOCK", cells)
+    rng = random.Random(6)
+    labels = [int(rng.random() < .3) for _ in range(3000)]
+    for centre in (8.0, 5.0):
+        scores = [centre if rng.random() < .33 else round(rng.gauss(5 + a, 2), 2) for a in labels]
+        df = frame(spark, labels, scores).persist()
+        lists = df.join(uncertainty.poisson_replicates(df, "image", 10, 1), "image")
+        fast = {r["replicate"]: r["partial_auroc"] for r in uncertainty.resampled_partial_areas(lists, [], 10, "image", df).collect()}
+        exploded = lists.select("label", "score", F.explode("replicates").alias("replicate"))
+        slow = {r["replicate"]: r["partial_auroc"] for r in ranking.ranking_metrics(exploded, ["replicate"]).collect()}
+        assert len(fast) == 10 and fast == pytest.approx(slow, abs=1e-12)
+
+
+def test_split_replicates_equal_full_counts(spark):
+    """Rebuild every replicate's counts from the tree: classes keep their sizes and the areas are those of the counts."""
+    rng = random.Random(8)
+    labels = [int(rng.random() < .3) for _ in range(800)]
+    df = frame(spark, labels, [5.0 if rng.random() < .3 else round(rng.gauss(5 + a, 2), 2) for a in labels]).persist()
+    samples, cells = 20, 1200
+    ranges, depth = splitting.score_ranges(df, samples, cells)
+    blocks, paths = ranges.toPandas(), splitting.tree_paths(ranges, depth).toPandas()
+    assert blocks["block"].nunique() > 4 and blocks["pos"].sum() + blocks["neg"].sum() == 800
+    table = []
+    for number, block in blocks.groupby("block"):
+        path, block = paths[paths["block"] == number], block.sort_values("score")
+        step = max(1, cells // len(block))
+        for label in splitting.CLASSES:
+            drawn = splitting.block_totals(path, number, samples, 3, label)
+            parts = [splitting.block_weights(block[label].to_numpy(), drawn[at:at + step], number, 3, label, at) for at in range(0, samples, step)]
+            table += [(r, label, s, w) for r, row in enumerate(np.concatenate(parts)) for s, w in zip(block["score"], row)]
+    got = {r["replicate"]: r["auroc"] for r in splitting.split_areas(df, samples, 3, cells).collect()}
+    for r in range(samples):
+        p = [(s, w) for q, c, s, w in table if q == r and c == "pos" and w]
+        n = [(s, w) for q, c, s, w in table if q == r and c == "neg" and w]
+        assert sum(w for _, w in p) == sum(labels) and sum(w for _, w in n) == 800 - sum(labels)
+        won = sum(w * v * ((s > t) + (s == t) / 2) for s, w in p for t, v in n)
+        assert got[r] == pytest.approx(won / sum(labels) / (800 - sum(labels)), abs=1e-12)
+
+
+def test_split_interval_follows_the_law_of_draws(spark):
+    rng = random.Random(2)
+    labels = [int(rng.random() < .4) for _ in range(300)]
+    df = frame(spark, labels, [round(rng.gauss(a, 1), 1) for a in labels]).persist()
+    a, b = (uncertainty.bootstrap_auroc(df, 400, method=m).first() for m in ("draws", "split"))
+    assert b["samples"] == 400 and abs(a["lower"] - b["lower"]) < .015 and abs(a["upper"] - b["upper"]) < .015
+    assert uncertainty.bootstrap_auroc(df.repartition(3), 400, method="split").first() == b
+    alone = uncertainty.bootstrap_auroc(df.filter("label = 1"), 10, method="split").first()
+    assert alone is None or alone["lower"] is None
+
+
 def test_area_bins_keep_empty_rows(spark):
     df = frame(spark, [1, 1, 0], [.9, .1, .9])
     got = {r["area_bin"]: r for r in rates.area_groups(df, F.lit(.02), F.lit(.5)).collect()}
