@@ -51,6 +51,19 @@ def unit(number: Column) -> Column:
     return number / F.lit(4294967296.0)
 
 
+def order_bits(value: Column) -> Column:
+    """The 64 bits of a double as a bigint in the order of the doubles: both zeros are 0, NaN is largest, NULL stays."""
+    a = F.abs(value)
+    finite = F.when((a > 0) & (a < float("inf")), a)
+    guess = F.floor(F.log2(finite)).cast("int")
+    two = lambda e: F.pow(F.lit(2.0), e)                   # powers of two are exact
+    e = F.when(two(guess) > finite, guess - 1).when(two(guess + 1) <= finite, guess + 1).otherwise(guess)
+    normal = (e + 1023).cast("bigint") * 2 ** 52 + ((finite / two(e) - 1) * 2.0 ** 52).cast("bigint")
+    size = (F.when(F.isnan(value), F.lit(2 ** 63 - 1)).when(a == float("inf"), F.lit(2047 * 2 ** 52)).when(a == 0, F.lit(0))
+            .when(a < 2.0 ** -1022, (finite / 5e-324).cast("bigint")).otherwise(normal)).cast("bigint")
+    return F.when(value.isNotNull(), F.when(value < 0, -size).otherwise(size))
+
+
 def harmonic_mean(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_divide(2 * a * b, a + b), F.lit(0.0)))
 

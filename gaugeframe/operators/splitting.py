@@ -71,7 +71,7 @@ def score_ranges(rows: DataFrame, samples: int, cells: int = CELLS_PER_BLOCK) ->
 def tree_paths(ranges: DataFrame, depth: int) -> DataFrame:
     """(block, level, totals of the node and of its left half per class); a few rows per block."""
     totals = ranges.groupBy("block").agg(*[F.sum(c).alias(c) for c in CLASSES])
-    placed = totals.select("block", *CLASSES, F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level")).withColumns({
+    placed = totals.select(F.col("block").alias("block"), *CLASSES, F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level")).withColumns({
         "node": F.expr(f"shiftright(block, {depth} - level)"), "right": F.expr(f"shiftright(block, {depth} - level - 1) & 1")})
     nodes = placed.groupBy("level", "node").agg(
         *[F.sum(c).alias(f"{c}_total") for c in CLASSES],

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import scalar
 from gaugeframe.operators import grids, ranking, rates, scoring
+from gaugeframe.operators.order_statistics import selected_quantiles, top_means
 from gaugeframe.operators.prefix import exact_quantiles, hash_index
 from gaugeframe.plans.registry import query
 from gaugeframe.views import Views, sql, sql_draw, sql_more
@@ -258,6 +259,21 @@ def latency_summary(v: Views):
         ((F.col("p95_ms") >= F.col("median_ms")) & (F.col("median_ms") > 0)).alias("plausible"))
 
 
+@query("""SELECT event_type AS device, count(*) AS measurements, round(quantile_cont(value, 0.05), 8) AS q05, round(quantile_cont(value, 0.5), 8) AS q50,
+  round(quantile_cont(value, 0.98), 8) AS q98 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def radix_quantiles(v: Views):
+    out = selected_quantiles(v.table("events"), ["event_type"], "value", {"q05": 0.05, "q50": 0.5, "q98": 0.98})
+    return out.select(F.col("event_type").alias("device"), F.col("n").alias("measurements"), *[F.round(q, 8).alias(q) for q in ("q05", "q50", "q98")])
+
+
+@query("""WITH ranked AS (SELECT l_returnflag, l_extendedprice AS price, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS r,
+    count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+  SELECT l_returnflag, n AS lines, greatest(1, floor(n * 0.01))::BIGINT AS top_k, round(avg(price), 4) AS mean FROM ranked WHERE r <= greatest(1, floor(n * 0.01)) GROUP BY l_returnflag, n""")
+def radix_top_means(v: Views):
+    out = top_means(v.table("lineitem"), ["l_returnflag"], "l_extendedprice", 0.01)
+    return out.select("l_returnflag", F.col("n").alias("lines"), "top_k", F.round("mean", 4).alias("mean"))
+
+
 @query(sql_more("conditions", f"""t AS (SELECT quantile_cont(score, 0.9) AS t FROM conditions WHERE condition = 'original' AND label = 0),
   p AS (SELECT a.condition, a.label, a.score, b.score AS base, t FROM conditions a LEFT JOIN conditions b ON a.group_id = b.group_id AND b.condition = 'original', t),
   c AS (SELECT condition, count(*) AS images, count(*) FILTER (base IS NULL) AS without_base, count(*) FILTER ((score >= t) <> (base >= t)) AS flips,
