@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gaugeframe.operators import evidence, ranking, rates, selection, uncertainty
+from gaugeframe.operators.nested import nested_differences
 from gaugeframe.plans.measure import COUNTS_SQL, curve_sql
 from gaugeframe.plans.registry import query
 from gaugeframe.views import Views, sql, sql_draw, sql_more
@@ -314,6 +315,31 @@ def frozen_record_diff(v: Views):
     return evidence.record_differences(rows.filter(i % 23 != 0), actual, "record", ["c_name", "c_nationkey", "c_mktsegment"])
 
 
+@query("""WITH c AS (SELECT c_custkey AS record, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment FROM customer),
+  kept AS (SELECT * FROM c WHERE record % 19 <> 0 AND record % 23 <> 0)
+  SELECT record, '/place/nation' AS path, nation::VARCHAR AS declared, CASE WHEN record % 41 = 0 THEN '"' || nation || '"' ELSE (nation + 1)::VARCHAR END AS actual,
+    CASE WHEN record % 41 = 0 THEN 'type' ELSE 'changed' END AS reason FROM kept WHERE record % 41 = 0 OR record % 29 = 0
+  UNION ALL SELECT record, '/place/segment', '"' || segment || '"', NULL, 'removed' FROM kept WHERE record % 31 = 0
+  UNION ALL SELECT record, '/place/note', NULL, '{"by":"' || name || '","n":1}', 'added' FROM kept WHERE record % 37 = 0
+  UNION ALL SELECT record, '/codes/1/deep', (record % 7)::VARCHAR, (record % 7 + 100)::VARCHAR, 'changed' FROM kept WHERE record % 43 = 0
+  UNION ALL SELECT record, '', '{"codes":[' || record % 5 || ',{"deep":' || record % 7 || '}],"name":"' || name || '","place":{"nation":' || nation || ',"segment":"' || segment || '"}}', NULL, 'removed'
+    FROM c WHERE record % 19 = 0 AND record % 23 <> 0""")
+def nested_record_diff(v: Views):
+    i, nation = F.col("c_custkey"), F.col("c_nationkey")
+    place = [F.when(i % 31 != 0, F.col("c_mktsegment")).alias("segment"),
+             F.when(i % 37 == 0, F.struct(F.col("c_name").alias("by"), F.lit(1).alias("n"))).alias("note")]
+    def body(place: list, deep):
+        codes = F.format_string('[%d,{"deep":%d}]', i % 5, deep)
+        return F.concat(F.lit('{"name":'), F.concat(F.lit('"'), "c_name", F.lit('"')), F.lit(',"place":'), F.to_json(F.struct(*place)),
+                        F.lit(',"codes":'), codes, F.lit("}"))
+    rows = v.table("customer")
+    declared = rows.filter(i % 23 != 0).select(i.alias("record"), body([nation.alias("nation"), F.col("c_mktsegment").alias("segment")], i % 7).alias("body"))
+    texts = body([nation.cast("string").alias("nation"), *place], i % 7 + F.when(i % 43 == 0, 100).otherwise(0))
+    numbers = body([(nation + F.when(i % 29 == 0, 1).otherwise(0)).alias("nation"), *place], i % 7 + F.when(i % 43 == 0, 100).otherwise(0))
+    actual = rows.filter((i % 19 != 0) & (i % 23 != 0)).select(i.alias("record"), F.when(i % 41 == 0, texts).otherwise(numbers).alias("body"))
+    return nested_differences(declared, actual, "record", "body")
+
+
 @query("""WITH f AS (SELECT o_custkey, max(o_orderdate) AS frozen_at FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY o_custkey)
   SELECT o_orderkey AS evaluation, strftime(o_orderdate, '%Y-%m-%d') AS started FROM orders LEFT JOIN f USING (o_custkey) WHERE o_orderpriority = '1-URGENT' AND (frozen_at IS NULL OR o_orderdate < frozen_at)""")
 def ordering_check(v: Views):
