@@ -41,6 +41,7 @@ def drawn_replicates(rows: DataFrame, key: str, label: str, samples: int, seed:
     replicates. A row is drawn about once per replicate, so the lists stay near ``samples`` long.
     """
     numbered = cut(hash_index(rows.select(key, label), [label], order_digest(seed, F.col(key)), [key]))
+    number = "smallint" if samples <= 32_767 else "int"          # sorted short numbers halve what the joins carry
     digest = F.sha2(F.concat_ws("|", F.lit(f"{seed}-draw"), F.col(label).cast("string"), F.col("idx").cast("string"),
                                 F.col("__block").cast("string")), 256)
     words = F.explode(F.array(*[
@@ -49,7 +50,7 @@ def drawn_replicates(rows: DataFrame, key: str, label: str, samples: int, seed:
     drawn = (spread(numbered.select(label, "idx", "n"), label, "idx").select(label, "idx", "n", F.explode(F.sequence(F.lit(0), F.lit(_blocks(samples) - 1))).alias("__block"))
              .withColumn("__d", digest).select(label, "n", words.alias("w")).filter(F.col("w.replicate") < samples)
              .select("w.replicate", label, F.pmod(F.col("w.number"), F.col("n")).alias("idx"))
-             .groupBy(label, "idx").agg(F.collect_list("replicate").alias("replicates")))
+             .groupBy(label, "idx").agg(F.array_sort(F.collect_list(F.col("replicate").cast(number))).alias("replicates")))
     return drawn.join(numbered.select(label, "idx", key), [label, "idx"]).select(key, "replicates")
 
 
@@ -255,6 +256,8 @@ def paired_bootstrap(control: DataFrame, candidate: DataFrame, samples: int = 10
     check_pairing(control, candidate, key, "label", "condition")
     groups = control.select(key, "label").distinct()
     lists = _replicates(groups, key, "label", samples, seed, method)
+    if metric == "partial_auroc":
+        lists = cut(lists)                                    # the blocks are read twice, the draws are made once
     runs = control.select(key, "label", "score", F.lit(0).alias("run")).unionByName(
         candidate.select(key, "label", "score", F.lit(1).alias("run")))
     joined = runs.join(lists, key)
