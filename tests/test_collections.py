@@ -116,6 +116,29 @@ def test_forest_of_one_crowd_is_linear(spark):
     assert duplicates.near_forest(df.limit(0), 2, .004).count() == 0
 
 
+def test_rows_of_a_crowd_travel_once_a_block(spark):
+    """3,000 rows of one fingerprint with equal section sums: no sum tells them apart, and few are near each other."""
+    rng = np.random.default_rng(3)
+    base = np.tile([.9, .1, .2, .3, .4, .5, .6, .7], (8, 1))
+    rows = [(f"p{i:04d}", f"c{i}", 7, [float(x) for x in rng.permuted(base, axis=1).ravel()]) for i in range(3000)]
+    rows += [(f"q{i:02d}", f"d{i}", 7, [x + 1e-4 * i for x in rows[0][3]]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "path string, content_hash string, fp long, thumb array<double>").repartition(4)
+    crowd = df.select(F.lit(0).alias("no"), F.col("fp").alias("bits"), "path", "fp", F.lit(1).cast("long").alias("copies"), F.lit(False).alias("hung"))
+    pictures = df.select("path", "thumb")
+    assert duplicates._tiles(crowd, pictures, 100_000).count() == len(rows)
+    assert duplicates._tiles(crowd, pictures, 1600).count() == 2 * len(rows)
+    hung = crowd.withColumn("hung", F.col("path") != "p0000")
+    assert duplicates._tiles(hung, pictures, 100_000).count() == len(rows) + 1      # tiles (0, 0) and (0, 1)
+    assert duplicates._tiles(hung.filter("hung"), pictures, 100).count() == 0
+    thumbs = {p: np.array(t) for p, _, _, t in rows}
+    names, matrix = sorted(thumbs), np.array([thumbs[p] for p in sorted(thumbs)])
+    want = {(names[i], names[j]) for i in range(len(names)) for j in np.flatnonzero(np.abs(matrix[i + 1:] - matrix[i]).mean(1) <= .002) + i + 1}
+    got = [(r["left_path"], r["right_path"]) for r in duplicates.near_duplicates(df, 2, .002, part_rows=1600).collect()]
+    assert len(want) > 300 and len(got) == len(want) and set(got) == want
+    edges = [tuple(e) for e in duplicates.near_forest(df, 2, .002, block_rows=1600).collect()]
+    assert components_by_force(names, edges) == components_by_force(names, want)
+
+
 def test_groups_and_quarantine(spark):
     rows = [("a1", "x", "train"), ("a2", "x", "test"), ("b1", "y", "train"), ("b2", "z", "test"), ("c1", "w", "train")]
     records = spark.createDataFrame(rows, "path string, content_hash string, split string")
