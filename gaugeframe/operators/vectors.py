@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,11 @@ from gaugeframe.operators.splits import order_digest, random_subset
 from gaugeframe.runtime import cut, scratch
 
 BLOCK_ROWS = 8192
+CELLS = 1 << 19           # distances a task holds at once
+PAIRS = 1 << 14           # pairs whose differences it holds at once
+CODE_ROWS = 1 << 20       # codes in one block of the approximate search
+QUERY_PARTS = 64          # parts the queries are cut into at most, until a part holds MOST_QUERIES
+MOST_QUERIES = 1 << 16
 TRAIN_ROWS = 256          # vectors a coarse centre is fitted on
 WORD_ROWS = 65_536        # vectors the codewords are fitted on
 PROBE_QUERIES = 200       # queries the number of probes is measured on
@@ -35,6 +41,15 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
+def _direct(q: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Squared distances of the named pairs from their differences, some at a time."""
+    out = np.empty(len(rows))
+    for start in range(0, len(rows), PAIRS):
+        here = slice(start, start + PAIRS)
+        out[here] = ((q[rows[here]] - b[columns[here]]) ** 2).sum(1)
+    return out
+
+
 def _nearest_in_block(k: int):
     def nearest(queries: pd.DataFrame, bank: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "neighbour_id", "distance"]
@@ -44,8 +59,9 @@ def _nearest_in_block(k: int):
         keep, parts, middle = min(k, len(b)), [], b.mean(0)
         near = b - middle                                         # around the block's mean, so that little cancels
         eps, far = np.finfo(np.float64).eps * (b.shape[1] + 4), (near * near).sum(1).max()
-        for start in range(0, len(queries), 512):
-            q = matrix(queries["vector"].iloc[start:start + 512])
+        step = max(1, CELLS // len(b))                            # so that even a block of copies, all at one distance, stays small
+        for start in range(0, len(queries), step):
+            q = matrix(queries["vector"].iloc[start:start + step])
             own = q - middle
             d = squared_distances(own, near)
             edge = np.partition(d, keep - 1, axis=1)[:, keep - 1:keep]
@@ -53,7 +69,7 @@ def _nearest_in_block(k: int):
             shift = eps * max(np.abs(q).max(), np.abs(b).max(), np.abs(middle).max())
             off = 4 * eps * ((own * own).sum(1)[:, None] + far) + 4 * shift * (np.sqrt(edge) + shift)
             rows, columns = np.nonzero(d <= edge + 2 * off)
-            exact = ((q[rows] - b[columns]) ** 2).sum(1)          # direct form, free of cancellation
+            exact = _direct(q, b, rows, columns)                  # free of cancellation
             order = np.lexsort((ids[columns], exact, rows))
             rows, columns, exact = rows[order], columns[order], exact[order]
             first = np.searchsorted(rows, np.arange(len(q)))
@@ -63,14 +79,6 @@ def _nearest_in_block(k: int):
     return nearest
 
 
-def _with_parts(queries: DataFrame, bank: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Add to both sides how many blocks the queries and the bank of their cell are cut into."""
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
-    grid = parts(queries, "query_parts").join(parts(bank, "bank_parts"), "cell")
-    return queries.join(grid, "cell"), bank.join(grid, "cell")
-
-
 def _blocked_neighbours(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
     """Meet every query block with every bank block of its cell; keep k per block, then k per query.
 
@@ -215,21 +223,45 @@ def probes_for(index: VectorIndex, queries: DataFrame, k: int, target: float, id
 
 
 def _scan_codes(index_parts, keep: int):
-    """The ``keep`` smallest table-lookup distances of every query among the codes of one block."""
-    def scan(queries: pd.DataFrame, bank: pd.DataFrame) -> pd.DataFrame:
-        names = {"query_id": "int64", "neighbour_id": "int64", "distance": "float64"}
-        if queries.empty or bank.empty:
-            return pd.DataFrame(columns=list(names)).astype(names)
-        centres, words = index_parts.value
-        codes = np.frombuffer(b"".join(bank["codes"]), dtype=np.uint8).reshape(len(bank), -1)
-        ids, cell, out = bank["vec_id"].to_numpy(), int(bank["cell"].iloc[0]), []
-        split = np.array_split(matrix(queries["vector"]) - centres[cell], len(words), axis=1)
-        tables = [squared_distances(x, w) for x, w in zip(split, words)]
-        for row, query in enumerate(queries["query_id"]):
-            d = sum(table[row][codes[:, p]] for p, table in enumerate(tables))
-            best = np.lexsort((ids, d))[:keep] if len(d) <= keep else np.argpartition(d, keep - 1)[:keep]
-            out.append(pd.DataFrame({"query_id": query, "neighbour_id": ids[best], "distance": d[best]}))
-        return pd.concat(out)
+    """The ``keep`` smallest table-lookup distances of every query among the codes of one block, over all cells it visits."""
+    def scan(queries: pa.Table, bank: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if queries.num_rows and bank.num_rows:
+            centres, words = index_parts.value
+            bank = bank.sort_by("cell")
+            ids, cell = bank.column("vec_id").to_numpy(), bank.column("cell").to_numpy()
+            codes = np.frombuffer(b"".join(bank.column("codes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+            held, first = np.unique(cell, return_index=True)
+            place = dict(zip(held.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(ids)])))
+            for start in range(0, queries.num_rows, 256):
+                found.append(visit(queries.slice(start, 256), centres, words, ids, codes, place))
+        query, other, distance = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query_id": query, "neighbour_id": other, "distance": distance})
+
+    def visit(batch: pa.Table, centres, words, ids, codes, place):
+        x = matrix(batch.column("vector").to_pandas())
+        asked = batch.column("query_id").to_numpy()
+        visited = batch.column("cells").combine_chunks()
+        row, cell = np.repeat(np.arange(len(x)), np.diff(visited.offsets.to_numpy())), visited.flatten().to_numpy()
+        order = np.argsort(cell, kind="stable")
+        row, cell = row[order], cell[order]
+        rows, places, distances = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for c, here in zip(*(lambda u, f: (u.tolist(), np.split(row, f[1:])))(*np.unique(cell, return_index=True))):
+            low, high = place.get(c, (0, 0))
+            step = max(1, CELLS // max(1, high - low))
+            for some in (here[i:i + step] for i in range(0, len(here) if high > low else 0, step)):
+                d = np.zeros((len(some), high - low))
+                for p, (part, word) in enumerate(zip(np.array_split(x[some] - centres[c], len(words), axis=1), words)):
+                    d += np.take(squared_distances(part, word), codes[low:high, p], axis=1)
+                best = np.argpartition(d, keep - 1, axis=1)[:, :keep] if d.shape[1] > keep else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+                rows.append(np.repeat(some, best.shape[1]))
+                places.append((low + best).ravel())
+                distances.append(np.take_along_axis(d, best, axis=1).ravel())
+        row, at, distance = np.concatenate(rows), np.concatenate(places), np.concatenate(distances)
+        order = np.lexsort((ids[at], distance, row))
+        row, at, distance = row[order], at[order], distance[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < keep
+        return asked[row[kept]], ids[at[kept]], distance[kept]
     return scan
 
 
@@ -249,15 +281,18 @@ def knn_approx(queries: DataFrame, bank: DataFrame | VectorIndex, k: int, probes
     if probes is None:
         probes = probes_for(index, queries, k, target, id_column, vector, seed, block)
     asked = _named(queries, id_column, vector, "query_id")
-    places = asked.withColumn("cell", F.explode(_by_cell(index.centres, index.counts, min(size, keep), min(probes, len(index.centres)))("vector")))
-    q, b = _with_parts(places, index.codes, block)
-    q = q.select("cell", "query_id", "vector", F.pmod(F.xxhash64("query_id"), "query_parts").alias("query_part"),
-                 F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bank_parts") - 1)).alias("bank_part"))
-    b = b.select("cell", "vec_id", "codes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("query_parts") - 1)).alias("query_part"),
-                 F.pmod(F.xxhash64("vec_id"), "bank_parts").alias("bank_part"))
-    keys = ["cell", "query_part", "bank_part"]
+    total = queries.count()
+    query_parts = max(1, math.ceil(total / min(MOST_QUERIES, max(block, math.ceil(total / QUERY_PARTS)))))
+    bank_parts = max(1, math.ceil(size / CODE_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # A query meets all its cells in the same task, so it travels, and brings back candidates, once per block of codes and not once per cell.
+    q = asked.withColumn("cells", _by_cell(index.centres, index.counts, min(size, keep), min(probes, len(index.centres)))("vector")).select(
+        "query_id", "vector", "cells", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int").alias("query_part"), every(bank_parts).alias("bank_part"))
+    b = index.codes.select("cell", "vec_id", "codes", every(query_parts).alias("query_part"),
+                           F.pmod(F.xxhash64("vec_id"), F.lit(bank_parts)).cast("int").alias("bank_part"))
+    keys = ["query_part", "bank_part"]
     parts = queries.sparkSession.sparkContext.broadcast((index.centres, index.words))
-    near = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(_scan_codes(parts, keep), "query_id long, neighbour_id long, distance double")
+    near = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_scan_codes(parts, keep), "query_id long, neighbour_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")          # at most ``keep`` rows per block met
     few = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).select("query_id", "neighbour_id")
     pairs = (few.join(asked.withColumnRenamed("vector", "asked"), "query_id")

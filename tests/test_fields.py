@@ -250,3 +250,45 @@ def test_stream_batch_run_again_writes_the_same(spark, tmp_path):
     first = drain()
     shutil.rmtree(tmp_path / "progress" / "commits")                           # as if the driver was lost before the commit
     assert drain() == first and len(first) == 2
+
+
+def peak_megabytes(work):
+    import tracemalloc
+    tracemalloc.start()
+    result = work()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return result, peak
+
+
+def test_block_of_copies_needs_little_memory():
+    """All 2,048 bank rows are at one distance from every query."""
+    import pandas as pd
+    queries = pd.DataFrame({"query_id": range(512), "vector": [np.full(64, .25)] * 512})
+    bank = pd.DataFrame({"vec_id": range(2048), "vector": [np.full(64, .5)] * 2048})
+    found, peak = peak_megabytes(lambda: vectors._nearest_in_block(3)(queries, bank))
+    assert found["neighbour_id"].tolist() == [0, 1, 2] * 512 and set(found["distance"]) == {4.0}
+    assert peak < 80
+
+
+def test_code_scan_returns_few_rows_however_many_cells():
+    from types import SimpleNamespace
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    centres, words = rng.random((40, 8)), [rng.random((16, 4)) for _ in range(2)]
+    codes, cell = rng.integers(0, 16, (2000, 2)).astype(np.uint8), rng.integers(0, 40, 2000).astype(np.int32)
+    x, visits = rng.random((300, 8)), [sorted(rng.choice(40, 30, replace=False).tolist()) for _ in range(300)]
+    queries = pa.table({"query_id": np.arange(300), "vector": pa.array(x.tolist()), "cells": pa.array(visits, pa.list_(pa.int32()))})
+    bank = pa.table({"cell": cell, "vec_id": np.arange(2000), "codes": pa.array([c.tobytes() for c in codes])})
+    scan = vectors._scan_codes(SimpleNamespace(value=(centres, words)), 7)
+    out = scan(queries, bank)
+    got = {}
+    for q, n, d in zip(*(out[c].to_pylist() for c in ("query_id", "neighbour_id", "distance"))):
+        got.setdefault(q, {})[n] = d
+    points = centres[cell] + np.hstack([words[0][codes[:, 0]], words[1][codes[:, 1]]])
+    for q in range(300):
+        inside = np.flatnonzero(np.isin(cell, visits[q]))
+        d = ((points[inside] - x[q]) ** 2).sum(1)
+        assert len(got[q]) == 7 and sorted(got[q].values()) == pytest.approx(np.sort(d)[:7])      # equal codes tie
+        assert got[q] == pytest.approx({n: d[inside == n][0] for n in got[q]})
+    assert scan(queries.slice(0, 0), bank).num_rows == scan(queries, bank.slice(0, 0)).num_rows == 0
