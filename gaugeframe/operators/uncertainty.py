@@ -21,6 +21,7 @@ from gaugeframe.runtime import cut
 
 DRAWS_PER_HASH = 8
 CELLS_PER_BLOCK = 4_000_000
+CELLS_AT_ONCE = 500_000      # of a block's (level, replicate) cells and of its draws, so many are counted at a time
 MAX_BLOCKS = 65_536
 
 
@@ -92,14 +93,19 @@ def _dense(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
     lists = block["replicates"].to_numpy()[order]
     sizes = [len(x) for x in lists]
     group = np.concatenate([[0], np.cumsum(scores[1:] != scores[:-1])])       # equal scores share a number
-    return np.repeat(group, sizes), np.concatenate(lists).astype(np.int64), np.repeat(labels, sizes), int(group[-1]) + 1
+    return np.repeat(group.astype(np.int32), sizes), np.concatenate(lists), np.repeat(labels, sizes), int(group[-1]) + 1
+
+
+def _step(dense, samples: int) -> int:
+    """Replicates to count at once, by the cells and by the draws of the block."""
+    return max(1, min(CELLS_AT_ONCE // dense[-1], samples * CELLS_AT_ONCE // max(1, len(dense[0]))))
 
 
 def _tables(dense, start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Positives and negatives per (level, replicate) for the replicates from start."""
     level, replicate, positive, levels = dense
     inside = (replicate >= start) & (replicate < start + width)
-    cell, yes = level[inside] * width + replicate[inside] - start, positive[inside]
+    cell, yes = level[inside].astype(np.int64) * width + replicate[inside] - start, positive[inside]
     return tuple(np.bincount(cell[k], minlength=levels * width).reshape(levels, width) for k in (yes, ~yes))
 
 
@@ -108,7 +114,7 @@ def _block_sums(keys: Sequence[str], samples: int):
     def sums(part: tuple, block: pd.DataFrame) -> pd.DataFrame:
         dense = _dense(block)
         pos, neg, won = (np.zeros(samples) for _ in range(3))
-        step = max(1, CELLS_PER_BLOCK // dense[-1])
+        step = _step(dense, samples)
         for start in range(0, samples, step):
             width = min(step, samples - start)
             p, n = _tables(dense, start, width)
@@ -197,7 +203,7 @@ def resampled_partial_areas(rows: DataFrame, keys: Sequence[str], samples: int,
         if block.empty or ends.empty:
             return pd.DataFrame(columns=names)
         dense, areas = _dense(block), []
-        step = max(1, CELLS_PER_BLOCK // dense[-1])
+        step = _step(dense, samples)
         ends = ends.sort_values("replicate")
         for start in range(0, samples, step):
             here = ends[(ends["replicate"] >= start) & (ends["replicate"] < start + step)]

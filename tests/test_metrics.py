@@ -306,3 +306,23 @@ def test_stress_rows_without_a_base_are_counted(spark):
     df = spark.createDataFrame([(1, "original", 0, 1.), (1, "dark", 0, 5.), (2, "dark", 1, 5.)], "group_id int, condition string, label int, score double")
     dark = {r["condition"]: r for r in rates.stress_summary(df, F.lit(3.0)).collect()}["dark"]
     assert (dark["images"], dark["without_base"], dark["flips"], dark["mean_abs_change"]) == (2, 1, 1, 4.0)
+
+
+def test_score_block_needs_little_memory():
+    """A full block, 4,000 rows drawn about once into each of 1,000 replicates, against one table of all cells."""
+    import tracemalloc
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    lists = [np.sort(rng.integers(0, 1000, 1000)).astype(np.int32) for _ in range(4000)]
+    block = pd.DataFrame({"label": rng.integers(0, 2, 4000), "score": rng.permutation(3000).repeat(2)[:4000].astype(float), "replicates": lists})
+    tracemalloc.start()
+    got = uncertainty._block_sums([], 1000)((0,), block)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    order = block.sort_values("score", kind="stable")
+    counts = np.stack([np.bincount(x, minlength=1000) for x in order["replicates"]])
+    yes, score = order["label"].to_numpy() == 1, order["score"].to_numpy()
+    p, n = (np.stack([counts[(score == v) & k].sum(0) for v in np.unique(score)]) for k in (yes, ~yes))
+    assert (got["pos"] == p.sum(0)).all() and (got["neg"] == n.sum(0)).all()
+    assert got["won"].to_numpy() == pytest.approx((p * (np.cumsum(n, axis=0) - n / 2)).sum(0))
+    assert peak < 110
