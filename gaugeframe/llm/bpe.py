@@ -30,6 +30,7 @@ CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 MEMO_ENTRIES = 200_000         # with keys of up to MEMO_LENGTH characters, some 40 MB a worker
 PAIR_ENTRIES = 200_000         # some 20 MB a worker
 MEMO_LENGTH = 64
+ROWS_AT_ONCE = 128             # of a batch, so many texts are held with their ids and decoded bytes
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -224,20 +225,20 @@ def _hold(name: str) -> list:
 def codec_of(name: str, model) -> Codec:
     place = _hold(name)
     if not place:
-        place.append(Codec(model()))
+        place.append(Codec(json.loads(model())))
     return place[0]
 
 
-def load(path: str) -> dict:
-    with open(path, encoding="utf-8") as file:
-        return json.load(file)
+def load(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
 
 
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (packed little-endian 32-bit numbers), decoded (bytes), one row per input row.
 
     Null text is empty and has no tokens; repeated ids are separate rows; other columns are ignored. The vocabulary
-    file (a path) is read once by the driver and sent to the tasks, so its size bounds what they hold.
+    file (a path) is read once by the driver and sent to the tasks as it is, so no worker keeps it parsed beside its codec.
     """
     spark = tune(docs.sparkSession)
     shared = spark.sparkContext.broadcast(load(vocabulary))
@@ -248,7 +249,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         memo = Memo(codec)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [codec.encode(raw.decode("utf-8", "replace"), memo) for raw in batch.column(1).to_pylist()]
+            packed = [codec.encode(raw.as_py().decode("utf-8", "replace"), memo) for raw in batch.column(1)]
             sizes = pa.array([len(p) // 4 for p in packed], pa.int64())
             decoded = pa.array([codec.decode(p) for p in packed], pa.binary())
             return pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(packed, pa.binary()), decoded],
@@ -256,7 +257,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         return work
 
     return per_batch(docs.select(F.col(doc_id).alias("doc_id"), raw_text(text).alias("raw")), make,
-                     f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
+                     f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary", rows=ROWS_AT_ONCE)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -28,15 +28,15 @@ def raw_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
 
 
-def per_batch(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply ``make()``, built once per task, to every Arrow batch of the frame."""
+def per_batch(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int | None = None) -> DataFrame:
+    """Apply ``make()``, built once per task, to every Arrow batch of the frame, or to slices of at most ``rows`` rows of it."""
     bounded_batches(frame.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+            for start in range(0, batch.num_rows, rows or batch.num_rows or 1):
+                yield work(batch.slice(start, rows))
 
     return frame.mapInArrow(run, schema)
 

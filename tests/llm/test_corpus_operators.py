@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gaugeframe.llm import bpe, chat, exact_dedup, lattice_lm, mixing, near_dedup, queries, secrets, topk, toxicity, warc
+from gaugeframe.llm import bpe, chat, common, exact_dedup, lattice_lm, mixing, near_dedup, queries, secrets, topk, toxicity, warc
 from oracle_check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -556,3 +556,17 @@ def test_pipeline_rows_stage_by_stage(spark, docs):
         assert Counter(r.doc_id for r in out) == expected, name
         rows = out
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()) == expected
+
+
+def test_batches_are_worked_on_in_slices(spark):
+    """bpe holds the ids and decoded bytes of a bounded number of texts, whatever the batch."""
+    import pyarrow as pa
+
+    def make():
+        def work(batch):
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([batch.num_rows] * batch.num_rows, pa.int64())], names=["id", "n"])
+        return work
+
+    rows = common.per_batch(spark.range(0, 1000, 1, 1), make, "id bigint, n bigint", rows=bpe.ROWS_AT_ONCE).collect()
+    assert sorted(r.id for r in rows) == list(range(1000)) and max(r.n for r in rows) == bpe.ROWS_AT_ONCE
+    assert isinstance(bpe.load(public_tokenizers.path("byte_bpe_50k.json")), bytes)
