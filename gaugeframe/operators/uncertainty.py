@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from gaugeframe.runtime import cut
 DRAWS_PER_HASH = 8
 CELLS_PER_BLOCK = 4_000_000
 CELLS_AT_ONCE = 500_000      # of a block's (level, replicate) cells and of its draws, so many are counted at a time
+DRAWS_PER_BLOCK = 1_000_000  # four bytes each while they are gathered
 MAX_BLOCKS = 65_536
 
 
@@ -39,19 +42,42 @@ def drawn_replicates(rows: DataFrame, key: str, label: str, samples: int, seed:
     """(key, replicates): the replicates a row is drawn into, each class resampled to its own size.
 
     A row drawn twice into a replicate lists it twice; the eight words of one digest serve eight
-    replicates. A row is drawn about once per replicate, so the lists stay near ``samples`` long.
+    replicates. A row is drawn about once per replicate, so the lists stay near ``samples`` long. Draws travel
+    packed, by blocks of drawn rows that hold about ``DRAWS_PER_BLOCK`` draws. A row without a label is not drawn.
     """
-    numbered = cut(hash_index(rows.select(key, label), [label], order_digest(seed, F.col(key)), [key]))
-    number = "smallint" if samples <= 32_767 else "int"          # sorted short numbers halve what the joins carry
-    digest = F.sha2(F.concat_ws("|", F.lit(f"{seed}-draw"), F.col(label).cast("string"), F.col("idx").cast("string"),
-                                F.col("__block").cast("string")), 256)
-    words = F.explode(F.array(*[
-        F.struct((F.col("__block") * DRAWS_PER_HASH + w).alias("replicate"), hex_word(F.col("__d"), w).alias("number"))
-        for w in range(DRAWS_PER_HASH)]))
-    drawn = (spread(numbered.select(label, "idx", "n"), label, "idx").select(label, "idx", "n", F.explode(F.sequence(F.lit(0), F.lit(_blocks(samples) - 1))).alias("__block"))
-             .withColumn("__d", digest).select(label, "n", words.alias("w")).filter(F.col("w.replicate") < samples)
-             .select("w.replicate", label, F.pmod(F.col("w.number"), F.col("n")).alias("idx"))
-             .groupBy(label, "idx").agg(F.array_sort(F.collect_list(F.col("replicate").cast(number))).alias("replicates")))
+    numbered = cut(hash_index(rows.select(key, label).filter(F.col(label).isNotNull()), [label], order_digest(seed, F.col(key)), [key]))
+    number, kind = (pa.int16(), "smallint") if samples <= 32_767 else (pa.int32(), "int")       # short numbers halve what the joins carry
+    targets = max(1, DRAWS_PER_BLOCK // samples)
+    per_block, tails = targets * samples, [str(b).encode() for b in range(_blocks(samples))]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Draws of some rows at a time, sorted: per block of drawn rows, (drawn row * samples + replicate) as packed numbers."""
+        for batch in batches:
+            words, index, sizes = (batch.column(c).to_pylist() for c in (1, 2, 3))
+            step = max(1, CELLS_AT_ONCE // samples)
+            for word in set(words):
+                own = [i for i, w in enumerate(words) if w == word]
+                for some in (own[at:at + step] for at in range(0, len(own), step)):
+                    heads = [f"{seed}-draw|{word}|{index[i]}|".encode() for i in some]
+                    packed = b"".join(hashlib.sha256(head + tail).digest() for head in heads for tail in tails)
+                    drawn = np.frombuffer(packed, ">u4").reshape(len(some), -1)[:, :samples].astype(np.int64) % sizes[some[0]]
+                    codes = np.sort((drawn * samples + np.arange(samples)).ravel())
+                    blocks = np.unique(codes // per_block)
+                    ends = np.searchsorted(codes, (blocks + 1) * per_block)
+                    parts = np.split((codes % per_block).astype("<u4"), ends[:-1])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array([some[0]] * len(blocks))), pa.array(blocks, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                        names=[label, "__block", "codes"])
+
+    def gather(group: tuple, table: pa.Table) -> pa.Table:
+        codes = np.sort(np.concatenate([np.frombuffer(c.as_py(), "<u4") for c in table.column("codes")]))
+        rows, starts = np.unique(codes // samples, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)), pa.int32()), pa.array((codes % samples).astype(np.int32)).cast(number))
+        return pa.table([table.column(label).take(pa.array([0] * len(rows))), pa.array(rows.astype(np.int64) + group[1].as_py() * targets), lists], names=[label, "idx", "replicates"])
+
+    each = spread(numbered.select(label, "idx", "n"), label, "idx").select(label, F.col(label).cast("string").alias("word"), "idx", "n")
+    name = _fields(numbered, [label])
+    drawn = each.mapInArrow(draw, name + "__block bigint, codes binary").groupBy(label, "__block").applyInArrow(gather, name + f"idx bigint, replicates array<{kind}>")
     return drawn.join(numbered.select(label, "idx", key), [label, "idx"]).select(key, "replicates")
 
 
@@ -96,31 +122,37 @@ def _dense(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
     return np.repeat(group.astype(np.int32), sizes), np.concatenate(lists), np.repeat(labels, sizes), int(group[-1]) + 1
 
 
-def _step(dense, samples: int) -> int:
-    """Replicates to count at once, by the cells and by the draws of the block."""
-    return max(1, min(CELLS_AT_ONCE // dense[-1], samples * CELLS_AT_ONCE // max(1, len(dense[0]))))
+def _tables(dense, samples: int, falling: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positives and negatives per (level, replicate) for some levels at a time, bounded by cells and by draws.
 
-
-def _tables(dense, start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positives and negatives per (level, replicate) for the replicates from start."""
+    Levels rise inside a table; the tables rise too, or fall. Every draw is counted once.
+    """
     level, replicate, positive, levels = dense
-    inside = (replicate >= start) & (replicate < start + width)
-    cell, yes = level[inside].astype(np.int64) * width + replicate[inside] - start, positive[inside]
-    return tuple(np.bincount(cell[k], minlength=levels * width).reshape(levels, width) for k in (yes, ~yes))
+    first = np.searchsorted(level, np.arange(levels + 1))
+    most, cuts = max(1, CELLS_AT_ONCE // samples), [0]
+    while cuts[-1] < levels:
+        last = int(np.searchsorted(first, first[cuts[-1]] + CELLS_AT_ONCE, "right")) - 1
+        cuts.append(min(max(last, cuts[-1] + 1), cuts[-1] + most, levels))
+    for a, b in reversed([*zip(cuts, cuts[1:])]) if falling else zip(cuts, cuts[1:]):
+        size = (b - a) * samples
+        pos, neg = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        for at in range(first[a], first[b], CELLS_AT_ONCE):          # one level alone may hold more draws
+            some = slice(at, min(at + CELLS_AT_ONCE, first[b]))
+            cell, yes = (level[some].astype(np.int64) - a) * samples + replicate[some], positive[some]
+            pos += np.bincount(cell[yes], minlength=size)
+            neg += np.bincount(cell[~yes], minlength=size)
+        yield pos.reshape(-1, samples), neg.reshape(-1, samples)
 
 
 def _block_sums(keys: Sequence[str], samples: int):
     """Per block and replicate: positives, negatives and the pairs the block's positives win inside it."""
     def sums(part: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        dense = _dense(block)
         pos, neg, won = (np.zeros(samples) for _ in range(3))
-        step = _step(dense, samples)
-        for start in range(0, samples, step):
-            width = min(step, samples - start)
-            p, n = _tables(dense, start, width)
-            below = np.cumsum(n, axis=0) - n
-            pos[start:start + width], neg[start:start + width] = p.sum(0), n.sum(0)
-            won[start:start + width] = (p * (below + n / 2)).sum(0)
+        for p, n in _tables(_dense(block), samples):
+            below = neg + np.cumsum(n, axis=0) - n
+            won += (p * (below + n / 2)).sum(0)
+            pos += p.sum(0)
+            neg += n.sum(0)
         out = pd.DataFrame({"replicate": np.arange(samples), "pos": pos, "neg": neg, "won": won})
         for name, value in zip([*keys, "bucket"], part):
             out[name] = value
@@ -169,11 +201,19 @@ def resampled_areas(rows: DataFrame, keys: Sequence[str], samples: int, tie: str
     return chained_areas(_score_blocks(rows, keys, samples, tie, source)[1], keys)
 
 
-def _cut_area(p: np.ndarray, n: np.ndarray, tp: float, fp: float, stop: float) -> float:
-    """Wins of positives over negatives under the curve from (fp, tp) up to ``stop`` negatives; levels from high to low."""
-    tps, fps = tp + np.cumsum(p), fp + np.cumsum(n)
-    share = np.divide(np.clip(stop - (fps - n), 0, n), n, out=np.zeros(len(n)), where=n > 0)
-    return float((share * n * (tps - p + share * p / 2)).sum())
+def _cut_areas(tables: Iterator[tuple[np.ndarray, np.ndarray]], ends: pd.DataFrame) -> np.ndarray:
+    """Per row of ``ends``: wins of positives over negatives under the curve from (fp, tp) up to ``stop`` negatives; tables fall."""
+    at, tp, fp, stop = (ends[c].to_numpy() for c in ("replicate", "tp", "fp", "stop"))
+    area = np.zeros(len(ends))
+    for pos, neg in tables:
+        p, n = pos[::-1, at], neg[::-1, at]
+        tps, fps = tp + np.cumsum(p, axis=0), fp + np.cumsum(n, axis=0)
+        share = np.divide(np.clip(stop - (fps - n), 0, n), n, out=np.zeros(n.shape), where=n > 0)
+        area += (share * n * (tps - p + share * p / 2)).sum(0)
+        tp, fp = tps[-1], fps[-1]
+        if (fp >= stop).all():
+            break
+    return area
 
 
 def resampled_partial_areas(rows: DataFrame, keys: Sequence[str], samples: int, tie: str, source: DataFrame,
@@ -202,17 +242,8 @@ def resampled_partial_areas(rows: DataFrame, keys: Sequence[str], samples: int,
         names = [*keys, "replicate", "area"]
         if block.empty or ends.empty:
             return pd.DataFrame(columns=names)
-        dense, areas = _dense(block), []
-        step = _step(dense, samples)
         ends = ends.sort_values("replicate")
-        for start in range(0, samples, step):
-            here = ends[(ends["replicate"] >= start) & (ends["replicate"] < start + step)]
-            if here.empty:
-                continue
-            pos, neg = _tables(dense, start, min(step, samples - start))
-            areas += [_cut_area(pos[::-1, r - start], neg[::-1, r - start], *at)
-                      for r, *at in here[["replicate", "tp", "fp", "stop"]].itertuples(index=False)]
-        out = pd.DataFrame({"replicate": ends["replicate"].to_numpy(), "area": areas})
+        out = pd.DataFrame({"replicate": ends["replicate"].to_numpy(), "area": _cut_areas(_tables(_dense(block), samples, falling=True), ends)})
         for name, value in zip(keys, key):
             out[name] = value
         return out[names]

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -326,3 +327,24 @@ def test_score_block_needs_little_memory():
     assert (got["pos"] == p.sum(0)).all() and (got["neg"] == n.sum(0)).all()
     assert got["won"].to_numpy() == pytest.approx((p * (np.cumsum(n, axis=0) - n / 2)).sum(0))
     assert peak < 110
+
+
+def test_draws_travel_packed_and_are_those_of_the_digests(spark, monkeypatch):
+    """Blocks of three drawn rows and slices of two rows: the lists are those of the digests, and no row stands for one draw."""
+    monkeypatch.setattr(uncertainty, "DRAWS_PER_BLOCK", 40)
+    monkeypatch.setattr(uncertainty, "CELLS_AT_ONCE", 30)
+    rows = [(i, i % 3 == 0 and 1 or 0) for i in range(40)] + [(7, 0), (99, None)]
+    df = spark.createDataFrame(rows, "image int, label int")
+    drawn = uncertainty.drawn_replicates(df, "image", "label", 13, 5)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    want = []
+    for label in (0, 1):
+        keys = sorted((hashlib.sha256(f"5|{i}".encode()).hexdigest()[:8], i) for i, y in rows if y == label)
+        lists = [[] for _ in keys]
+        for i in range(len(keys)):
+            for r in range(13):
+                word = hashlib.sha256(f"5-draw|{label}|{i}|{r // 8}".encode()).digest()[4 * (r % 8):4 * (r % 8) + 4]
+                lists[int.from_bytes(word, "big") % len(keys)].append(r)
+        want += [(k[1], tuple(sorted(x))) for k, x in zip(keys, lists) if x]
+    assert sorted((r["image"], tuple(r["replicates"])) for r in drawn.collect()) == sorted(want)
