@@ -139,6 +139,56 @@ def test_rows_of_a_crowd_travel_once_a_block(spark):
     assert components_by_force(names, edges) == components_by_force(names, want)
 
 
+@pytest.mark.parametrize("table", [1, 1 << 60])
+@pytest.mark.parametrize("cells, tolerance", [(1 << 18, .002), (64, .002), (64, .3)])
+def test_rows_of_two_words_meet_once(monkeypatch, table, cells, tolerance):
+    """A hundred words carry 600 rows; every near pair of a block, or of two blocks, comes once, as a table and as a list, and nothing else."""
+    monkeypatch.setattr(duplicates, "TABLE", table)
+    monkeypatch.setattr(duplicates, "TABLE_CELLS", cells)
+    monkeypatch.setattr(duplicates, "TABLE_WIDTH", min(cells, 64))
+    monkeypatch.setattr(duplicates, "CELLS", 1000)
+    rng = np.random.default_rng(12)
+    known = np.array([sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 3), replace=False)) for _ in range(100)], dtype=np.uint64)
+    words = known[rng.integers(0, 100, 600) * rng.integers(0, 2, 600)]               # half of the rows share one word
+    centres = rng.random((5, 40))
+    pictures = centres[rng.integers(0, 5, 600)] + rng.normal(0, .0018, (600, 40))
+    pictures[7] = pictures[8] + np.eye(40)[0] * 1e6                                    # far beyond the short numbers
+    apart = np.bitwise_count(words[:, None] ^ words[None, :])
+    difference = np.zeros((600, 600))
+    for k in range(40):
+        difference += np.abs(pictures[:, None, k] - pictures[None, :, k])
+    near = (apart <= 2) & (difference / 40 <= tolerance)
+    near[:, 3] = near[3, :] = False                                                    # not wanted
+
+    def got(left, right):
+        sides = (left, pictures[left]) * 2 if left is right else (left, pictures[left], right, pictures[right])
+        found = duplicates._near_rows(words, *sides, 2, tolerance, lambda bits: np.full(len(bits), True), lambda a, b: (a != 3) & (b != 3))
+        pairs = [(int(a), int(b), int(h), float(d)) for part in found for a, b, h, d in zip(*part)]
+        assert len({tuple(sorted(p[:2])) for p in pairs}) == len(pairs)
+        assert all(h == apart[a, b] and d == difference[a, b] / 40 for a, b, h, d in pairs)
+        return {tuple(sorted(p[:2])) for p in pairs}
+    rows = np.arange(600)
+    assert len(want := {(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b}) > 300 and got(rows, rows) == want
+    assert got(rows[:250], rows[250:]) == {(a, b) for a, b in want if a < 250 <= b}
+
+
+def test_small_keys_share_buckets(spark):
+    """4,000 rows of 2,000 small keys a mask meet in a few tiles, each row once a mask, and only rows of one key pair up."""
+    rng = np.random.default_rng(13)
+    words = [int(w) for w in rng.integers(-2**62, 2**62, 2000)]
+    rows = [(f"p{i:04d}", f"c{i}", words[i // 2] ^ (i % 2), [.5, .25 + 1e-5 * (i % 3)]) for i in range(4000)]
+    rows.append(("none", "none", None, [.5, .25]))
+    df = spark.createDataFrame(rows, "path string, content_hash string, fp long, thumb array<double>").repartition(4)
+    keyed, masks, contents = duplicates._keyed(df, 2, "path", "content_hash", "fp", "thumb", 64, None)
+    tiles = duplicates._buckets(keyed, df.select("path", "thumb"), contents)
+    assert tiles.count() == 4000 * len(masks) and tiles.select(*duplicates.TILE).distinct().count() == len(masks)
+    want = {(f"p{i:04d}", f"p{i + 1:04d}") for i in range(0, 4000, 2)}
+    got = [(r["left_path"], r["right_path"], r["hamming"]) for r in duplicates.near_duplicates(df, 2, .004).collect()]
+    assert len(got) == len(want) and {g[:2] for g in got} == want and {g[2] for g in got} == {1}
+    edges = [tuple(sorted(e)) for e in duplicates.near_forest(df, 2, .004).collect()]
+    assert len(edges) == len(want) and set(edges) == want
+
+
 def test_groups_and_quarantine(spark):
     rows = [("a1", "x", "train"), ("a2", "x", "test"), ("b1", "y", "train"), ("b2", "z", "test"), ("c1", "w", "train")]
     records = spark.createDataFrame(rows, "path string, content_hash string, split string")
