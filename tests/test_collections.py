@@ -189,6 +189,20 @@ def test_small_keys_share_buckets(spark):
     assert len(edges) == len(want) and set(edges) == want
 
 
+def test_pairs_reach_to_the_tolerance_of_the_audit(spark, tmp_path):
+    """Texts of one fingerprint whose letter shares differ by 0.0001, 0.001, 0.003 and 0.005 on average from the first."""
+    counts = [(300, 500, 800), (305, 500, 795), (351, 500, 749), (453, 500, 647), (300, 756, 544)]
+    rows = [(i, "a" * a + "b" * b + "c" * c, "en", "s", a + b + c) for i, (a, b, c) in enumerate(counts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    shares = [[x / 1600 for x in c] for c in counts]
+    difference = {(i, j): sum(abs(x - y) for x, y in zip(shares[i], shares[j])) / 64 for j in range(5) for i in range(j)}
+    want = {pair for pair, d in difference.items() if d <= .004}
+    assert len(want) == 6 and sum(.0005 < difference[pair] for pair in want) == 5
+    from gaugeframe.plans.catalog import QUERIES
+    got = {(int(r["left_path"][2:]), int(r["right_path"][2:])) for r in QUERIES["near_duplicate_join"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_groups_and_quarantine(spark):
     rows = [("a1", "x", "train"), ("a2", "x", "test"), ("b1", "y", "train"), ("b2", "z", "test"), ("c1", "w", "train")]
     records = spark.createDataFrame(rows, "path string, content_hash string, split string")
